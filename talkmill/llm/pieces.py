@@ -13,12 +13,12 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.llm.common import binary, steps, raw, with_columns
@@ -77,31 +77,38 @@ class DoubleArray:
             for b in key:
                 node = node.setdefault(b, {})
             node[-1] = i
-        size = 1 << 16
-        self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        used, free, todo = bytearray(size), 1, [(0, root)]
+        base, check, value, used = [0], [-1], [-1], bytearray(1)
         used[0] = 1
+        single, dense, todo = 1, 1, [(0, root)]  # where free places are looked for, for one child and for more
         while todo:
             state, node = todo.pop()
-            self.value[state] = node.get(-1, -1)
+            value[state] = node.get(-1, -1)
             children = sorted(b + 1 for b in node if b >= 0)
             if not children:
                 continue
-            while used[free]:
-                free += 1
-            base = free - children[0]
-            while base < 0 or any(used[base + c] for c in children):
-                base += 1
-                if base + 257 >= len(used):
-                    used += bytearray(len(used))
-            while base + 257 >= len(self.base):
-                used += bytearray(max(0, 2 * len(self.base) - len(used)))
-                self.base, self.check, self.value = (np.concatenate([a, np.full(len(a), x, np.int32)]) for a, x in ((self.base, 0), (self.check, -1), (self.value, -1)))
-            self.base[state] = base
+            at = max(single if len(children) == 1 else dense, children[0])
+            tries = 0
+            while True:
+                short = at - children[0] + 258 - len(used)
+                if short > 0:
+                    used += bytes(short)
+                    base += [0] * short
+                    check += [-1] * short
+                    value += [-1] * short
+                if not any(used[at - children[0] + c] for c in children):
+                    break
+                at += 1
+                tries += 1
+            if len(children) == 1:
+                single = at
+            elif tries > 32:
+                dense += tries // 2
+            base[state] = at - children[0]
             for c in children:
-                used[base + c] = 1
-                self.check[base + c] = state
-                todo.append((base + c, node[c - 1]))
+                used[base[state] + c] = 1
+                check[base[state] + c] = state
+                todo.append((base[state] + c, node[c - 1]))
+        self.base, self.check, self.value = (np.array(x + [d] * 258, np.int32) for x, d in ((base, 0), (check, -1), (value, -1)))
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The child of each state, -1 if there is none. Every state is at least 0."""
@@ -141,19 +148,20 @@ class Pieces:
         at = np.concatenate(([0], np.cumsum([len(p) for p in plain])))
         return cls(DoubleArray([model[i][0].replace(MARK, b" ") for i in used]), np.array(used, np.int32), scores, float(scores.min() - 10), byte_ids, np.frombuffer(b"".join(plain), np.uint8), at, np.array([k == BYTE for _, _, k in model]))
 
-    def best(self, words: list[bytes]) -> list[np.ndarray]:
-        """The piece ids of each word's best path. Of equal paths the one whose last piece begins first wins."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        while order:
-            longest = max(len(words[order[-1]]), 1)
-            take = max(1, min(len(order), 200_000 // longest))
-            for i, ids in zip(order[-take:], self._solve([words[i] for i in order[-take:]]), strict=True):
-                out[i] = ids
-            del order[-take:]
-        return out
-
-    def _solve(self, words: list[bytes]) -> list[np.ndarray]:
+    def best(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the piece ids of the words' best paths, how many each word has). Of equal paths the one found first stays."""
+        order = np.argsort([len(w) for w in words], kind="stable")[::-1]
+        at, found = 0, []
+        while at < len(order):
+            take = max(1, 200_000 // max(1, len(words[order[at]])))
+            found.append(self._solve([words[i] for i in order[at : at + take]]))
+            at += take
+        ids, size = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        begin = (np.cumsum(size) - size)[np.argsort(order)]
+        size = size[np.argsort(order)]
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    def _solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, width = len(words), max(map(len, words))
         size = np.array([len(w) for w in words])
         text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width).astype(np.int32)
@@ -185,15 +193,21 @@ class Pieces:
                 better = value > score[r, t + 1]
                 r = r[better]
                 score[r, t + 1], back[r, t + 1], piece[r, t + 1] = value[better], s, p[better]
-        out = []
-        for i, word in enumerate(words):
-            ids, e = [], len(word)
-            while e > 0:
-                s, p = back[i, e], piece[i, e]
-                ids[:0] = [self.ids[p]] if p >= 0 else self.byte_ids[list(word[s:e])]
-                e = s
-            out.append(np.array(ids, np.int32))
-        return out
+        # All paths, walked back together: a step gives one piece of each word, or the bytes of one character.
+        rows, end, order, ids, step = np.arange(n), size.copy(), [], [], 0
+        while len(rows := rows[end[rows] > 0]):
+            e = end[rows]
+            s, p = back[rows, e], piece[rows, e]
+            some = p >= 0
+            order.append((rows[some], np.full(some.sum(), step)))
+            ids.append(self.ids[p[some]])
+            for i in range(4):  # a character's last byte comes first here
+                r = rows[~some & (e - s > i)]
+                order.append((r, np.full(len(r), step + i)))
+                ids.append(self.byte_ids[text[r, end[r] - 1 - i]])
+            end[rows], step = s, step + 4
+        row, place = (np.concatenate(x) for x in zip(*order, strict=True)) if order else (np.zeros(0, np.int64),) * 2
+        return np.concatenate(ids)[np.lexsort((-place, row))] if ids else np.zeros(0, np.int32), np.bincount(row, minlength=n)
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of each text and where they begin; at: where each text's ids begin. The blank put first goes."""
@@ -214,25 +228,24 @@ _loaded: dict[str, Pieces] = {}
 def encoder(pieces: Pieces):
     """A function from a list of texts' bytes to (ids of all, where each text's begin); it remembers words."""
     number: dict[bytes, int] = {}
-    known: list[np.ndarray] = []
+    pool, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # word i has pool[ends[i] : ends[i + 1]]
 
     def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal known
+        nonlocal pool, ends
         if len(number) > REMEMBERED:
             number.clear()
-            known = []
+            pool, ends = pool[:0], ends[:1]
         split = [_words.findall(b" " + x.replace(MARK, b" ")) if x else [] for x in texts]
-        new = list({w for words in split for w in words if w not in number})
-        for w in new:
-            number[w] = len(number)
-        known += pieces.best(new)
-        which = np.fromiter((number[w] for words in split for w in words), np.int64)
-        length = np.fromiter(map(len, known), np.int64, len(known))
-        start = np.cumsum(length) - length
-        pool = np.concatenate(known) if known else np.zeros(0, np.int32)
-        size = length[which]
+        flat = list(chain.from_iterable(split))
+        new = list(set(flat).difference(number))
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            ids, size = pieces.best(new)
+            pool, ends = np.concatenate([pool, ids]), np.concatenate([ends, ends[-1] + np.cumsum(size)])
+        which = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        size = ends[which + 1] - ends[which]
         end = np.cumsum(size)
-        ids = pool[np.repeat(start[which] - (end - size), size) + np.arange(size.sum())]
+        ids = pool[np.repeat(ends[which] - (end - size), size) + np.arange(size.sum())]
         words_at = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
         return ids, np.concatenate(([0], end))[words_at]
 
