@@ -11,10 +11,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once, however long the texts are.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application, so that none needs it installed."""
+    """Sends the package's sources to the executors, once for each application, so that none needs it installed; sets ARROW."""
     context = spark.sparkContext
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
