@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step takes at once; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 256 << 10
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 

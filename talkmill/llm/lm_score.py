@@ -29,7 +29,7 @@ PROBES, BITS_PER_ITEM = 3, 8
 PAIR_SHARE = 0.1
 END, START = np.uint64(0xE5D), np.uint64(0x57A27)
 #: Keys that a counting task gathers before it packs them.
-HELD_KEYS = 4 << 20
+HELD_KEYS = 1 << 20
 #: Bytes of text that one counting task gets keys from; more text means more tasks.
 TASK_BYTES = 16 << 20
 
