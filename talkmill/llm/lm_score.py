@@ -10,11 +10,13 @@ arrays: a row holds what one task found for one other. A word is taken for its h
 
 The exact score needs the count of each token. Words that are at least 1 / FREQUENT of all training tokens, of which there
 can be no more than FREQUENT, are broadcast with their exact counts. Any other word is too rare to make a task uneven: its
-uses are dealt to the task that counted it, which returns sums to the documents.
+uses are dealt to the task that counted it, which returns sums by document, packed for the tasks that add them up.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -297,13 +299,25 @@ def score(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
                 place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 n = np.where((keys[place] == key) & (key != START), c[place], 0)
             rows, of = np.unique(row, return_inverse=True)
-            for i in range(0, len(rows), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                inside = (of >= i) & (of < i + (1 << 16)) if len(rows) > 1 << 16 else slice(None)
-                m = len(rows[part])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[part]), pa.array(np.bincount(of[inside] - i, n[inside] > 0, m).astype(np.int64)), pa.array(np.bincount(of[inside] - i, np.log10(n[inside] + 0.5), m))], names=["row", "known", "base"])
-
-    more = counted.unionByName(asked).repartition(tasks, "range").mapInArrow(answer, "row long, known long, base double").groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"))
+            yield from sums_of(rows, np.bincount(of, n > 0).astype(np.int64), np.bincount(of, np.log10(n + 0.5)))
+
+    def sums_of(rows, known, base):
+        """One row for each task that adds up documents: this task's sums for its documents."""
+        to = ranges_of(mix(rows.view(np.uint64)), tasks)
+        order = np.argsort(to, kind="stable")
+        edge = np.searchsorted(to[order], np.arange(tasks + 1))
+        packs = [(int(t), *(x[order[edge[t] : edge[t + 1]]].tobytes() for x in (rows, known, base))) for t in np.flatnonzero(np.diff(edge))]
+        yield batch_of(packs, ["to", "rows", "known", "base"], [pa.int32(), *[pa.binary()] * 3])
+
+    def add(batches):
+        got = [c.to_pylist() for batch in batches for c in batch.columns[1:]]
+        if got:
+            rows, known, base = (np.frombuffer(b"".join(chain.from_iterable(got[i::3])), kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+            rows, of = np.unique(rows, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(of, known).astype(np.int64)), pa.array(np.bincount(of, base))], names=["row", "more_known", "more_base"])
+
+    sums = counted.unionByName(asked).repartition(tasks, "range").mapInArrow(answer, "to int, rows binary, known binary, base binary")
+    more = sums.repartition(tasks, "to").mapInArrow(add, "row long, more_known long, more_base double")
     return used.where("range is null").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"), "score",
