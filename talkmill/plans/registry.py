@@ -2,5 +2,362 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from talkmill.functions import text as X
+from talkmill.operators import aggregates as A
+from talkmill.operators import decisions as D
+from talkmill.operators import ordered as O
+from talkmill.operators import stores as S
+from talkmill.plans.tables import CURVE, OBSERVATIONS, curve, observations, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9_./+-]+|[\\x{4e00}-\\x{9fff}]'), lambda x: lower(x))"
+
+
+@query(f"SELECT conv_id, turn, len({TOKENS})::INT AS n_tokens, len(list_filter({TOKENS}, lambda x: NOT list_contains([{STOP}], x)))::INT AS n_content, len(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> ''))::INT AS n_sentences FROM conversations")
+def t2_t5_tokens(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.count_tokens(t).alias("n_tokens"), F.size(X.content_tokens(t)).alias("n_content"), F.size(X.sentences(t)).alias("n_sentences"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest({TOKENS}) AS tok FROM conversations), c AS (SELECT conv_id, turn, tok, count(*) AS n FROM w GROUP BY ALL),
+e AS (SELECT conv_id, turn, sum(n) AS total, count(*) AS kinds, -sum(n / s * log2(n / s)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn)::DOUBLE AS s FROM c) GROUP BY 1, 2)
+SELECT v.conv_id, v.turn, round(CASE WHEN coalesce(kinds, 0) <= 1 THEN 0.0 ELSE least(1.0, h / log2(kinds)) END, 6) AS entropy FROM conversations v LEFT JOIN e USING (conv_id, turn)""")
+def t10_normalized_entropy(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.round(X.normalized_entropy(X.tokens(F.col("text"))), 6).alias("entropy"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest({TOKENS}) AS tok FROM conversations), c AS (SELECT conv_id, turn, tok, count(*) AS n FROM w WHERE tok NOT IN ({STOP}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, length(tok) DESC, tok) AS k FROM c)
+SELECT v.conv_id, v.turn, coalesce(tok, 'general') AS topic FROM conversations v LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (conv_id, turn)""")
+def t13_topic(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.topic(F.col("text")).alias("topic"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(c) <= 96 THEN c ELSE rtrim(substr(c, 1, 95)) || '…' END AS summary FROM s""")
+def t12_summary(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.summary(F.col("text")).alias("summary"))
+
+
+@query()
+def t11_entities(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.entities(F.col("text")).alias("entities"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(lower(text)), '[。.!！?]+$', ''), '\\s+', ' ', 'g')) AS fact_key FROM conversations")
+def p16_fact_key(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.fact_key(F.col("text")).alias("fact_key"))
+
+
+@query("""SELECT conv_id, turn, length(text)::INT AS n_chars, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS n_lines, len(regexp_extract_all(text, '[0-9]'))::INT AS n_digits,
+len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')))::INT AS n_words FROM conversations""")
+def v8_structure(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", *[c.cast("int").alias(n) for n, c in X.structure(F.col("text")).items()])
+
+
+@query("SELECT conv_id, turn, '[' || lpad(turn::VARCHAR, 3, '0') || '] ' || (turn - 1)::VARCHAR || '.' || role || ': ' || text AS line FROM conversations")
+def p9_render_turn(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.lpad(F.col("turn").cast("string"), 3, "0"), F.lit("] "), (F.col("turn") - 1).cast("string"), F.lit("."), "role", F.lit(": "), "text").alias("line"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS content_hash FROM conversations GROUP BY 1")
+def w7_segment_build(spark, sf):
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("l"))))
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("text"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    return g.select("conv_id", "text", "n_turns", "n_chars", F.sha2("text", 256).alias("content_hash"))
+
+
+@query("""WITH o AS (SELECT *, event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS ch FROM events)
+SELECT user_id, event_id, coalesce(sum(ch::INT) OVER (PARTITION BY user_id ORDER BY event_id), 0)::BIGINT AS slice_no FROM o""")
+def w1_session_slices(spark, sf):
+    return O.slices(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", "slice_no")
+
+
+DEPTH = f"""WITH {CURVE}, a AS (SELECT *, coalesce((lag(score) OVER w < score)::INT, 0) AS l, coalesce((lead(score) OVER w < score)::INT, 0) AS r FROM curve WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, sum(l) OVER (PARTITION BY conv_id ORDER BY turn) AS lg, sum(r) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rg FROM a),
+d AS (SELECT conv_id, turn, (max(score) OVER (PARTITION BY conv_id, lg ORDER BY turn) + max(score) OVER (PARTITION BY conv_id, rg ORDER BY turn DESC) - 2 * score) / 2 AS depth FROM b)"""
+
+
+@query(DEPTH + " SELECT conv_id, turn, round(depth, 9) AS depth FROM d")
+def w2_texttiling_depth(spark, sf):
+    return O.depths(curve(spark, sf).where("score IS NOT NULL"), "conv_id", "turn", "score").select("conv_id", "turn", F.round("depth", 9).alias("depth"))
+
+
+@query(DEPTH + " SELECT conv_id, turn, depth > avg(depth) OVER (PARTITION BY conv_id) + 0.5 * stddev_pop(depth) OVER (PARTITION BY conv_id) AS is_boundary FROM d")
+def w3_boundaries(spark, sf):
+    return O.boundaries(curve(spark, sf).where("score IS NOT NULL"), "conv_id", "turn", "score", 0.5).select("conv_id", "turn", "is_boundary")
+
+
+@query()
+def w5_w6_segments(spark, sf):
+    return O.segments(curve(spark, sf).select("conv_id", "turn", "score"), "conv_id", "turn")
+
+
+GAP = f"""WITH {OBSERVATIONS}, g AS (SELECT *, max(predicted_quality) OVER (PARTITION BY segment_id) AS best_quality FROM obs),
+e AS (SELECT *, greatest(0.0, best_quality - predicted_quality) + 0.01 <= 0.10 + 1e-12 AND best_quality >= 0.2 AS eligible, abs(predicted_quality - best_quality) <= 1e-12 AS is_best FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY CASE WHEN is_best THEN 0 ELSE 1 END, cost, model_id) AS rb, row_number() OVER (PARTITION BY segment_id ORDER BY CASE WHEN eligible THEN 0 ELSE 1 END, cost, -predicted_quality, model_id) AS re FROM e),
+dec AS (SELECT segment_id, max(best_quality) AS best_quality, max(CASE WHEN rb = 1 THEN model_id END) AS best_model, coalesce(max(CASE WHEN re = 1 AND eligible THEN model_id END), max(CASE WHEN rb = 1 THEN model_id END)) AS selected_model,
+  coalesce(max(CASE WHEN re = 1 AND eligible THEN cost END), max(CASE WHEN rb = 1 THEN cost END)) AS selected_cost,
+  coalesce(string_agg(CASE WHEN eligible THEN model_id::VARCHAR END, ',' ORDER BY model_id::VARCHAR), max(CASE WHEN rb = 1 THEN model_id END)::VARCHAR) AS eligible_models,
+  CASE WHEN max(best_quality) < 0.2 THEN 'below_quality_floor_predicted_best' WHEN bool_or(eligible) THEN 'cheapest_model_within_quality_tolerance' ELSE 'no_robust_candidate_predicted_best' END AS reason FROM r GROUP BY 1)"""
+
+
+@query(GAP + " SELECT * FROM dec")
+def w10_gap_decision(spark, sf):
+    return D.gap_decision(observations(spark, sf), 0.10, 0.01, 0.2)
+
+
+@query(GAP + """, top AS (SELECT segment_id, max(actual_quality) AS top, max(cost) AS dearest FROM obs GROUP BY 1),
+x AS (SELECT greatest(0.0, top - actual_quality) AS regret, cost, dearest FROM dec JOIN obs ON obs.segment_id = dec.segment_id AND obs.model_id = selected_model JOIN top ON top.segment_id = dec.segment_id)
+SELECT count(*) AS n, round(avg(regret), 6) AS mean_regret, round(quantile_cont(regret, 0.5), 6) AS median_regret, round(quantile_cont(regret, 0.9), 6) AS p90_regret, round(quantile_cont(regret, 0.95), 6) AS p95_regret, round(avg((regret > 0.05 + 1e-12)::INT), 6) AS violation_rate, round(1 - sum(cost) / sum(dearest), 6) AS cost_saving FROM x""")
+def a5_gap_evaluation(spark, sf):
+    o = observations(spark, sf)
+    return D.evaluate(o, D.gap_decision(o, 0.10, 0.01, 0.2), 0.05)
+
+
+@query(f"""WITH {OBSERVATIONS}, r AS (SELECT greatest(0.0, max(actual_quality) OVER w - actual_quality) - greatest(0.0, max(predicted_quality) OVER w - predicted_quality) AS r FROM obs WINDOW w AS (PARTITION BY segment_id)),
+n AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM r) SELECT round(greatest(0.0, min(r)), 9) AS residual_bound FROM n WHERE k >= ceil(0.95 * (n - 1))""")
+def a6_residual_bound(spark, sf):
+    return D.residual_bound(observations(spark, sf), 0.95).select(F.round("residual_bound", 9).alias("residual_bound"))
+
+
+@query(f"""WITH {OBSERVATIONS}, g AS (SELECT *, max(predicted_quality) OVER w - predicted_quality AS gap, max(actual_quality) OVER w AS top FROM obs WINDOW w AS (PARTITION BY segment_id)),
+c AS (SELECT epsilon, g.*, row_number() OVER (PARTITION BY epsilon, segment_id ORDER BY cost, -predicted_quality, model_id) AS k FROM g, (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS epsilon) WHERE gap <= epsilon + 1e-12)
+SELECT epsilon::DOUBLE AS epsilon, round(avg(top - actual_quality), 6) AS mean_regret, round(avg(cost), 4) AS mean_cost, count(*) AS n FROM c WHERE k = 1 GROUP BY 1""")
+def a7_calibration_sweep(spark, sf):
+    return D.sweep(observations(spark, sf), [0.0, 0.05, 0.1, 0.2])
+
+
+@query(f"WITH {OBSERVATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY cost, -actual_quality, model_id) AS k FROM (SELECT *, max(actual_quality) OVER (PARTITION BY segment_id) AS top FROM obs) WHERE top - actual_quality <= 0.05 + 1e-12) SELECT segment_id, model_id AS oracle_model, cost AS oracle_cost FROM r WHERE k = 1")
+def w11_epsilon_oracle(spark, sf):
+    o = observations(spark, sf).withColumn("predicted_quality", F.col("actual_quality"))
+    return D.gap_decision(o, 0.05).select("segment_id", F.col("selected_model").alias("oracle_model"), F.col("selected_cost").alias("oracle_cost"))
+
+
+@query()
+def g1_budget(spark, sf):
+    o = observations(spark, sf).withColumn("sample_id", F.floor(F.col("segment_id") / 40))
+    return D.budget(o.withColumn("cost", F.ceil(F.col("cost") / 10000.0).cast("double")), "sample_id", 200.0)
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2), s AS (SELECT *, 1000 * w / sum(w) OVER (PARTITION BY l_orderkey) AS share FROM r),
+k AS (SELECT *, 1000 - sum(floor(share)) OVER (PARTITION BY l_orderkey) AS rest, row_number() OVER (PARTITION BY l_orderkey ORDER BY share - floor(share) DESC, l_linenumber) AS n FROM s)
+SELECT l_orderkey, l_linenumber, (floor(share) + CASE WHEN n <= rest THEN 1 ELSE 0 END)::BIGINT AS allocated FROM k""")
+def w17_largest_remainder(spark, sf):
+    r = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("w")).withColumn("total", F.lit(1000))
+    return O.largest_remainder(r, "l_orderkey", "l_linenumber", "w", "total").select("l_orderkey", "l_linenumber", "allocated")
+
+
+PACK = """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+p AS (SELECT source, doc_id, t, k, 0::BIGINT AS batch_no, 1 AS n, t AS s, t + 100 > 12000 AS closed FROM o WHERE k = 1 UNION ALL
+SELECT o.source, o.doc_id, o.t, o.k, p.batch_no + (p.closed OR o.t + 100 > 12000 OR p.n >= 8 OR p.s + o.t + 100 > 12000)::INT, CASE WHEN p.closed OR o.t + 100 > 12000 OR p.n >= 8 OR p.s + o.t + 100 > 12000 THEN 1 ELSE p.n + 1 END,
+CASE WHEN p.closed OR o.t + 100 > 12000 OR p.n >= 8 OR p.s + o.t + 100 > 12000 THEN o.t ELSE p.s + o.t END, o.t + 100 > 12000 FROM p JOIN o ON o.source = p.source AND o.k = p.k + 1)"""
+
+
+@query(PACK + " SELECT source, doc_id, batch_no FROM p")
+def w20_buffer_packing(spark, sf):
+    return O.pack(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", 8, 12000, 100).select("source", "doc_id", "batch_no")
+
+
+@query(PACK + " SELECT source, count(DISTINCT batch_no) AS n_batches, (sum(t) + 100 * count(DISTINCT batch_no))::BIGINT AS input_tokens, round((sum(t) + 100 * count(DISTINCT batch_no)) * 0.287 / 1000000, 9) AS input_cost FROM p GROUP BY 1")
+def w21_cost_replay(spark, sf):
+    p = O.pack(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", 8, 12000, 100)
+    tokens = F.sum("n_chars") + 100 * F.count_distinct("batch_no")
+    return p.groupBy("source").agg(F.count_distinct("batch_no").alias("n_batches"), tokens.alias("input_tokens"), F.round(tokens * 0.287 / 1000000, 9).alias("input_cost"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type AS run, count(DISTINCT event_id % 3) AS n_items, min(event_id) AS f FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f DESC) AS k FROM r WHERE n_items >= 2) SELECT user_id, run, n_items FROM k WHERE k = 1""")
+def w23_latest_complete_run(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("run"), (F.col("event_id") % 3).alias("item"), "event_id")
+    return O.latest_complete(e, "user_id", "run", "item", "event_id", 2)
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, value::BIGINT ORDER BY event_id) AS d, value::BIGINT AS v FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS rank FROM o WHERE d = 1) SELECT user_id, event_id, rank::INT AS rank FROM k WHERE rank <= 15""")
+def w12_w13_dedup_rank(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.rint("value").cast("bigint").alias("v"))
+    return O.dedup_rank(e, "user_id", ["event_type", "v"], ["event_type", "event_id"], 15).select("user_id", "event_id", "rank")
+
+
+@query("SELECT source, doc_id, turn::INT AS turn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 150")
+def w14_round_robin(spark, sf):
+    return O.round_robin(table(spark, sf, "documents").select("source", "doc_id"), "source", ["doc_id"], 150)
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY sha256('seed42|' || l_orderkey || '|' || l_linenumber))::INT AS position FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def w28_anonymous_order(spark, sf):
+    return O.shuffled(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber", "seed42")
+
+
+LABELS = """c AS (SELECT l_orderkey AS k, l_linenumber AS m, count(*) AS n, sum((l_returnflag = 'A')::INT) AS s, sum((l_returnflag = 'N')::INT) AS p,
+sum(((l_linestatus = 'O' OR l_tax >= 0.04) AND l_quantity >= 30)::INT) AS f, sum(((l_linestatus = 'O' OR l_tax >= 0.04) AND l_quantity < 30)::INT) AS pt, sum((l_linestatus <> 'O' AND l_tax >= 0.04)::INT) AS it, sum((l_linestatus <> 'O')::INT) AS tt FROM lineitem GROUP BY 1, 2),
+x AS (SELECT k, m, s / n::DOUBLE AS sp, (s + 0.5 * p) / n AS fp, f / n::DOUBLE AS sr, (f + 0.5 * pt) / n AS pr, CASE WHEN tt = 0 THEN NULL ELSE it / tt::DOUBLE END AS tr FROM c)"""
+
+
+@query(f"WITH {LABELS} SELECT k AS l_orderkey, m AS l_linenumber, sp AS strict_precision, fp AS soft_precision, sr AS strict_recall, pr AS partial_recall, tr AS temporal_recall, round(CASE WHEN sp + sr = 0 THEN 0.0 ELSE 2 * sp * sr / (sp + sr) END, 9) AS f1, round(CASE WHEN 4 * fp + pr = 0 THEN 0.0 ELSE 5 * fp * pr / (4 * fp + pr) END, 9) AS f2 FROM x")
+def a1_quality_label(spark, sf):
+    l, key = table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]
+    c = l.select(*key, F.when(F.col("l_returnflag") == "A", "SUPPORTED").when(F.col("l_returnflag") == "N", "PARTIALLY_SUPPORTED").otherwise("UNSUPPORTED").alias("semantic_status"))
+    g = l.select(*key, F.when(F.col("l_quantity") >= 30, "FULL").otherwise("PARTIAL").alias("coverage_status"), F.when(F.col("l_linestatus") == "O", "NOT_APPLICABLE").when(F.col("l_tax") >= 0.04, "PASS").otherwise("FAIL").alias("time_status"))
+    return A.quality_label(c, g, key).withColumns({"f1": F.round("f1", 9), "f2": F.round("f2", 9)})
+
+
+@query("""WITH c AS (SELECT l_suppkey, sum((l_returnflag = 'A')::INT)::BIGINT AS tp, sum((l_returnflag = 'N')::INT)::BIGINT AS fp, sum((l_returnflag = 'R')::INT)::BIGINT AS fn FROM lineitem GROUP BY 1)
+SELECT l_suppkey, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn)::DOUBLE END AS recall, CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1,
+CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 5.0 * tp / (5.0 * tp + 4.0 * fn + fp)::DOUBLE END AS f_beta, CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + fp + fn)::DOUBLE END AS jaccard, CASE WHEN tp + fp = 0 THEN 0.0 ELSE fp / (tp + fp)::DOUBLE END AS false_discovery_rate, CASE WHEN tp + fn = 0 THEN 0.0 ELSE fn / (tp + fn)::DOUBLE END AS false_negative_rate, (fp = 0 AND fn = 0)::INT::DOUBLE AS exact_match FROM c""")
+def a2_set_metrics(spark, sf):
+    flag = F.col("l_returnflag")
+    c = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(flag == "A").alias("tp"), F.count_if(flag == "N").alias("fp"), F.count_if(flag == "R").alias("fn"))
+    return A.set_metrics(c, ["l_suppkey"], 2.0)
+
+
+@query("WITH o AS (SELECT event_type AS grp, user_id AS segment, event_id % 200 AS question, max((value > 50)::INT) AS ok FROM events GROUP BY 1, 2, 3) SELECT grp, segment, count(*) AS n_questions, round(avg(ok), 6) AS accuracy FROM o GROUP BY 1, 2")
+def a3_segment_usage(spark, sf):
+    return A.usage(table(spark, sf, "events").withColumn("q", F.col("event_id") % 200), "event_type", "user_id", "q", F.col("value") > 50)
+
+
+@query("""WITH p AS (SELECT c_acctbal0 AS x, y FROM (SELECT o_custkey, round(avg(o_totalprice) - 150000, 0) AS c_acctbal0, count(*) - 10 AS y FROM orders GROUP BY 1)),
+r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p)
+SELECT round(coalesce(avg(CASE WHEN x <> 0 AND y <> 0 THEN (sign(x) = sign(y))::INT END), 0), 6) AS sign_agreement, round(coalesce(corr(rx, ry), 0), 6) AS spearman FROM r""")
+def a4_consistency(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.avg("o_totalprice") - 150000, 0).alias("x"), (F.count("*") - 10).alias("y"))
+    return A.consistency(o, "x", "y")
+
+
+@query("""WITH e AS (SELECT value > 50 AS correct, event_type AS category, (user_id % 4)::VARCHAR AS kind FROM events), g AS (SELECT grouping(category) AS gc, grouping(kind) AS gk, category, kind, count(*) AS n, avg(correct::INT) AS a FROM e GROUP BY GROUPING SETS ((), (category), (kind)))
+SELECT CASE WHEN gc = 0 THEN 'category' WHEN gk = 0 THEN 'kind' ELSE 'overall' END AS grouping, CASE WHEN gc = 0 THEN category WHEN gk = 0 THEN kind ELSE 'all' END AS value, n AS n_questions, round(a, 6) AS accuracy, round(sqrt(a * (1 - a)), 6) AS deviation FROM g""")
+def a15_outcome_summary(spark, sf):
+    e = table(spark, sf, "events").select((F.col("value") > 50).alias("correct"), F.col("event_type").alias("category"), (F.col("user_id") % 4).cast("string").alias("kind"))
+    return A.outcome_summary(e, "category", "kind")
+
+
+@query("WITH f AS (SELECT user_id % 5 AS fold, avg((value > 50)::INT) AS a FROM events GROUP BY 1) SELECT round(avg(a), 6) AS mean, round(coalesce(stddev_samp(a), 0), 6) AS deviation, round(coalesce(stddev_samp(a), 0) / sqrt(count(*)), 6) AS error, round(min(a), 6) AS lowest, round(max(a), 6) AS highest FROM f")
+def a16_fold_accuracy(spark, sf):
+    f = table(spark, sf, "events").groupBy(F.col("user_id") % 5).agg(F.avg((F.col("value") > 50).cast("int")).alias("a"))
+    s = F.coalesce(F.stddev_samp("a"), F.lit(0.0))
+    return f.agg(F.round(F.avg("a"), 6).alias("mean"), F.round(s, 6).alias("deviation"), F.round(s / F.sqrt(F.count("*")), 6).alias("error"), F.round(F.min("a"), 6).alias("lowest"), F.round(F.max("a"), 6).alias("highest"))
+
+
+@query("""SELECT 'l_discount' AS feature, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS scale FROM lineitem UNION ALL SELECT 'l_quantity', round(avg(l_quantity), 6), round(stddev_pop(l_quantity), 6) FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax), 6), round(stddev_pop(l_tax), 6) FROM lineitem""")
+def a26_scaler(spark, sf):
+    return A.scaler(table(spark, sf, "lineitem"), ["l_discount", "l_quantity", "l_tax"])
+
+
+@query("SELECT coalesce(l_returnflag, 'all') AS tier, count(*) AS n_calls, count(DISTINCT l_orderkey) AS n_batches, round(sum(l_extendedprice), 2) AS cost, round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 2) AS fallback_cost FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def a11_cost_rollup(spark, sf):
+    p = F.col("l_extendedprice")
+    return table(spark, sf, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n_calls"), F.count_distinct("l_orderkey").alias("n_batches"), F.round(F.sum(p), 2).alias("cost"), F.round(F.sum(F.when(F.col("l_linestatus") == "F", p).otherwise(0.0)), 2).alias("fallback_cost")).select(F.coalesce("l_returnflag", F.lit("all")).alias("tier"), "n_calls", "n_batches", "cost", "fallback_cost")
+
+
+@query("SELECT user_id, sum((event_type = 'click')::INT)::BIGINT AS click, sum((event_type = 'error')::INT)::BIGINT AS error, sum((event_type = 'purchase')::INT)::BIGINT AS purchase FROM events GROUP BY 1")
+def a25_state_summary(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").pivot("event_type", ["click", "error", "purchase"]).count().fillna(0)
+
+
+@query("""WITH old AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2)
+SELECT * FROM old UNION ALL SELECT * FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.user_id = new.user_id AND old.event_type = new.event_type)""")
+def k5_append_ledger(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    old = e.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return S.append_new(old, e, ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def k6_upsert_ledger(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    return S.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT * FROM (SELECT user_id, event_type, event_id FROM events WHERE event_id % 3 <> 0) a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 3 = 0 AND b.user_id = a.user_id) UNION ALL SELECT user_id, event_type, event_id FROM events WHERE event_id % 3 = 0")
+def k8_replace_scope(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    return S.replace_scope(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0"), ["user_id"])
+
+
+@query("WITH a AS (SELECT user_id, event_type, count(*) AS n_a FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS n_b FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) SELECT user_id, event_type, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM a FULL JOIN b USING (user_id, event_type) WHERE coalesce(n_a, 0) <> coalesce(n_b, 0)")
+def o4_multiset_difference(spark, sf):
+    e = table(spark, sf, "events")
+    return S.multiset_difference(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"])
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS score FROM q JOIN embeddings p ON p.label = q.label),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s) SELECT query_id, point_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 20""")
+def v3_filtered_knn(spark, sf):
+    e = table(spark, sf, "embeddings")
+    found = S.knn(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("v")), "label", 20)
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
+def j12_close_pairs(spark, sf):
+    e = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("point_id"), F.col("embedding").alias("v"))
+    return S.close_pairs(e, "label", 0.3).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings WHERE label % 2 = 0 GROUP BY 1")
+def v4_filtered_count(spark, sf):
+    return table(spark, sf, "embeddings").where("label % 2 = 0").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS preceding FROM conversations")
+def j19_preceding_turn(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("preceding"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id % 3 AS part, event_type || (event_id % 50)::VARCHAR AS session FROM events) SELECT a.part AS a, b.part AS b, count(*) AS n_shared FROM s a JOIN s b ON a.session = b.session AND a.part < b.part GROUP BY 1, 2""")
+def j13_partition_overlap(spark, sf):
+    s = table(spark, sf, "events").select((F.col("user_id") % 3).alias("part"), F.concat("event_type", (F.col("event_id") % 50).cast("string")).alias("session")).distinct()
+    return s.select(F.col("part").alias("a"), "session").join(s.select(F.col("part").alias("b"), "session"), "session").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT 'd' || doc_id AS u, 'p' || left(text, 12) AS v FROM documents UNION SELECT 'd' || doc_id, 's' || right(text, 12) FROM documents), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT DISTINCT u AS node, u AS g FROM e UNION SELECT e.v, r.g FROM r JOIN e ON e.u = r.node) SELECT node, min(g) AS group_id FROM r GROUP BY 1""")
+def g2_evidence_groups(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("u"), "text")
+    ends = d.select("u", F.concat(F.lit("p"), F.left("text", F.lit(12))).alias("v")).union(d.select("u", F.concat(F.lit("s"), F.right("text", F.lit(12))).alias("v")))
+    return S.evidence_groups(ends)
+
+
+@query("""WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT quantile_disc(n, 0.25) AS a, quantile_disc(n, 0.5) AS b, quantile_disc(n, 0.75) AS c FROM n) SELECT o_custkey, CASE WHEN n <= a THEN 0 WHEN n <= b THEN 1 WHEN n <= c THEN 2 ELSE 3 END AS bin FROM n, q""")
+def w27_quartile_bins(spark, sf):
+    n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    q = n.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n)").alias(c) for p, c in ((0.25, "a"), (0.5, "b"), (0.75, "c"))])
+    return n.crossJoin(F.broadcast(q)).select("o_custkey", F.when(F.col("n") <= F.col("a"), 0).when(F.col("n") <= F.col("b"), 1).when(F.col("n") <= F.col("c"), 2).otherwise(3).alias("bin"))
+
+
+@query("""SELECT 'missing_customer' AS code, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'duplicate_line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'bad_discount', count(*) FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 1 UNION ALL SELECT 'order_without_lines', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def q1_audit(spark, sf):
+    o, l, c = (table(spark, sf, n) for n in ("orders", "lineitem", "customer"))
+    rules = {
+        "missing_customer": o.join(c, o.o_custkey == c.c_custkey, "left_anti"), "duplicate_line": l.groupBy("l_orderkey", "l_linenumber").count().where("count > 1"),
+        "bad_discount": l.where("l_discount < 0 OR l_discount > 1"), "order_without_lines": o.join(l, o.o_orderkey == l.l_orderkey, "left_anti"),
+    }
+    out = None
+    for code, rows in rules.items():
+        one = rows.agg(F.lit(code).alias("code"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT DISTINCT substr(sha256('review|' || doc_id || '|' || source), 1, 20) AS review_id, doc_id FROM documents WHERE n_chars > 3000")
+def q5_review_queue(spark, sf):
+    return table(spark, sf, "documents").where("n_chars > 3000").select(F.substring(F.sha2(F.concat_ws("|", F.lit("review"), F.col("doc_id").cast("string"), "source"), 256), 1, 20).alias("review_id"), "doc_id").dropDuplicates(["review_id"])
