@@ -76,7 +76,8 @@ def segments(turns: DataFrame, scope: str, order: str, alpha: float = 0.5, min_t
         return pd.DataFrame([(pdf[scope].iloc[0], n, at[a], at[b - 1], b - a, why) for n, (a, b, why) in enumerate(done)], columns=[scope, "segment_no", "first_turn", "last_turn", "n_turns", "reason"])
 
     kinds = dict(turns.dtypes)
-    return rows.groupBy(scope).applyInPandas(build, f"{scope} {kinds[scope]}, segment_no long, first_turn {kinds[order]}, last_turn {kinds[order]}, n_turns long, reason string")
+    spread = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be merged into one task
+    return rows.repartition(spread, scope).groupBy(scope).applyInPandas(build, f"{scope} {kinds[scope]}, segment_no long, first_turn {kinds[order]}, last_turn {kinds[order]}, n_turns long, reason string")
 
 
 def pack(rows: DataFrame, scope: list[str], order: str, tokens: str, max_rows: int, max_tokens: int, base: int = 0) -> DataFrame:

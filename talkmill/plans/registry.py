@@ -9,6 +9,7 @@ from talkmill.functions import text as X
 from talkmill.operators import aggregates as A
 from talkmill.operators import decisions as D
 from talkmill.operators import ordered as O
+from talkmill.operators import routing as R
 from talkmill.operators import stores as S
 from talkmill.plans.tables import CURVE, OBSERVATIONS, curve, observations, table
 
@@ -361,3 +362,63 @@ def q1_audit(spark, sf):
 @query("SELECT DISTINCT substr(sha256('review|' || doc_id || '|' || source), 1, 20) AS review_id, doc_id FROM documents WHERE n_chars > 3000")
 def q5_review_queue(spark, sf):
     return table(spark, sf, "documents").where("n_chars > 3000").select(F.substring(F.sha2(F.concat_ws("|", F.lit("review"), F.col("doc_id").cast("string"), "source"), 256), 1, 20).alias("review_id"), "doc_id").dropDuplicates(["review_id"])
+
+
+@query("SELECT l_orderkey, CASE WHEN sum(l_quantity) < 50 THEN 'small' WHEN sum(l_quantity) < 120 THEN 'medium' ELSE 'large' END AS tier FROM lineitem GROUP BY 1")
+def g9_length_router(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(R.length_router(F.sum("l_quantity"), 50, 120).alias("tier"))
+
+
+@query()
+def g8_matching(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_partkey", "l_linenumber", F.pmod("l_suppkey", F.lit(7)).alias("fact"))
+    return R.matching(l, "l_partkey", "l_linenumber", "fact")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), p AS (SELECT user_id, k, greatest(0.0, 0.01 * (value - 50)) AS m FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, greatest(0.0, p.m + 0.01 * (o.value - 50)) FROM p JOIN o ON o.user_id = p.user_id AND o.k = p.k + 1)
+SELECT user_id, round(arg_max(m, k), 6) AS multiplier FROM p GROUP BY 1""")
+def g14_multiplier(spark, sf):
+    costs = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
+    return table(spark, sf, "events").groupBy("user_id").agg(F.round(R.multiplier(costs, 50.0, 0.01), 6).alias("multiplier"))
+
+
+@query("SELECT user_id, event_type, event_id AS epoch FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(value) DESC, event_id % 10, event_id) AS n FROM events WHERE event_id % 10 <= 7) WHERE n = 1")
+def g14a_checkpoint_choice(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("epoch"), F.round("value").alias("score"), (F.col("event_id") % 10).alias("cost"))
+    best = R.checkpoint_choice(e, "user_id", 7)
+    return best.join(e.select("user_id", "epoch", "event_type"), ["user_id", "epoch"]).select("user_id", "event_type", "epoch")
+
+
+@query("""WITH r AS (SELECT source, count(*) AS n, sum((n_chars < 200)::INT)::BIGINT AS n_empty, sum((n_chars > 8000)::INT)::BIGINT AS n_failed FROM documents GROUP BY 1)
+SELECT source, n, n_empty, n_failed, round(n_empty / n, 6) AS empty_rate, round(n_failed / n, 6) AS failed_rate, CASE WHEN round(n_empty / n, 6) > 0.1 OR round(n_failed / n, 6) > 0.05 THEN 'quality_failed' ELSE 'complete' END AS state FROM r""")
+def a9_campaign(spark, sf):
+    d = table(spark, sf, "documents").select("source", (F.col("n_chars") < 200).alias("is_empty"), (F.col("n_chars") > 8000).alias("is_failed"), F.lit(True).alias("is_done"))
+    return R.campaign(d, "source", 0.1, 0.05)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN len({TOKENS}) <= 20 THEN text ELSE regexp_extract(text, '^(?:(?s:.*?)(?:[A-Za-z0-9_./+-]+|[\\x{{4e00}}-\\x{{9fff}}])){{20}}') END AS head FROM conversations")
+def w25_truncate(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", R.truncate_tokens(F.col("text"), 20).alias("head"))
+
+
+@query("SELECT event_id, event_type AS kind, upper(event_type) AS label, (json_extract_string(props, '$') IS NOT NULL) AS is_json FROM events")
+def p26_json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"), F.upper("event_type").alias("label"), F.get_json_object("props", "$").isNotNull().alias("is_json"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem), b AS (SELECT o_orderkey FROM orders) SELECT coalesce(l_orderkey, o_orderkey) AS orderkey, CASE WHEN o_orderkey IS NULL THEN 'missing' ELSE 'extra' END AS state FROM a FULL JOIN b ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL OR o_orderkey IS NULL""")
+def o1_missing_extra(spark, sf):
+    a, b = table(spark, sf, "lineitem").select("l_orderkey").distinct(), table(spark, sf, "orders").select("o_orderkey")
+    j = a.join(b, a.l_orderkey == b.o_orderkey, "full_outer").where("l_orderkey IS NULL OR o_orderkey IS NULL")
+    return j.select(F.coalesce("l_orderkey", "o_orderkey").alias("orderkey"), F.when(F.col("o_orderkey").isNull(), "missing").otherwise("extra").alias("state"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN len(list_filter(regexp_split_to_array(text, '[。！？!?;\\n]+'), lambda s: contains(s, '必须') OR contains(s, '不要') OR contains(s, '不得') OR contains(s, 'only') OR contains(s, 'must') OR contains(s, 'should not'))) > 0 THEN true ELSE false END AS has_constraint FROM conversations")
+def t14_constraints(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", (F.size(X.constraints(F.col("text"))) > 0).alias("has_constraint"))
+
+
+@query("""SELECT p_type, p.p_partkey, sum(l_quantity * 0.287)::DOUBLE AS cost FROM lineitem JOIN (SELECT p_partkey, p_partkey % 3 AS p_type FROM part) p ON l_partkey = p.p_partkey GROUP BY 1, 2""")
+def j17_price_join(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("p_type"))
+    return table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type", "p_partkey").agg(F.sum(F.col("l_quantity") * 0.287).alias("cost"))
