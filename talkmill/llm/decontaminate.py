@@ -37,7 +37,7 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, lists: int = 2) -> DataFrame:
-    """(key, pattern, start, size): every exact occurrence. docs: key, text; patterns: pattern, words (not empty).
+    """(key, pattern, start, size): every exact occurrence. docs: key, text (rows may repeat); patterns: pattern, words (not empty).
 
     lists: postings lists that are intersected for a pattern before its places are compared in full.
     """
@@ -55,7 +55,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, lists: int = 2) -> DataFra
     used = wanted.select("term").distinct()
     index = written(postings.join(small(used, n_wanted), "term").select("term", "key", "pos"))
     moved = index.join(small(wanted, n_wanted), "term").select("key", "pattern", "lists", "size", "rank", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    places = moved.groupBy("key", "pattern", "start", "lists", "size").agg(F.count("rank").alias("n")).where("n = lists").select("key", "pattern", "start", "size")
+    places = moved.groupBy("key", "pattern", "start", "lists", "size").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("rank"))).alias("met")).where("met = shiftleft(1, lists) - 1").select("key", "pattern", "start", "size")
     n_chosen = chosen.count()
     places = written(places.join(small(chosen.select("pattern", "words"), n_chosen), "pattern"))
     near = places.groupBy("key").agg(F.collect_set(F.struct("pattern", "start", "size", "words")).alias("places"))

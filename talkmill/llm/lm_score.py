@@ -132,7 +132,7 @@ class FrequencyFilter:
 
     @staticmethod
     def items(keys: np.ndarray, level: int, size: np.ndarray) -> list[np.ndarray]:
-        h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+        h = mix(keys ^ np.uint64(level * 0xC2B2AE3D27D4EB4F % 2**64))
         step = mix(h ^ np.uint64(0xA5A5A5A5)) | np.uint64(1)
         return [((h + np.uint64(p) * step) % size.astype(np.uint64)).astype(np.int64) for p in range(PROBES)]
 
