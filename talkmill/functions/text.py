@@ -10,6 +10,14 @@ TOKEN = r"[A-Za-z0-9_./+-]+|[\x{4e00}-\x{9fff}]"
 ENTITY = r"\b[A-Z][A-Za-z0-9_.-]{1,}\b"
 SENTENCE_END = r"[。！？!?;\n]+"
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "for", "from", "i", "in", "is", "it", "of", "on", "or", "our", "the", "to", "we", "with", "了", "个", "们", "在", "是", "有", "和", "就", "也", "都", "我", "把", "的"]
+CLAUSE_END = r"[。！？!?;；,，:：.\n]+"
+VERBS = ["build", "define", "design", "extract", "implement", "plan", "run", "study", "use", "做", "写", "实现", "开发", "构建", "测试", "研究", "设计"]
+PREDICATES = VERBS + ["add", "analyze", "call", "change", "choose", "compare", "compute", "control", "create", "decide", "detect", "evaluate", "filter", "generate", "include", "measure", "need", "output", "record", "route", "save", "score", "select", "store", "update", "want"]
+ALIASES = {"ai": "artificial_intelligence", "avg": "average", "bert": "language_model", "chatgpt": "language_model", "costs": "cost", "gpt": "language_model", "llm": "language_model", "llms": "language_model", "model": "language_model", "models": "language_model", "qa": "question_answering", "score": "scoring", "scores": "scoring", "thresholds": "threshold"}
+IRREGULAR = {"built": "build", "ran": "run", "running": "run", "stored": "store", "using": "use", "used": "use"}
+#: (a word longer than this, with this ending, loses so many letters, and gains these); the first that fits.
+ENDINGS = [(5, "ies$", 3, "y"), (5, "ing$", 3, ""), (4, "ied$", 3, "y"), (4, "ed$", 2, ""), (4, "(ches|shes|sses|xes|zes)$", 2, ""), (3, "[^sui]s$", 1, "")]
+PREFERENCE_MARKS = ["喜欢", "希望"]
 CONSTRAINT_MARKS = ["必须", "不要", "不得", "only", "must", "should not"]
 
 
@@ -84,3 +92,68 @@ def fact_key(text: Column) -> Column:
 def structure(text: Column) -> dict[str, Column]:
     """Counts that a router looks at: characters, lines, digits, distinct lower-case words."""
     return {"n_chars": F.length(text), "n_lines": F.regexp_count(text, F.lit("\n")) + 1, "n_digits": F.regexp_count(text, F.lit("[0-9]")), "n_words": F.size(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))}
+
+
+def preferences(text: Column) -> Column:
+    """Sentences that tell a liking, summarised."""
+    held = F.filter(sentences(text), lambda s: F.greatest(F.lower(s).contains("prefer"), *[s.contains(m) for m in PREFERENCE_MARKS]))
+    return F.transform(held, lambda s: summary(s, 48))
+
+
+def event_clauses(text: Column) -> Column:
+    """Sentences that hold a verb of doing, summarised; without any, the whole text, if it isn't blank."""
+    held = F.transform(F.filter(sentences(text), lambda s: F.greatest(*[F.lower(s).contains(v) for v in VERBS])), lambda s: summary(s, 88))
+    whole = F.coalesce(text, F.lit(""))
+    return F.when((F.size(held) > 0) | (F.trim(whole) == ""), held).otherwise(F.array(summary(whole, 88)))
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def is_content(token: Column) -> Column:
+    """Not a stopword, not one Latin letter, and with a letter, digit or CJK character."""
+    return ~token.isin(STOPWORDS) & ~token.rlike("^[a-z]$") & token.rlike(r"[a-z0-9_\x{4e00}-\x{9fff}]")
+
+
+def stem(word: Column) -> Column:
+    """A stripped lower-case word without its ending."""
+    out = F.when(F.try_element_at(literal_map(IRREGULAR), word).isNotNull(), F.try_element_at(literal_map(IRREGULAR), word)).when(~word.rlike("^[a-z][a-z0-9_./+-]*$"), word)
+    for longer, ending, lost, gained in ENDINGS:
+        left = F.concat(F.left(word, F.length(word) - lost), F.lit(gained))
+        if ending == "ing$":
+            left = F.when(F.length(left) > 2, F.regexp_replace(left, r"(.)\1$", "$1")).otherwise(left)
+        out = out.when((F.length(word) > longer) & word.rlike(ending), left)
+    return out.otherwise(word)
+
+
+def concepts(words: Column) -> Column:
+    """Each token's concept: marks stripped, ending off, synonyms folded. Steps are arrays, so none is worked out twice."""
+    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[._+/-]+|[._+/-]+$", ""))
+    return F.transform(F.transform(bare, stem), lambda w: F.coalesce(F.try_element_at(literal_map(ALIASES), w), w))
+
+
+def content_terms(text: Column) -> Column:
+    """Concepts of the content tokens, repeats included."""
+    return F.filter(concepts(F.filter(tokens(text), is_content)), lambda w: (w != "") & ~w.isin(STOPWORDS))
+
+
+def clause_units(terms: Column) -> Column:
+    """A clause's units: subject::predicate::object of each predicate (three terms after it); else pairs of neighbours; else that one exists."""
+    name = lambda *x: F.concat_ws("::", *x)
+    implicit = F.lit("implicit")
+    at = F.filter(F.transform(terms, lambda w, i: F.when(w.isin(PREDICATES) | w.rlike("i[sz]e$"), i)), lambda i: i.isNotNull())
+
+    def around(i):
+        after = F.slice(terms, i + 2, F.lit(3))
+        objects = F.when(F.size(after) > 0, after).otherwise(F.array(implicit))
+        return F.transform(F.filter(objects, lambda o: o != F.get(terms, i)), lambda o: name(F.when(i > 0, F.get(terms, i - 1)).otherwise(implicit), F.get(terms, i), o))
+
+    pairs = F.filter(F.transform(terms, lambda w, i: F.when(F.get(terms, i + 1) != w, name(w, F.lit("rel"), F.get(terms, i + 1)))), lambda u: u.isNotNull())
+    return F.when(F.size(at) > 0, F.flatten(F.transform(at, around))).when(F.size(terms) == 1, F.array(name(F.get(terms, F.lit(0)), F.lit("exists")))).otherwise(pairs)
+
+
+def idea_units(text: Column) -> Column:
+    """Distinct units of all clauses, sorted."""
+    clauses = F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE_END), content_terms)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(clauses, clause_units))))

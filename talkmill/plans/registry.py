@@ -422,3 +422,6 @@ def t14_constraints(spark, sf):
 def j17_price_join(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("p_type"))
     return table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type", "p_partkey").agg(F.sum(F.col("l_quantity") * 0.287).alias("cost"))
+
+
+from talkmill.plans import deployment  # noqa: E402, F401  (registers its queries with the decorator above)
