@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from talkmill.functions.text import fact_key
+
 
 def must(df: DataFrame, good: Column, what: str, key: list[str]) -> DataFrame:
     """df; the first row that isn't good raises an error with what and the row's key. Null counts as bad."""
@@ -108,3 +110,23 @@ def priced(usage: DataFrame, prices: dict[str, tuple[float, float]], tier: str =
     table = F.create_map(*[x for t, (i, o) in prices.items() for x in (F.lit(t), F.struct(F.lit(float(i)).alias("i"), F.lit(float(o)).alias("o")))])
     rows = must(usage.withColumn("__p", F.try_element_at(table, F.col(tier))), F.col("__p").isNotNull(), "no price", [tier])
     return rows.withColumn("cost", (F.col("input_tokens") * F.col("__p.i") + F.col("output_tokens") * F.col("__p.o")) / 1e6).drop("__p")
+
+
+def same_facts(candidates: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """(key, candidate_id, reference_id): facts of a segment with one text, as fact_key sees it, and a source in common.
+
+    Both: key, an id, text, sources (array). The text is part of the join's key; the sources are checked on what meets.
+    """
+    c = candidates.select(key, "candidate_id", fact_key(F.col("text")).alias("__t"), F.col("sources").alias("__c"))
+    r = references.select(key, "reference_id", fact_key(F.col("text")).alias("__t"), F.col("sources").alias("__r"))
+    return c.join(r, [key, "__t"]).where(F.arrays_overlap("__c", "__r")).select(key, "candidate_id", "reference_id")
+
+
+def evidence_turns(questions: DataFrame, turns: DataFrame) -> DataFrame:
+    """questions with turn_ids: the turns that their evidence names, sorted; names of no turn are left out.
+
+    questions: sample_id, question_id, evidence (array of turn names); turns: sample_id, dia_id, turn_id.
+    """
+    named = questions.select("sample_id", "question_id", F.explode("evidence").alias("dia_id"))
+    found = named.join(turns.select("sample_id", "dia_id", "turn_id"), ["sample_id", "dia_id"]).groupBy("sample_id", "question_id").agg(F.array_sort(F.collect_set("turn_id")).alias("turn_ids"))
+    return questions.join(found, ["sample_id", "question_id"], "left").withColumn("turn_ids", F.coalesce("turn_ids", F.array().cast("array<int>")))

@@ -279,3 +279,18 @@ SELECT user_id, max_by(s, event_id) AS status, count(*) AS n_events, sum((NOT ok
 def q12_batch_states(spark, sf):
     e = events(spark, sf).select("user_id", "event_id", F.try_element_at(X.literal_map(STATUS), F.col("event_type")).alias("status"))
     return E.batch_states(e, "user_id", "event_id", "status")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, event_type AS t, event_id % 4 AS a, event_id % 3 AS b FROM events) SELECT c.user_id, c.event_id AS candidate_id, r.event_id AS reference_id FROM f c JOIN f r ON c.user_id = r.user_id AND c.t = r.t AND (c.a = r.b OR c.a = r.a) WHERE c.event_id % 2 = 0 AND r.event_id % 2 = 1""")
+def j11_same_facts(spark, sf):
+    e = events(spark, sf)
+    c = e.where("event_id % 2 = 0").select("user_id", F.col("event_id").alias("candidate_id"), F.concat(F.upper("event_type"), F.lit("!")).alias("text"), F.array(F.col("event_id") % 4).alias("sources"))
+    r = e.where("event_id % 2 = 1").select("user_id", F.col("event_id").alias("reference_id"), F.concat(F.lit(" "), "event_type").alias("text"), F.array(F.col("event_id") % 3, F.col("event_id") % 4).alias("sources"))
+    return J.same_facts(c, r, "user_id")
+
+
+@query("SELECT conv_id AS sample_id, turn AS question_id, CASE WHEN EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 2) THEN 2 ELSE 1 END::INT AS n_turns FROM conversations a")
+def j14_evidence_turns(spark, sf):
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", F.concat(F.lit("D"), F.col("turn").cast("string")).alias("dia_id"), F.col("turn").cast("int").alias("turn_id"))
+    q = t.select("sample_id", F.col("turn").alias("question_id"), F.array("dia_id", F.concat(F.lit("D"), (F.col("turn") + 2).cast("string"))).alias("evidence"))
+    return J.evidence_turns(q, t).select("sample_id", "question_id", F.size("turn_ids").alias("n_turns"))
