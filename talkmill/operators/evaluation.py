@@ -155,7 +155,7 @@ def scope_hash(rows: DataFrame, scope: list[str], items: str) -> DataFrame:
     return rows.groupBy(*scope).agg(F.count_distinct(items).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.sha2(F.col(items).cast("string"), 256))), ""), 256).alias("scope_hash"))
 
 
-#: States of a batch, and which may follow which.
+#: States of a batch, and which may follow which: a final state has no entry, and one `failed` stands for all failures.
 NEXT = {"planned": ["requesting"], "requesting": ["api_succeeded", "failed", "planned"], "api_succeeded": ["parsed", "failed", "recovered_by_fallback"], "parsed": ["embedded", "failed"], "embedded": ["committed", "failed"]}
 
 
