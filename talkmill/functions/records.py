@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +106,26 @@ def speaker_side(source: Column, fact: Column, first: Column, second: Column) ->
     """1 or 2: whose memory a fact is, by its source, else by whom alone it mentions, else the first's."""
     who = F.lower(F.coalesce(source, F.lit("")))
     return F.when(who == F.lower(second), 2).when(who == F.lower(first), 1).when(mentions(fact, second) & ~mentions(fact, first), 2).otherwise(1)
+
+
+def alpha_token(alpha: str | float) -> str:
+    """A threshold's factor as a name: plain digits without trailing zeros, `p` for the point. Negative and infinite ones raise."""
+    value = Decimal(str(alpha))
+    if not value.is_finite() or value < 0:
+        raise ValueError(f"alpha must be finite and not negative: {alpha!r}")
+    return f"{abs(value).normalize():f}".replace(".", "p")
+
+
+def alpha_column(alpha: Column) -> Column:
+    """alpha_token of a decimal or text column; null for text that is no number, and for negative ones."""
+    value = alpha.cast("string").try_cast("decimal(38,18)")
+    plain = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(value >= 0, F.replace(plain, F.lit("."), F.lit("p")))
+
+
+def artifact_name(method: str, alpha: str | float) -> str:
+    """A segmentation's name: its method and its alpha."""
+    name = method.strip().lower()
+    if not re.fullmatch("[a-z0-9][a-z0-9_-]*", name):
+        raise ValueError(f"not a method's name: {method!r}")
+    return f"{name}_alpha_{alpha_token(alpha)}"

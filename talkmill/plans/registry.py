@@ -424,4 +424,4 @@ def j17_price_join(spark, sf):
     return table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type", "p_partkey").agg(F.sum(F.col("l_quantity") * 0.287).alias("cost"))
 
 
-from talkmill.plans import audits, deployment  # noqa: E402, F401  (they register their queries with the decorator above)
+from talkmill.plans import audits, chains, deployment  # noqa: E402, F401  (they register their queries with the decorator above)

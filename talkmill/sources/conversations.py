@@ -94,3 +94,47 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header that begins with a byte order mark; nested columns as JSON."""
     flat = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name) for f in df.schema])
     flat.withColumnRenamed(flat.columns[0], "﻿" + flat.columns[0]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def questions_of(records: DataFrame, prefix: str, items: str, profile: str = "generic") -> DataFrame:
+    """Questions of records (prefix: id column; items: JSON array of objects or texts), a row each, in order.
+
+    Ids are `<prefix>_q001` onwards. A field is the first of its names that is not empty. Evidence keeps numbers as turn ids
+    and everything as references. An own id that ends in `_abs` can't be answered. Broken JSON and null give no rows.
+    """
+    each = records.select(F.col(prefix).alias("sample_id"), F.posexplode(F.from_json(items, "array<string>")).alias("k", "item"))
+    raw = F.col("item")
+    is_object = F.startswith(F.ltrim(raw), F.lit("{"))
+    field = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(raw, f"$.{n}"), F.lit("")) for n in names], F.lit(""))
+    listed = lambda *names: F.coalesce(*[F.from_json(F.nullif(F.get_json_object(raw, f"$.{n}"), F.lit("[]")), "array<string>") for n in names], F.array().cast("array<string>"))
+    numbers = F.transform(F.filter(listed("evidence_turn_ids", "supporting_turn_ids"), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
+    return each.select(
+        "sample_id", F.format_string("%s_q%03d", F.col("sample_id").cast("string"), F.col("k") + 1).alias("question_id"),
+        F.when(is_object, field("question", "query", "prompt")).otherwise(raw).alias("question"), field("answer", "gold_answer", "target").alias("answer"),
+        field("question_type").alias("question_type"), field("category").alias("category"), F.nullif(field("question_date"), F.lit("")).alias("question_date"),
+        numbers.alias("evidence_turn_ids"), listed("evidence", "supporting_turn_refs").alias("evidence_turn_refs"), listed("answer_session_ids", "evidence_session_ids").alias("evidence_session_ids"),
+        F.coalesce(F.nullif(field("judge_profile"), F.lit("")), F.lit(profile)).alias("judge_profile"), ((field("is_unanswerable") == "true") | F.endswith(field("question_id"), F.lit("_abs"))).alias("is_unanswerable"),
+    )
+
+
+def flattened(samples: DataFrame) -> DataFrame:
+    """A row for each turn of samples (sample_id, sessions: array of (session_id, turns: array of struct)), with the turns' own columns."""
+    sessions = samples.select("sample_id", F.explode("sessions").alias("s"))
+    return sessions.select("sample_id", "s.session_id", F.explode("s.turns").alias("t")).select("sample_id", "session_id", "t.*")
+
+
+def splits(spark: SparkSession, root: str) -> list[str]:
+    """Names of the splits under a folder, sorted; none if it is missing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory()) if files.exists(path) else []
+
+
+def load_split(spark: SparkSession, root: str, split: str, table: str, schema: str, sample_ids: list | None = None) -> DataFrame:
+    """A table (samples, questions, sessions or turns) of a split whose manifest names its file; rows of sample_ids only, if given."""
+    manifest = spark.read.option("wholetext", True).text(f"{root}/{split}/manifest.json").select(F.get_json_object("value", f"$.files.{table}").alias("f")).first()
+    if manifest is None or manifest["f"] is None:
+        raise ValueError(f"the manifest of {split} names no {table}")
+    path = manifest["f"] if "://" in manifest["f"] or manifest["f"].startswith("/") else f"{root}/{split}/{manifest['f']}"
+    rows = spark.read.schema(schema).json(path)
+    return rows if sample_ids is None else rows.where(F.col("sample_id").isin(sample_ids))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import sqlite3
 import xml.etree.ElementTree as ET
 import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +141,66 @@ def report(df: DataFrame, title: str, rows: int) -> str:
     """A Markdown table of the first rows of a sorted, aggregated table: a report for people, with as many rows as asked for."""
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *map(line, df.limit(rows).collect())]) + "\n"
+
+
+def sqlite_ledger(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """Rows of a SQLite ledger's file or files: sequence and the fields of row_json, read in memory and never written.
+
+    A file is one task's; a name that is no identifier, or a missing table, raises. Larger ledgers belong in Parquet.
+    """
+    if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", table):
+        raise ValueError(f"not a table's name: {table!r}")
+
+    def read(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(content))
+                if not con.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone():
+                    raise ValueError(f"no table {table}")
+                yield pd.DataFrame(con.execute(f'SELECT sequence, row_json FROM "{table}" ORDER BY sequence').fetchall(), columns=["sequence", "row_json"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "sequence long, row_json string")
+    return rows.select("sequence", F.from_json("row_json", schema).alias("r")).select("sequence", "r.*")
+
+
+#: Columns of a point that searches filter by; the first three are the store's folders, in this order.
+PAYLOAD = ["dataset_name", "split", "memory_tier", "sample_id", "session_id", "segment_id", "model_id", "model_family", "campaign_id", "extraction_run_id", "batch_id", "assembly_id", "policy_version"]
+
+
+def write_points(points: DataFrame, path: str, size: int) -> None:
+    """Points as a store: folders by dataset, split and tier, sorted by sample within files, so that filters skip files and row groups.
+
+    Columns of PAYLOAD that are missing become null. A vector of another length than size raises.
+    """
+    full = points.withColumns({c: F.lit(None).cast("string") for c in PAYLOAD if c not in points.columns})
+    checked = full.withColumn("vector", F.when(F.size("vector") == size, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit(f"a vector's length is not {size}: "), F.size("vector").cast("string")))))
+    by = PAYLOAD[:3]
+    checked.repartition(*by, F.pmod(F.xxhash64("sample_id"), F.lit(64))).sortWithinPartitions(*by, "sample_id", "segment_id").write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def from_payload(rows: DataFrame, payload: str, fields: dict[str, str], required: list[str]) -> DataFrame:
+    """rows with a fact payload (JSON object) as columns: fields (name to type), and `extra`, a map of all other keys.
+
+    segment_hash may be named source_content_hash. A required field that is missing raises.
+    """
+    whole = F.from_json(payload, "map<string,string>")
+    own = F.from_json(payload, ", ".join(f"{n} {t}" for n, t in fields.items()))
+    hashed = F.coalesce(F.try_element_at(whole, F.lit("segment_hash")), F.try_element_at(whole, F.lit("source_content_hash")))
+    made = {n: hashed.cast(t) if n == "segment_hash" else own[n] for n, t in fields.items()}
+    lacking = F.filter(F.array(*[F.when(made[n].isNull(), n) for n in required]).cast("array<string>"), lambda x: x.isNotNull())
+    kept = rows.withColumn("__lacks", lacking)
+    extra = F.map_filter(whole, lambda k, _: ~k.isin([*fields, "schema_version", "source_content_hash"]))
+    sure = F.when(F.size("__lacks") == 0, extra).otherwise(F.raise_error(F.concat(F.lit("a fact payload lacks "), F.array_join("__lacks", ", "))))
+    return kept.select(*[c.alias(n) for n, c in made.items()], sure.alias("extra"))
+
+
+def to_payload(facts: DataFrame, version: str) -> Column:
+    """A fact row as its payload: JSON with the schema's version, the source's hash under its stored name, and extra keys beside the others.
+
+    Keys come in the order of the columns, extra ones last.
+    """
+    names = {"segment_hash": "source_content_hash"}
+    own = F.to_json(F.struct(*[F.col(c).alias(names.get(c, c)) for c in facts.columns if c != "extra"], F.lit(version).alias("schema_version")))
+    extra = F.to_json(F.coalesce("extra", F.create_map().cast("map<string,string>"))) if "extra" in facts.columns else F.lit("{}")
+    return F.when(extra == "{}", own).otherwise(F.concat(F.left(own, F.length(own) - 1), F.lit(","), F.substring(extra, 2, 1 << 30)))
