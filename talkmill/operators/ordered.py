@@ -117,6 +117,12 @@ def dedup_rank(facts: DataFrame, scope: str, key: list[str], order: list, limit:
     return once.withColumn("rank", F.row_number().over(W.partitionBy(scope).orderBy(*order))).where(F.col("rank") <= limit)
 
 
+def ranked_within(rows: DataFrame, scope: list[str], order: list, limit: int, name: str | None = None) -> DataFrame:
+    """The first `limit` rows of each scope by order, with their rank under a name if one is given."""
+    kept = rows.withColumn(name or "__rank", F.row_number().over(W.partitionBy(*scope).orderBy(*order))).where(F.col(name or "__rank") <= limit)
+    return kept if name else kept.drop("__rank")
+
+
 def round_robin(rows: DataFrame, stratum: str, order: list, limit: int) -> DataFrame:
     """limit rows: the first of each stratum, then the second of each, and so on; strata in order."""
     return rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).orderBy("turn", stratum).limit(limit)
