@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from talkmill.functions import records as P
 from talkmill.operators import chains as C
+from talkmill.operators import experiments as X
 from talkmill.operators import learned as L
 from talkmill.operators import replies as R
 from talkmill.operators import splits as S
@@ -36,9 +37,9 @@ def p14_alpha_tokens(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_discount").alias("alpha")).distinct().withColumn("token", P.alpha_column(F.col("alpha")))
 
 
-@query("SELECT event_id AS fact_id, event_type AS fact_text, sha256(user_id::VARCHAR) AS segment_hash, (user_id % 5) || ',' || (user_id % 7) AS source_turn_ids, round(value, 4)::VARCHAR AS note FROM events WHERE value < 100")
+@query("SELECT event_id AS fact_id, event_type AS fact_text, sha256(user_id::VARCHAR) AS segment_hash, (user_id % 5) || ',' || (user_id % 7) AS source_turn_ids, round(value, 4)::DECIMAL(18, 4)::VARCHAR AS note FROM events")
 def p19_payload(spark, sf):
-    e = table(spark, sf, "events").where("value < 100").select(F.col("event_id").alias("fact_id"), F.col("event_type").alias("fact_text"), F.sha2(F.col("user_id").cast("string"), 256).alias("segment_hash"), F.array(F.col("user_id") % 5, F.col("user_id") % 7).alias("source_turn_ids"), F.create_map(F.lit("note"), F.round("value", 4).cast("string")).alias("extra"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("fact_id"), F.col("event_type").alias("fact_text"), F.sha2(F.col("user_id").cast("string"), 256).alias("segment_hash"), F.array(F.col("user_id") % 5, F.col("user_id") % 7).alias("source_turn_ids"), F.create_map(F.lit("note"), F.round("value", 4).cast("decimal(18,4)").cast("string")).alias("extra"))
     p = e.select(ST.to_payload(e, "fact_v1").alias("payload"))
     back = ST.from_payload(p, "payload", {"fact_id": "long", "fact_text": "string", "segment_hash": "string", "source_turn_ids": "array<long>"}, ["fact_id", "fact_text", "segment_hash"])
     return back.select("fact_id", "fact_text", "segment_hash", F.array_join(F.col("source_turn_ids").cast("array<string>"), ",").alias("source_turn_ids"), F.try_element_at("extra", F.lit("note")).alias("note"))
@@ -168,3 +169,48 @@ def g10_policy(spark, sf):
 def c14_baseline(spark, sf):
     p = table(spark, sf, "embeddings").select((F.col("label") % 3).alias("segment_id"), "vec_id", F.element_at(F.array(*map(F.lit, L.TIERS)), (F.col("vec_id") % 3 + 1).cast("int")).alias("tier"))
     return C.baseline(p, p, "all-medium", "segment_id").select("segment_id", "vec_id", "tier")
+
+
+@query("""SELECT event_id AS fact_id, user_id AS segment_id, CASE WHEN event_id % 2 = 0 THEN 'c0' ELSE 'c1' END AS campaign_id, 'm' || (event_id % 2) || (event_id % 6 // 2) AS model_id FROM events""")
+def c7_corpus(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("segment_id"), F.concat(F.lit("c"), F.col("event_id") % 2).alias("campaign"), F.expr("event_id % 6 div 2").alias("k"))
+    samples = e.select((F.col("segment_id") % 5).alias("sample_id")).distinct()
+    both = samples.withColumn("campaign_id", F.explode(F.array(F.lit("c0"), F.lit("c1"))))
+    runs = both.select("campaign_id", "sample_id", F.concat_ws("/", "campaign_id", F.col("sample_id").cast("string")).alias("run_id"), F.lit("complete").alias("status"), F.lit(True).alias("reconciled"))
+    facts = e.select("fact_id", "segment_id", F.concat_ws("/", "campaign", (F.col("segment_id") % 5).cast("string")).alias("run_id"), F.concat(F.lit("m"), F.substring("campaign", 2, 1), F.col("k")).alias("model_id"), F.array(F.lit(1)).alias("sources"), F.lit("h").alias("content_hash"))
+    segments = e.select("segment_id", F.array(F.lit(1), F.lit(2)).alias("turns"), F.lit("h").alias("segment_hash")).distinct()
+    return X.corpus(runs, facts, segments, samples).select("fact_id", "segment_id", "campaign_id", "model_id")
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS q, p.vec_id AS p, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS score FROM q JOIN embeddings p ON p.label = q.label),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM s), m AS (SELECT q, string_agg('fact ' || p, chr(10) ORDER BY rank) AS answer FROM k WHERE rank <= 3 GROUP BY 1)
+SELECT vec_id AS question_id, coalesce(answer, '(no retrieved memories)') AS answer, vec_id % 200 = 0 AS correct FROM q LEFT JOIN m ON m.q = q.vec_id""")
+def c8_answers(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("sample_id"), F.lit("?").alias("question"), F.col("embedding").alias("q"))
+    p = e.select(F.col("vec_id").alias("point_id"), F.col("label").alias("sample_id"), F.col("embedding").alias("v"), F.concat(F.lit("fact "), F.col("vec_id").cast("string")).alias("line"))
+    judge = lambda d: d.select("question_id", F.when(F.col("question_id") % 200 == 0, '{"label": "CORRECT"}').otherwise('{"label": "WRONG"}').alias("label"))
+    return X.answered(q, p, lambda d: d.select("question_id", F.col("memories").alias("answer")), judge, 3).select("question_id", "answer", "correct")
+
+
+@query("""SELECT conv_id AS question_id, coalesce(string_agg(CASE WHEN role = 'user' THEN trim('[t] ' || trim(coalesce(text, ''), ' ')) END, chr(10) ORDER BY turn), '(none)') AS first, coalesce(string_agg(CASE WHEN role <> 'user' THEN trim('[t] ' || trim(coalesce(text, ''), ' ')) END, chr(10) ORDER BY turn), '(none)') AS second FROM conversations GROUP BY 1""")
+def c9_memories(spark, sf):
+    m = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), F.lit("t").alias("ts"), F.lit("").alias("weekday"), F.col("text").alias("fact"), F.when(F.col("role") == "user", "user").otherwise("other").alias("source"), F.lit("user").alias("a"), F.lit("other").alias("b"))
+    return X.speaker_memories(m, "a", "b")
+
+
+@query("SELECT l_orderkey AS segment_id, l_linenumber AS model_id, max(l_discount) AS quality, l_orderkey % 5 = 0 AS held_out, 3::INT AS width, round(o_totalprice + l_linenumber + 0.5, 4) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, o_totalprice")
+def c10_training_rows(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"), F.array("o_totalprice").alias("vector"))
+    l = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("segment_id"), F.col("l_linenumber").alias("model_id")).agg(F.max("l_discount").alias("quality")).join(o.select("segment_id"), "segment_id", "left_semi").withColumn("sample_id", F.col("segment_id") % 5)
+    p = l.select("model_id").distinct().withColumn("dimensions", F.array(F.col("model_id").cast("double"), F.lit(0.5)))
+    rows = X.training_rows(l, o, p, ["segment_id"], "sample_id", l.where("sample_id = 0"))
+    return rows.select("segment_id", "model_id", "quality", "held_out", F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("WITH f AS (SELECT user_id % 3 AS fold, avg((value > 50)::INT) AS a FROM events GROUP BY 1) SELECT 'cv' AS experiment, count(*) AS n_folds, round(avg(a), 6) AS mean, round(coalesce(stddev_samp(a), 0), 6) AS deviation FROM f")
+def c13_folds(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), (F.col("value") > 50).alias("correct"), F.lit("m1").alias("model"))
+    folds = e.select("sample_id").distinct().withColumn("fold", F.explode(F.array(*map(F.lit, range(3))))).withColumn("part", F.when(F.col("sample_id") % 3 == F.col("fold"), "test").otherwise("train"))
+    out = X.cross_validated(folds, 3, lambda i, m: e.where(F.col("sample_id") % 3 == i), "cv", ["model"])
+    return out.select("experiment", "n_folds", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
