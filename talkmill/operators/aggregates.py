@@ -38,11 +38,33 @@ def set_metrics(counts: DataFrame, key: list[str], beta: float = 2.0) -> DataFra
     return counts.select(*key, one(ratio(tp, tp + fp)).alias("precision"), one(ratio(tp, tp + fn, 1.0)).alias("recall"), one(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"), one(ratio((1 + b) * tp, (1 + b) * tp + b * fn + fp)).alias("f_beta"), one(ratio(tp, tp + fp + fn)).alias("jaccard"), ratio(fp, tp + fp).alias("false_discovery_rate"), ratio(fn, tp + fn).alias("false_negative_rate"), ((fp == 0) & (fn == 0)).cast("double").alias("exact_match"))
 
 
+#: Ranges that a running sum is cut into: their sums meet in one task, the values of each range in a task of its own.
+RANGES = 4096
+
+
+def running(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n, upto): each distinct value of a numeric column, its rows, and the rows up to it. Nulls take no part.
+
+    No task sorts everything: values are cut into RANGES equal ranges, whose sums are added up apart from the sums within each.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+    width = F.greatest((F.col("__hi") - F.col("__lo")) / RANGES, F.lit(1e-300))
+    cut = counts.crossJoin(F.broadcast(ends)).withColumn("__range", F.floor((F.col(value).cast("double") - F.col("__lo")) / width)).drop("__lo", "__hi")
+    sums = cut.groupBy("__range").agg(F.sum("n").alias("__all"))
+    before = sums.select("__range", (F.sum("__all").over(W.orderBy("__range")) - F.col("__all")).alias("__before"))
+    within = F.sum("n").over(W.partitionBy("__range").orderBy(value))
+    return cut.join(F.broadcast(before), "__range").select(value, "n", (F.col("__before") + within).alias("upto"))
+
+
 def consistency(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: share of equal signs where neither is 0, and Spearman's correlation (0 where either is constant)."""
-    n = F.count("*").over(W.partitionBy())
-    rank = lambda c: F.rank().over(W.orderBy(c)) + (F.count("*").over(W.partitionBy(c)) - 1) / 2
-    r = pairs.select(F.col(x).alias("x"), F.col(y).alias("y"), rank(x).alias("rx"), rank(y).alias("ry"), n.alias("n"))
+    """One row: share of equal signs where neither is 0, and Spearman's correlation of average ranks (0 where either is constant).
+
+    Pairs with a null take no part.
+    """
+    known = pairs.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    ranks = lambda c: running(known, c).select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+    r = known.join(ranks("x"), "x").join(ranks("y"), "y")
     both = (F.col("x") != 0) & (F.col("y") != 0)
     return r.agg(F.round(F.coalesce(F.avg(F.when(both, (F.signum("x") == F.signum("y")).cast("double"))), F.lit(0.0)), 6).alias("sign_agreement"), F.round(F.coalesce(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), F.lit(0.0)), 6).alias("spearman"))
 

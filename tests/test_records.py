@@ -126,3 +126,17 @@ def test_worksheet(spark, tmp_path):
         z.writestr("xl/worksheets/s.xml", cells)
     got = S.worksheet(spark, str(tmp_path / "x.xlsx"), "S", ["b", "a"]).collect()
     assert [tuple(r) for r in got] == [("true", "1.5")]
+
+
+def test_running_sums_in_ranges(spark):
+    import numpy as np
+
+    from talkmill.operators.aggregates import consistency, running
+
+    r = np.random.default_rng(1)
+    for values in (r.integers(0, 30, 300).astype(float), r.normal(size=300) * 10.0 ** r.integers(-6, 6, 300), np.full(50, 3.0)):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = {x["v"]: (x["n"], x["upto"]) for x in running(rows, "v").collect()}
+        assert got == {v: ((values == v).sum(), (values <= v).sum()) for v in set(values.tolist())}
+    none = spark.createDataFrame([], "x double, y double")
+    assert running(none, "x").count() == 0 and tuple(consistency(none, "x", "y").first()) == (0.0, 0.0)
