@@ -6,7 +6,6 @@ twice, so no call is made again for a lost task downstream.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,18 +14,11 @@ from pyspark.sql.window import Window as W
 
 from talkmill.functions.records import constrained_prompt, repairable
 from talkmill.operators import aggregates, joins, ordered, replies, routing
+from talkmill.session import checkpointed
 
 Hook = Callable[[DataFrame], DataFrame]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder that the session names, or in one of its own where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"/tmp/talkmill-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def batches(segments: DataFrame, scope: list[str], max_segments: int, max_tokens: int, base: int = 0) -> DataFrame:
     """(scope, batch_id, segments, forbidden): packed batches. segments: scope, segment_order, segment_id, text, ids, tokens."""
     packed = ordered.pack(segments, scope, "segment_order", "tokens", max_segments, max_tokens, base).drop("tokens").join(segments, [*scope, "segment_order"])

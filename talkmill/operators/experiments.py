@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from talkmill.functions import records as P
 from talkmill.functions.text import fact_key
 from talkmill.operators import evaluation, joins, ordered, replies, stores
-from talkmill.operators.chains import Hook, checkpointed
+from talkmill.operators.chains import Hook
 from talkmill.operators.learned import ActorCritic, Network
+from talkmill.session import checkpointed
 
 # Words that results depend on, states in the order of their rank.
 FACT_TYPES = ["identity", "relationship", "event", "state", "plan", "goal", "preference", "decision", "constraint", "health", "knowledge", "assistant_answer", "negative", "other"]

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from talkmill.operators.packing import pack  # noqa: F401
+
 
 def slices(rows: DataFrame, scope: str, order: str, value: str) -> DataFrame:
     """rows and slice_no: a new number whenever value changes within scope; null and blank values are one value."""
@@ -80,25 +82,6 @@ def segments(turns: DataFrame, scope: str, order: str, alpha: float = 0.5, min_t
     return rows.repartition(spread, scope).groupBy(scope).applyInPandas(build, f"{scope} {kinds[scope]}, segment_no long, first_turn {kinds[order]}, last_turn {kinds[order]}, n_turns long, reason string")
 
 
-def pack(rows: DataFrame, scope: list[str], order: str, tokens: str, max_rows: int, max_tokens: int, base: int = 0) -> DataFrame:
-    """(scope, order, tokens, batch_no): rows in order fill a batch until the next would be one too many or too large.
-
-    A row larger than a batch closes the open batch and is one of its own. base: tokens that each batch has anyway. The
-    fold runs inside one row per scope, in the JVM.
-    """
-    item = F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))
-    state = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(False).alias("closed"), F.array().cast(f"array<struct<o:{dict(rows.dtypes)[order]},t:bigint,b:bigint>>").alias("out"))
-
-    def step(a, x):
-        large = x["t"] + base > max_tokens
-        full = (a["n"] > 0) & (a["closed"] | large | (a["n"] >= max_rows) | (a["sum"] + x["t"] + base > max_tokens))
-        batch = a["batch"] + full.cast("long")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).cast("long").alias("n"), F.when(full, x["t"]).otherwise(a["sum"] + x["t"]).alias("sum"), large.alias("closed"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), x["t"].alias("t"), batch.alias("b")))).alias("out"))
-
-    packed = rows.groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("items")).select(*scope, F.explode(F.aggregate("items", state, step, lambda a: a["out"])).alias("p"))
-    return packed.select(*scope, F.col("p.o").alias(order), F.col("p.t").alias(tokens), F.col("p.b").alias("batch_no"))
-
-
 def largest_remainder(rows: DataFrame, batch: str, index: str, weight: str, total: str) -> DataFrame:
     """rows and allocated: total in whole units by weight, what is left to the largest fractions, ties to the smaller index.
 
@@ -125,7 +108,8 @@ def ranked_within(rows: DataFrame, scope: list[str], order: list, limit: int, na
 
 def round_robin(rows: DataFrame, stratum: str, order: list, limit: int) -> DataFrame:
     """limit rows: the first of each stratum, then the second of each, and so on; strata in order."""
-    return rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).orderBy("turn", stratum).limit(limit)
+    dealt = rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(*order)))
+    return dealt.where(F.col("turn") <= limit).orderBy("turn", stratum).limit(limit)
 
 
 def shuffled(rows: DataFrame, scope: str, item: str, seed: str) -> DataFrame:
