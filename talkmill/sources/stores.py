@@ -204,3 +204,18 @@ def to_payload(facts: DataFrame, version: str) -> Column:
     own = F.to_json(F.struct(*[F.col(c).alias(names.get(c, c)) for c in facts.columns if c != "extra"], F.lit(version).alias("schema_version")))
     extra = F.to_json(F.coalesce("extra", F.create_map().cast("map<string,string>"))) if "extra" in facts.columns else F.lit("{}")
     return F.when(extra == "{}", own).otherwise(F.concat(F.left(own, F.length(own) - 1), F.lit(","), F.substring(extra, 2, 1 << 30)))
+
+
+def segments_of(spark: SparkSession, root: str, schema: str, sample_ids: list[str] | None = None) -> DataFrame:
+    """Segments under `root/samples/<sample>/segments.jsonl`, of the given samples or all. A given sample without a file raises.
+
+    A sample's folder must hold its own segments only: a row of another sample_id raises.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/samples/*/segments.jsonl")
+    found = {f.getPath().getParent().getName(): f.getPath().toString() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)}
+    lacking = sorted(set(sample_ids or ()) - set(found))
+    if lacking or not found:
+        raise ValueError(f"no segments of {lacking[:8] or root}")
+    rows = spark.read.schema(schema).json([found[s] for s in (found if sample_ids is None else dict.fromkeys(sample_ids))])
+    home = F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -2)
+    return must(rows.withColumn("__home", home), F.col("sample_id") == F.col("__home"), "a segment of another sample", ["sample_id", "__home"]).drop("__home")

@@ -274,3 +274,15 @@ def test_names_and_payloads(spark):
     assert (row["fact_id"], row["segment_hash"], row["extra"]) == ("f", "h", {"more": "1"})
     with pytest.raises(Exception, match="lacks fact_text"):
         ST.from_payload(p, "p", {"fact_id": "string", "fact_text": "string"}, ["fact_text"]).collect()
+
+
+def test_segments_are_found_by_sample(spark, tmp_path):
+    for s, own in (("a", "a"), ("b", "b"), ("c", "a")):
+        (tmp_path / "samples" / s).mkdir(parents=True)
+        (tmp_path / "samples" / s / "segments.jsonl").write_text(json.dumps({"sample_id": own, "segment_id": "seg_1"}) + "\n")
+    root, schema = f"file://{tmp_path}", "sample_id string, segment_id string"
+    assert sorted(r["sample_id"] for r in ST.segments_of(spark, root, schema, ["a", "b"]).collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="z"):
+        ST.segments_of(spark, root, schema, ["a", "z"])
+    with pytest.raises(Exception, match="another sample"):
+        ST.segments_of(spark, root, schema).collect()
