@@ -73,6 +73,45 @@ def test_simhash(docs, odd, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def jaccard_groups(texts):
+    """The partition of texts by links of 5-word Jaccard similarity 0.8 or more, by brute force."""
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    u, v = np.array(near, np.int64).reshape(-1, 2).T
+    return simhash_dedup.roots(len(sets), u, v)
+
+
+def test_near_copies_are_all_pairs_of_the_similarity(spark, docs, odd, monkeypatch):
+    import corpus_pipeline
+    from talkmill.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(400)])
+    made = []
+    for n in (3, 12, 30, 60, 200, 500):
+        base = rng.choice(words, n).tolist()
+        for _ in range(12):
+            edited = list(base)
+            for _ in range(int(rng.integers(0, 2 + n // 25))):
+                edited[int(rng.integers(0, n))] = str(rng.integers(1 << 40))
+            made.append(" ".join(edited))
+    edits = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for block, often in ((near_copies.BLOCK, near_copies.OFTEN), (3, 2)):  # whole groups, then groups in parts
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        monkeypatch.setattr(near_copies, "OFTEN", often)
+        for d in (edits, docs, odd) if block > 3 else (edits,):
+            rows = near_copies.with_components(d.select("doc_id", "text")).collect()
+            want, mine = jaccard_groups([r["text"] for r in rows]), [r["component"] for r in rows]
+            assert len(rows) == d.count() and len(set(zip(want.tolist(), mine, strict=True))) == len(set(mine)) == len(set(want.tolist()))
+    want = jaccard_groups(made)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, edits, DATA).collect()} == set(want.tolist()) != set(range(len(made)))
+    fps = [fingerprint(t) for t in made]
+    assert len(set(brute_components(list(range(len(made))), fps))) > len(set(want.tolist()))  # the distance of op3 misses some
+
+
 def test_trie_join_finds_all_pairs_of_dense_and_split_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 30, np.uint64)
