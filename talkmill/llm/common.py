@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +20,22 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a temporary folder where none is set (tests)."""
+    """The shared folder for written tables: spark.checkpoint.dir. Where none is set, a local session gets a temporary one;
+    a cluster has no folder that all machines see unless it names one, so there the call raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='talkmill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def written(df: DataFrame, *, like: T.StructType | None = None) -> DataFrame:
+def written(df: DataFrame, *, like: T.StructType | None = None, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/talkmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(like or df.schema).parquet(path)
@@ -80,17 +84,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+#: Tokens of more bytes are hashed one by one.
+LONG_TOKEN = 64
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash's multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        factors = np.full(max(n, 2 * len(_powers), 256), _MULTIPLIER, np.uint64)
-        factors[0] = 1
-        _powers = np.multiply.accumulate(factors)
-    return _powers
+def hashes(body: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings that lie one after another, none empty: a chain of mixed 8-byte blocks, or XXH64 of a long one.
+
+    Each block goes through the mixer with what came before it, so strings of a pattern don't collide more often than others.
+    """
+    blocks = (lengths + 7) >> 3
+    at = np.cumsum(lengths) - lengths
+    long = lengths > LONG_TOKEN
+    blocks[long] = 0
+    first = np.cumsum(blocks) - blocks
+    padded = np.zeros(8 * int(blocks.sum()), np.uint8)
+    if long.any():
+        short = np.repeat(~long, lengths)
+        place = np.arange(len(body)) + np.repeat(8 * first - at, lengths)
+        padded[place[short]] = body[short]
+    else:
+        padded[np.arange(len(body)) + np.repeat(8 * first - at, lengths)] = body
+    words = padded.view("<u8")
+    out = lengths.astype(np.uint64) * np.uint64(_MULTIPLIER)
+    alive = np.flatnonzero(blocks > 0)
+    for k in range(LONG_TOKEN // 8):
+        if not len(alive):
+            break
+        out[alive] = mix((out[alive] ^ words[first[alive] + k]) + np.uint64(_MULTIPLIER))
+        alive = alive[blocks[alive] > k + 1]
+    for i in np.flatnonzero(long):
+        out[i] = xxhash.xxh64_intdigest(body[at[i] : at[i] + lengths[i]], 42)
+    return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, fold_case: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +139,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, fold_case
     if not len(runs):
         return np.zeros(0, np.uint64), before
     body = data[kind != 0]
-    body = (body if fold_case is None else fold_case[body]).astype(np.uint64)
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(len(body)) - np.repeat(at, lengths)
-    body += np.uint64(1)
-    body *= powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(body, at) ^ lengths.astype(np.uint64)), before
+    return hashes(body if fold_case is None else fold_case[body], lengths), before
 
 
 def table(default: int, *ranges: tuple[str | tuple[int, int], int]) -> np.ndarray:

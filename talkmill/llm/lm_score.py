@@ -4,36 +4,33 @@ Counts of words and word pairs are quantised to powers of two. The filter holds,
 (n-gram, 1) to (n-gram, q); a count is read by probing levels until one is missing. Pair probabilities are smoothed towards
 word probabilities, which are smoothed by half a count.
 
-The filter is cut into as many ranges as the counting has tasks, and an n-gram's bits lie in its task's range. So each task
-fills its range alone, and only ranges meet on the driver; MAX_BITS bounds them. Counting deals 64-bit hashes, packed into
-arrays: a row holds what one task found for one other. A word is taken for its hash.
-
-The exact score needs the count of each token. Words that are at least 1 / FREQUENT of all training tokens, of which there
-can be no more than FREQUENT, are broadcast with their exact counts. Any other word is too rare to make a task uneven: its
-uses are dealt to the task that counted it, which returns sums by document, packed for the tasks that add them up.
+The filter holds every n-gram of the training texts, so it grows with them and is not broadcast: it is cut into ranges of the
+n-grams' hashes, and each range is filled and probed by one task. Texts are numbered in chunks and written. A chunk sends each
+range the sorted distinct n-grams it has there, once, with their counts in its training texts; the range adds the counts up,
+fills its slice of the filter, probes it for every n-gram it was sent, and answers each chunk in the order of its n-grams:
+their levels, and for words the exact counts too. With its answers a chunk scores its texts on its own. Keys and answers are
+packed, a row for each chunk and range. No n-gram meets a task more than once a chunk, so frequent ones make no task larger.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmill.llm.common import LOWER, SPACED, fold, mix, raw, steps, summed, task_count, tokens, written
 
-FREQUENT = 1 << 17
-MAX_BITS = 1 << 27
 PROBES, BITS_PER_ITEM = 3, 8
 #: The part of a probability that comes from the pair; the rest comes from the word.
 PAIR_SHARE = 0.1
 END, START = np.uint64(0xE5D), np.uint64(0x57A27)
-#: Keys that a counting task gathers before it packs them.
-HELD_KEYS = 1 << 20
-#: Bytes of text that one counting task gets keys from; more text means more tasks.
-TASK_BYTES = 16 << 20
+#: Bytes of text in a chunk, and of text whose n-grams one range holds; more text means more of both.
+CHUNK_BYTES, RANGE_BYTES = 12 << 20, 16 << 20
+#: A chunk has to be read by one task, so a file of chunks is one row group.
+ROW_GROUP = str(1 << 30)
 
 
 def scored_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,71 +47,28 @@ def scored_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return token, mix(token ^ (last * np.uint64(0xD6E8FEB86659FD93))), owner
 
 
-def ranges_of(keys: np.ndarray, tasks: int) -> np.ndarray:
-    """The task that counts each key, from the key's upper bits."""
-    return ((keys >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
-
-
-def packed(kind: int, tasks: int, keys: np.ndarray, counts: np.ndarray):
-    """Rows (kind, range, keys, counts) of sorted keys."""
-    edge = np.searchsorted(ranges_of(keys, tasks), np.arange(tasks + 1))
-    for t in np.flatnonzero(np.diff(edge)):
-        yield kind, int(t), keys[edge[t] : edge[t + 1]].tobytes(), counts[edge[t] : edge[t + 1]].astype(np.uint32).tobytes()
-
-
-def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in kinds], kinds, strict=True)], names=names)
+def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key, from its upper bits: sorted keys have sorted ranges."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def count(texts: DataFrame, tasks: int) -> DataFrame:
-    """(kind, range, keys, counts, tokens, distinct): exact counts of all words (kind 0) and of the pairs used twice or more (1).
+def pack(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as one byte each, and those of 255 or more in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
 
-    A row is one range of one kind; its keys are sorted. tokens and distinct also count pairs used once.
-    """
-    names, kinds = ["kind", "range", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-
-    def gather(batches):
-        held: list[list] = [[], []]
 
-        def flush(kind):
-            if held[kind]:
-                keys, counts = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-                held[kind] = []
-                yield batch_of(list(packed(kind, tasks, *summed(keys, counts))), names, kinds)
+def unpack(short: bytes, full: bytes) -> np.ndarray:
+    out = np.frombuffer(short, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(full, np.int64)
+    return out
 
-        for batch in batches:
-            data, offsets = raw(batch.column(0))
-            for i, j in steps(offsets):
-                word, pair, owner = scored_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                held[0].append(summed(word))
-                held[1].append(summed(pair))
-                held[0].append((np.array([START]), np.array([j - i])))
-                for kind in (0, 1):
-                    if sum(len(k) for k, _ in held[kind]) > HELD_KEYS:
-                        yield from flush(kind)
-        for kind in (0, 1):
-            yield from flush(kind)
-
-    def merge(batches):
-        parts: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for k, r, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault((k, r), []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)))
-        for (kind, r), got in parts.items():
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
-            got.clear()
-            starts = counts[keys == START].sum() if kind == 0 else 0
-            total, distinct = counts.sum() - starts, len(keys) - (starts > 0)
-            if kind == 1:
-                keys, counts = keys[counts > 1], counts[counts > 1]
-            yield batch_of([(kind, r, keys.tobytes(), counts.astype(np.int64).tobytes(), total, distinct)], [*names, "tokens", "distinct"], [*kinds, pa.int64(), pa.int64()])
 
-    dealt = texts.mapInArrow(gather, "kind int, range int, keys binary, counts binary").repartition(tasks, "range", "kind")
-    return written(dealt.mapInArrow(merge, "kind int, range int, keys binary, counts binary, tokens long, distinct long"))
+def batch_of(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in fields], fields.values(), strict=True)], names=list(fields))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, 2 from 2, 3 from 4, and so on."""
+    """0 for a count of 0, 1 for 1, 2 from 2, 3 from 4, and so on."""
     return np.frexp(counts.astype(np.float64))[1]
 
 
@@ -124,28 +78,29 @@ def level_counts(level: np.ndarray) -> np.ndarray:
 
 
 class FrequencyFilter:
-    """Bits of all ranges, and where each begins; size[t] bits belong to range t."""
-
-    def __init__(self, bits: np.ndarray, size: np.ndarray):
-        self.bits, self.size = bits, size
-        self.start = np.cumsum(size) - size
-
-    @staticmethod
-    def items(keys: np.ndarray, level: int, size: np.ndarray) -> list[np.ndarray]:
+    """A Bloom filter of (key, level): BITS_PER_ITEM bits for each level of each key, PROBES places an item."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray):
+        self.size = int(level.sum() * BITS_PER_ITEM + 7) // 8 * 8
+        bits = np.zeros(self.size, np.uint8)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            keys = keys[level >= q]
+            level = level[level >= q]
+            for place in self.places(keys, q):
+                bits[place] = 1
+        self.bits = np.packbits(bits, bitorder="little")
+
+    def places(self, keys: np.ndarray, level: int) -> list[np.ndarray]:
         h = mix(keys ^ np.uint64(level * 0xC2B2AE3D27D4EB4F % 2**64))
         step = mix(h ^ np.uint64(0xA5A5A5A5)) | np.uint64(1)
-        return [((h + np.uint64(p) * step) % size.astype(np.uint64)).astype(np.int64) for p in range(PROBES)]
+        return [((h + np.uint64(p) * step) % np.uint64(self.size)).astype(np.int64) for p in range(PROBES)]
 
     def read(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key; too high with the probability of a false positive, never too low for a key it holds."""
-        out, at, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        task = ranges_of(keys, len(self.size))
-        at = at[self.size[task] > 0]
+        """The level of each key; too high with the probability of a false positive, never too low."""
+        out, at, level = np.zeros(len(keys), np.int64), np.arange(len(keys) if self.size else 0), 1
         while len(at):
-            t = task[at]
             hit = np.ones(len(at), bool)
-            for place in self.items(keys[at], level, self.size[t]):
-                place = place + self.start[t]
+            for place in self.places(keys[at], level):
                 hit &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             at = at[hit]
             out[at] = level
@@ -153,172 +108,179 @@ class FrequencyFilter:
         return out
 
 
-def build_filter(counts: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter's bits and ranges' sizes. Where MAX_BITS is too small for all n-grams, those of the lowest levels are left out,
-    level by level: a bound on what is broadcast, not on what is counted."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """docs (text and more), written, with the number of the chunk that each row is in. Rows are numbered by the task attempt that
+    writes them, so a lost executor can't part a row from its number."""
+    at = docs.columns.index("text")
 
-    def histogram(batches):
-        sums = np.zeros(65, np.int64)
+    def number(batches):
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for c in batch.column(0).to_pylist():
-                sums += np.bincount(levels(np.frombuffer(c, np.int64)), minlength=65)
-        yield batch_of([(int(i), int(n)) for i, n in enumerate(sums) if n], ["level", "n"], [pa.int64(), pa.int64()])
+            if size > CHUNK_BYTES:
+                chunk, size = chunk + 1, 0
+            size += batch.column(at).nbytes
+            yield batch.append_column("chunk", pa.array(np.full(batch.num_rows, chunk)))
 
-    by_level = np.zeros(66, np.int64)
-    for level, n in counts.select("counts").mapInArrow(histogram, "level long, n long").groupBy("level").agg(F.sum("n")).collect():
-        by_level[level] = n
-    needed = np.cumsum((by_level * np.arange(66))[::-1])[::-1] * BITS_PER_ITEM
-    least = int(np.argmax(needed <= MAX_BITS))
+    schema = T.StructType([*docs.schema, T.StructField("chunk", T.LongType())])
+    return written(docs.mapInArrow(number, schema), **{"parquet.block.size": ROW_GROUP})
 
-    def fill(batches):
-        for batch in batches:
-            for _, r, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, level = np.frombuffer(keys, np.uint64), levels(np.frombuffer(counts, np.int64))
-                keys, level = keys[level >= least], level[level >= least]
-                yield r, keys, level
-
-    def slices(batches):
-        ranges: dict[int, list] = {}
-        for r, keys, level in fill(batches):
-            ranges.setdefault(r, []).append((keys, level))
-        for r, got in ranges.items():
-            keys, level = (np.concatenate(x) for x in zip(*got, strict=True))
-            size = int(level.sum() * BITS_PER_ITEM + 7) // 8 * 8
-            bits = np.zeros(size, np.uint8)
-            for q in range(1, int(level.max(initial=0)) + 1):
-                some = keys[level >= q]
-                for place in FrequencyFilter.items(some, q, np.full(len(some), size)):
-                    bits[place] = 1
-            yield batch_of([(r, np.packbits(bits, bitorder="little").tobytes())], ["range", "bits"], [pa.int32(), pa.binary()])
-
-    dealt = counts.select("kind", "range", "keys", "counts").repartition(tasks, "range")
-    parts = {r["range"]: r["bits"] for r in dealt.mapInArrow(slices, "range int, bits binary").collect()}
-    size = np.array([8 * len(parts.get(t, b"")) for t in range(tasks)])
-    return np.frombuffer(b"".join(bytes(parts.get(t, b"")) for t in range(tasks)), np.uint8), size
-
-
-def frequent(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that are at least 1 / FREQUENT of total, sorted, and their counts."""
-
-    def pick(batches):
-        for batch in batches:
-            for keys, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, c = np.frombuffer(keys, np.uint64), np.frombuffer(c, np.int64)
-                some = (c * FREQUENT >= total) & (keys != START)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[some])], names=["key", "n"])
 
-    got = counts.where("kind = 0").select("keys", "counts").mapInArrow(pick, "key long, n long").toPandas()
-    keys, n = got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+ASKED = {"range": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "n": pa.binary(), "n_full": pa.binary(), "pairs": pa.binary(), "m": pa.binary(), "m_full": pa.binary()}
+ANSWERED = {"chunk": pa.int64(), "range": pa.int32(), "n": pa.binary(), "n_full": pa.binary(), "levels": pa.binary(), "pair_levels": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64()}
+
 
+def ask(rows: DataFrame, ranges: int) -> DataFrame:
+    """ASKED rows of each chunk: the sorted distinct words and pairs that it has in a range, and their counts in training texts."""
 
-def score(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def send(chunk, held):
+        (word, n), (pair, m) = merged(held[0]), merged(held[1])
+        edges = [np.searchsorted(ranges_of(k, ranges), np.arange(ranges + 1)) for k in (word, pair)]
+        out = []
+        for r in np.flatnonzero(np.diff(edges[0]) + np.diff(edges[1])):
+            (a, b), (c, d) = (e[r : r + 2] for e in edges)
+            out.append((int(r), chunk, word[a:b].tobytes(), *pack(n[a:b]), pair[c:d].tobytes(), *pack(m[c:d])))
+        return batch_of(out, ASKED)
+
+    def deal(batches):
+        chunk, held = None, [[], []]
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                if numbers[low] != chunk:
+                    if held[0]:
+                        yield send(chunk, held)
+                    chunk, held = int(numbers[low]), [[], []]
+                data, offsets = raw(batch.column(1).slice(low, high - low))
+                train = ~batch.column(2).slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
+                for i, j in steps(offsets):
+                    word, pair, owner = scored_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    used = train[i:j][owner]
+                    for kind, keys in enumerate((word, pair)):
+                        held[kind].append(summed(keys[used]))
+                        other = summed(keys[~used])[0]
+                        held[kind].append((other, np.zeros(len(other), np.int64)))
+                    held[0].append((np.array([START]), np.array([int(train[i:j].sum())])))
+                for kind in (0, 1):  # parts of parts, so that memory follows the chunk's distinct n-grams
+                    if len(held[kind]) > 64:
+                        held[kind] = [merged(held[kind])]
+        if held[0]:
+            yield send(chunk, held)
+
+    return rows.select("chunk", "text", "held_out").mapInArrow(deal, "range int, chunk long, words binary, n binary, n_full binary, pairs binary, m binary, m_full binary")
+
+
+def answer(asked: DataFrame, ranges: int) -> DataFrame:
+    """ANSWERED rows, written: for each asked row its words' counts and levels and its pairs' levels, read from the range's slice of
+    the filter; and a row without a chunk for each range, with its training tokens and distinct words."""
+
+    def probe(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for r, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(r, []).append(rest)
+        for r, got in held.items():
+            totals = []
+            for k in (1, 4):
+                keys = np.frombuffer(b"".join(x[k] for x in got), np.uint64)
+                totals.append(summed(keys, np.concatenate([unpack(x[k + 1], x[k + 2]) for x in got])))
+            (word, n), (pair, m) = totals
+            seen, seen_pair = n > 0, m > 0
+            model = FrequencyFilter(np.concatenate([word[seen], pair[seen_pair]]), levels(np.concatenate([n[seen], m[seen_pair]])))
+            level, pair_level = (model.read(k).astype(np.uint8) for k in (word, pair))
+            real = seen & (word != START)
+            out = [(None, r, *[None] * 4, int(n[real].sum()), int(real.sum()))]
+            for x in got:
+                a = np.searchsorted(word, np.frombuffer(x[1], np.uint64))
+                b = np.searchsorted(pair, np.frombuffer(x[4], np.uint64))
+                out.append((x[0], r, *pack(n[a]), level[a].tobytes(), pair_level[b].tobytes(), None, None))
+                if len(out) > 500:
+                    yield batch_of(out, ANSWERED)
+                    out = []
+            yield batch_of(out, ANSWERED)
+
+    dealt = asked.repartitionById(ranges, F.col("range"))
+    return written(dealt.mapInArrow(probe, "chunk long, range int, n binary, n_full binary, levels binary, pair_levels binary, tokens long, distinct long"))
+
+
+def token_scores(word: np.ndarray, pair: np.ndarray, owner: np.ndarray, words: np.ndarray, level: np.ndarray, pairs: np.ndarray, pair_level: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """The model's log10 probability of each token. words and pairs: sorted, with their levels."""
+    count = level_counts(level)
+    at = np.searchsorted(words, word)
+    first = np.ones(len(word), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    before = np.where(first, count[np.searchsorted(words, START)], np.roll(count[at], 1))
+    together = np.minimum(level_counts(pair_level)[np.searchsorted(pairs, pair)], np.minimum(before, count[at]))
+    p = PAIR_SHARE * together / np.maximum(before, 1) + (1 - PAIR_SHARE) * (count[at] + 0.5) / (total + 0.5 * (distinct + 1))
+    return np.log10(np.minimum(p, 1.0))
+
+
+def score(docs: DataFrame, folds: int = 5, out: int = 1, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
 
-    Learns from the texts outside fold `out` of crc32(doc_id). base_score is exact; score is the model's log10 probability
-    of the text. A null or empty text is its end token alone. Rows are scored one by one: repeated rows and ids, null ids
-    included, all come back. Without any training text all counts are 0 (train_tokens 0), a token has base probability
-    0.5 / 0.5 = 1, and both scores are 0.
+    Learns from the texts that are not held out: those outside fold `out` of crc32(doc_id), or where held_out (a column, of
+    false, true or null, which counts as false) is not true. base_score is exact, but for words of one 64-bit hash; score is
+    the model's log10 probability of the text. A null or empty text is its end token alone. Rows are scored one by one:
+    repeated rows and ids, null ids included, all come back. Without any training text all counts are 0 (train_tokens 0), a
+    token has base probability 0.5 / 0.5 = 1, and both scores are 0. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) == out).alias("held_out"))
-    train = docs.where(~F.col("held_out")).select("text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = task_count(docs, size, TASK_BYTES)
-    counts = count(train, tasks)
-    total, distinct = counts.where("kind = 0").agg(F.sum("tokens"), F.sum("distinct")).first()
+    held = fold(F.col("doc_id"), folds) == out if held_out is None else F.coalesce(held_out, F.lit(False))
+    rows = chunked(docs.select("doc_id", "text", held.alias("held_out")))
+    size, chunks = rows.agg(F.sum(F.octet_length("text")), F.count_distinct("chunk")).first()
+    ranges = task_count(rows, size or 0, RANGE_BYTES)
+    answers = answer(ask(rows, ranges), ranges)
+    total, distinct = answers.where("chunk is null").agg(F.sum("tokens"), F.sum("distinct")).first()
     total, distinct = total or 0, distinct or 0
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((*frequent(counts, max(total, 1)), *build_filter(counts, tasks)))
-
-    def use(batches):
-        common, common_n, bits, bits_size = held.value
-        model = FrequencyFilter(bits, bits_size)
-        all_half = total + 0.5 * (distinct + 1)
-        for batch in batches:
-            ids, out_of = batch.column(1), batch.column(2)
-            data, offsets = raw(batch.column(0))
-            for i, j in steps(offsets):
-                n = j - i
-                word, pair, owner = scored_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                kinds, which = np.unique(word, return_inverse=True)
-                place = np.minimum(np.searchsorted(common, kinds), max(len(common) - 1, 0))
-                is_common = common[place] == kinds if len(common) else np.zeros(len(kinds), bool)
-                exact = np.where(is_common, common_n[place] if len(common) else 0, 0)
-                some = is_common[which]
-                known = np.bincount(owner[some], minlength=n)
-                base = np.bincount(owner[some], np.log10(exact + 0.5)[which[some]], n)
-                # the model's score
-                model_count = level_counts(model.read(kinds))
-                word_p = (model_count + 0.5) / all_half
-                first = np.ones(len(word), bool)
-                first[1:] = owner[1:] != owner[:-1]
-                begin = level_counts(model.read(np.array([START])))[0]
-                before = np.where(first, begin, np.roll(model_count[which], 1))
-                pairs, of = np.unique(pair, return_inverse=True)
-                together = np.minimum(level_counts(model.read(pairs))[of], np.minimum(before, model_count[which]))
-                p = PAIR_SHARE * together / np.maximum(before, 1) + (1 - PAIR_SHARE) * word_p[which]
-                log_p = np.bincount(owner, np.log10(np.minimum(p, 1.0)), n)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(3).slice(i, n), ids.slice(i, n), out_of.slice(i, n), pa.array(np.bincount(owner, minlength=n)), pa.array(known), pa.array(base), pa.array(log_p), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
-                ], names=list(FIELDS))
-                # what is left goes to the tasks that counted it
-                rest = ~some
-                key, row = word[rest], batch.column(3).slice(i, n).to_numpy()[owner[rest]]
-                order = np.argsort(ranges_of(key, tasks), kind="stable")
-                key, row = key[order], row[order]
-                edge = np.searchsorted(ranges_of(key, tasks), np.arange(tasks + 1))
-                at = np.flatnonzero(np.diff(edge))
-                m = len(at)
-                yield pa.RecordBatch.from_arrays([
-                    *(pa.nulls(m, k) for k in (pa.int64(), ids.type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(at.astype(np.int32)),
-                    pa.array([key[edge[t] : edge[t + 1]].tobytes() for t in at], pa.binary()), pa.array([row[edge[t] : edge[t + 1]].tobytes() for t in at], pa.binary()),
-                ], names=list(FIELDS))
-
-    FIELDS = {"row": "long", "doc_id": docs.schema["doc_id"].dataType.simpleString(), "held_out": "boolean", "n_tokens": "long", "known": "long", "base": "double", "score": "double", "range": "int", "keys": "binary", "rows": "binary"}
-    # Row numbers and results are written by the same task attempt, so a lost executor can't part them.
-    used = written(docs.select("text", "doc_id", "held_out", F.monotonically_increasing_id().alias("row")).mapInArrow(use, ", ".join(f"{k} {v}" for k, v in FIELDS.items())))
-    counted = counts.where("kind = 0").select("range", F.col("keys"), F.col("counts"), F.lit(None).cast("binary").alias("rows"))
-    asked = used.where("range is not null").select("range", "keys", F.lit(None).cast("binary").alias("counts"), "rows")
-
-    def answer(batches):
-        known: dict[int, list] = {}
-        asked: dict[int, list] = {}
+    replies = answers.where("chunk is not null").select("chunk", "range", "n", "n_full", "levels", "pair_levels")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("range", "int"), ("n", "binary"), ("n_full", "binary"), ("levels", "binary"), ("pair_levels", "binary"))]
+    both = rows.select("chunk", *none, "doc_id", "text", "held_out").unionByName(replies, allowMissingColumns=True)
+    all_half = float(np.log10(total + 0.5 * (distinct + 1)))
+
+    def scored(texts: list[pa.RecordBatch], replies: list[tuple]):
+        table = pa.Table.from_batches(texts).select(["doc_id", "text", "held_out"])
+        data, offsets = raw(table.column("text"))
+        parts = [scored_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in steps(offsets)]
+        words = summed(np.concatenate([np.array([START]), *[summed(p[0])[0] for p in parts]]))[0]
+        pairs = summed(np.concatenate([summed(p[1])[0] for p in parts]))[0]
+        replies.sort(key=lambda r: r[0])
+        exact = np.concatenate([unpack(r[1], r[2]) for r in replies])
+        level, pair_level = (np.frombuffer(b"".join(r[k] for r in replies), np.uint8).astype(np.int64) for k in (3, 4))
+        if len(exact) != len(words) or len(pair_level) != len(pairs):
+            raise ValueError("a chunk was read in parts: its answers do not match its texts")
+        for (i, j), (word, pair, owner) in zip(steps(offsets), parts, strict=True):
+            n, found = j - i, exact[np.searchsorted(words, word)]
+            size = np.bincount(owner, minlength=n)
+            base = np.bincount(owner, np.log10(found + 0.5), n) - size * all_half
+            log_p = np.bincount(owner, token_scores(word, pair, owner, words, level, pairs, pair_level, total, distinct), n)
+            some = table.slice(i, n).combine_chunks()
+            one = lambda c: some.column(c).combine_chunks()  # noqa: B023,E731
+            yield pa.RecordBatch.from_arrays([one("doc_id"), one("held_out"), pa.array(size), pa.array(np.bincount(owner, found > 0, n).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(log_p)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def finish(batches):
+        texts: dict[int, list] = {}
+        replies: dict[int, list] = {}
         for batch in batches:
-            for r, keys, c, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows is None:
-                    known.setdefault(r, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(c, np.int64)))
+            for part, chunk in parts_of(batch):
+                if part.column(1).null_count:
+                    texts.setdefault(chunk, []).append(part)
                 else:
-                    asked.setdefault(r, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(rows, np.int64)))
-        for r, got in asked.items():
-            key, row = (np.concatenate(x) for x in zip(*got, strict=True))
-            got.clear()
-            n = np.zeros(len(key), np.int64)
-            if r in known:
-                keys, c = (np.concatenate(x) for x in zip(*known[r], strict=True))
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                n = np.where((keys[place] == key) & (key != START), c[place], 0)
-            rows, of = np.unique(row, return_inverse=True)
-            yield from sums_of(rows, np.bincount(of, n > 0).astype(np.int64), np.bincount(of, np.log10(n + 0.5)))
-
-    def sums_of(rows, known, base):
-        """One row for each task that adds up documents: this task's sums for its documents."""
-        to = ranges_of(mix(rows.view(np.uint64)), tasks)
-        order = np.argsort(to, kind="stable")
-        edge = np.searchsorted(to[order], np.arange(tasks + 1))
-        packs = [(int(t), *(x[order[edge[t] : edge[t + 1]]].tobytes() for x in (rows, known, base))) for t in np.flatnonzero(np.diff(edge))]
-        yield batch_of(packs, ["to", "rows", "known", "base"], [pa.int32(), *[pa.binary()] * 3])
-
-    def add(batches):
-        got = [c.to_pylist() for batch in batches for c in batch.columns[1:]]
-        if got:
-            rows, known, base = (np.frombuffer(b"".join(chain.from_iterable(got[i::3])), kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
-            rows, of = np.unique(rows, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(of, known).astype(np.int64)), pa.array(np.bincount(of, base))], names=["row", "more_known", "more_base"])
-
-    sums = counted.unionByName(asked).repartition(tasks, "range").mapInArrow(answer, "to int, rows binary, known binary, base binary")
-    more = sums.repartition(tasks, "to").mapInArrow(add, "row long, more_known long, more_base double")
-    return used.where("range is null").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"), "score",
-    )
+                    replies.setdefault(chunk, []).extend(zip(*(part.column(c).to_pylist() for c in range(1, 6)), strict=True))
+        for chunk in list(texts):
+            yield from scored(texts.pop(chunk), replies.pop(chunk))
+
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    return both.repartition(max(2 * chunks, 1), "chunk").mapInArrow(finish, f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def parts_of(batch: pa.RecordBatch):
+    """(rows, chunk): the rows of one chunk (column 0) and one kind (column 1 null or not), of each in the batch."""
+    chunk, reply = batch.column(0).to_numpy(), np.asarray(batch.column(1).is_valid())
+    order = np.lexsort((reply, chunk))
+    edges = np.flatnonzero(np.concatenate(([True], (chunk[order][1:] != chunk[order][:-1]) | (reply[order][1:] != reply[order][:-1]), [True])))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.take(pa.array(order[i:j])), int(chunk[order[i]])

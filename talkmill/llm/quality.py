@@ -1,8 +1,9 @@
 """Quality by importance resampling: hashed n-gram models of good and of all text, and a Gumbel top-k of their ratio.
 
 The weight of a text is the log ratio of its words and word pairs under two bag models over hashed buckets: one of texts
-labelled good, one of all texts. Adding a Gumbel variable to each log weight and taking the k largest sums draws k texts
-without replacement in proportion to their weights.
+labelled good, one of all texts; a long text has that of an average stretch of STRETCH n-grams, as sums over whole texts differ
+by hundreds and no draw could change their order. Adding a Gumbel variable to each log weight and taking the k largest sums
+draws k texts without replacement in proportion to their weights.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from talkmill.llm.common import raw, steps, table, tokens, with_columns, written
 #: Runs of letters, digits and bytes beyond ASCII; runs of marks; white space is between.
 WORDS = table(2, ((0, 32), 0), ((48, 57), 1), ((65, 90), 1), ((97, 122), 1), ("_", 1), ((127, 127), 0), ((128, 255), 1))
 BUCKETS = 1 << 14
+#: n-grams that the log weight of a text stands for at most.
+STRETCH = 8
 #: Labelled rows used at most, for the good model and for the number that is kept: those whose ids hash lowest.
 LABELLED = 20_000
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word and word pair, the text of each). A word after itself counts as one kind of pair."""
+    """(bucket of each word and word pair, the text of each). A word after itself is one kind of pair, whichever word it is: what
+    tells raw text from good is that a word is repeated, and not which."""
     words, before = tokens(data, offsets, WORDS)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     pair = words[1:] + np.uint64(3) * words[:-1]
@@ -69,7 +73,7 @@ def sample_of(labels: DataFrame, ident: str, quality: str) -> DataFrame:
 
 
 def with_weights(docs: DataFrame, ratio: np.ndarray, text: str = "text", name: str = "log_weight") -> DataFrame:
-    """docs and the log importance weight of each whole text; null and empty texts have weight 0."""
+    """docs and the log importance weight of each whole text, of STRETCH n-grams at most; null for a text without any."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def make():
@@ -77,11 +81,11 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, text: str = "text", name: s
 
         def weigh(column):
             data, offsets = raw(column)
-            out = np.zeros(len(offsets) - 1)
+            out, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
             for i, j in steps(offsets):
                 bucket, owner = buckets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out[i:j] = np.bincount(owner, ratio[bucket], j - i)
-            return [pa.array(out)]
+                out[i:j], n[i:j] = np.bincount(owner, ratio[bucket], j - i), np.bincount(owner, minlength=j - i)
+            return [pa.array(out * np.minimum(1, STRETCH / np.maximum(n, 1)), mask=n == 0)]
 
         return weigh
 
@@ -126,18 +130,35 @@ def threshold(keys: DataFrame, key: str, k: int, bins: int = 4096) -> float:
             k -= r["n"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
-    """docs with log_weight, gumbel_key and selected: whether the row is among the k largest keys.
-
-    k is the number of rows whose weight is above the cut, which parts the labelled sample's good from its bad texts. The
-    Gumbel variable comes from a hash of seed, id and text, so repeated rows share their fate, and rows that tie with the
-    k-th are all selected. Null and empty texts have weight 0. Without labels of both kinds all rows are selected.
-    """
-    ratio = fit(docs, labels, ident, text)
+def with_keys(docs: DataFrame, ratio: np.ndarray, ident: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+    """docs with log_weight and gumbel_key, the log weight and a Gumbel variable, which comes from a hash of seed, id and text."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(ident), F.col(text)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     rows = with_weights(docs.withColumn("__gumbel", -F.log(-F.log(uniform))), ratio, text, "log_weight")
-    rows = written(rows.withColumn("gumbel_key", F.col("log_weight") + F.col("__gumbel")).drop("__gumbel"))
-    known = rows.select(F.col(ident).alias("id"), "log_weight").join(F.broadcast(sample_of(labels, ident, "quality")), "id").select("log_weight", "label").limit(4 * LABELLED).toPandas()
-    least = cut(known["log_weight"].to_numpy(float), known["label"].to_numpy() == 1)
-    k = rows.where(F.col("log_weight") >= float(least)).count()
-    return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(float(threshold(rows, "gumbel_key", k))))
+    return rows.withColumn("gumbel_key", F.col("log_weight") + F.col("__gumbel")).drop("__gumbel")
+
+
+def usual_k(rows: DataFrame, labels: DataFrame, ident: str, quality: str = "quality") -> int:
+    """How many rows have a weight above the cut, which parts the labelled sample's good from its bad texts (see cut).
+
+    rows: written, with log_weight. One weight an id, the smallest, so at most LABELLED rows come to the driver.
+    """
+    known = rows.where("log_weight is not null").select(F.col(ident).alias("id"), "log_weight").join(F.broadcast(sample_of(labels, ident, quality)), "id")
+    known = known.groupBy("id", "label").agg(F.min("log_weight").alias("w")).toPandas()
+    least = cut(known["w"].to_numpy(float), known["label"].to_numpy() == 1)
+    return rows.where(F.col("log_weight") >= float(least)).count()
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, ident: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+    """docs with log_weight, gumbel_key and selected: whether the row is drawn, i.e. among the k largest keys.
+
+    k: rows to draw; by default the number whose weight is above the cut between the labelled sample's good and bad texts. The
+    draw decides near the cut: a text far above it is all but sure to be drawn. Repeated rows share their fate, and rows that
+    tie with the k-th are all drawn. Texts without a word or mark (null, empty, blank) have null log_weight and gumbel_key
+    and are never drawn. Without labels of both kinds, or with k beyond the rows, all others are drawn. An empty table gives
+    none. Columns of docs with those three names give way.
+    """
+    mine = ["log_weight", "gumbel_key", "selected"]
+    docs = docs.select(*[c for c in docs.columns if c not in mine])
+    rows = written(with_keys(docs, fit(docs, labels, ident, text), ident, text, seed))
+    k = usual_k(rows, labels, ident) if k is None else k
+    return rows.withColumn("selected", F.coalesce(F.col("gumbel_key") >= F.lit(float(threshold(rows, "gumbel_key", k))), F.lit(False)))

@@ -130,12 +130,76 @@ def test_trie_join_finds_all_pairs_of_dense_and_split_blocks(spark, monkeypatch)
         assert pairs(mine) == pairs(want)
 
 
+def word_hash(word):
+    """The hash of a word, byte by byte in plain numbers."""
+    import xxhash
+
+    full = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    if len(word) > 64:
+        return xxhash.xxh64_intdigest(word, 42)
+    h = len(word) * 0x9E3779B97F4A7C15 & full
+    for k in range(0, len(word), 8):
+        h = mix(((h ^ int.from_bytes(word[k : k + 8], "little")) + 0x9E3779B97F4A7C15) & full)
+    return h
+
+
+def brute_buckets(text):
+    full = 2**64 - 1
+    words = [word_hash(w) for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^\x00-\x20\x7f0-9A-Za-z_\x80-\xff]+", (text or "").encode())]
+    pairs = [(1 if a == b else (b + 3 * a) & full) * 0x9E3779B97F4A7C15 & full for a, b in zip(words, words[1:], strict=False)]
+    return [x >> 50 for x in (*words, *pairs)]
+
+
 def test_quality(spark, docs, odd, none):
+    from pyspark.sql import functions as F
+
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    got = quality.resample(docs, labels).select("doc_id", "selected").join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].selected.mean() > 0.97 and got[got.quality == 0].selected.mean() < 0.2
-    assert quality.resample(odd, labels).count() == len(ODD) and quality.resample(none, labels).count() == 0
-    assert quality.resample(docs, labels.limit(0)).where("selected").count() == docs.count()
+    texts, mark = docs.select("doc_id", "text").collect(), {r["doc_id"]: r["quality"] for r in labels.collect()}
+    sums = np.full((2, quality.BUCKETS), 0.5)
+    for i, t in texts:
+        b = np.bincount(brute_buckets(t), minlength=quality.BUCKETS)
+        sums[0] += b
+        if mark.get(i) == 1:
+            sums[1] += b
+    ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    assert np.allclose(quality.fit(docs, labels), ratio)
+    rows = quality.resample(docs, labels).collect()
+    for r in rows:
+        b = brute_buckets(r["text"])
+        assert r["log_weight"] is None if not b else math.isclose(r["log_weight"], ratio[b].sum() * min(1, quality.STRETCH / len(b)), abs_tol=1e-9)
+    good, bad = ([r["selected"] for r in rows if mark.get(r["doc_id"]) == q] for q in (1, 0))
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
+    got = quality.resample(odd, labels)
+    assert got.count() == len(ODD) and quality.resample(none, labels).count() == 0 and quality.resample(docs, labels, k=7).where("selected").count() == 7
+    assert got.where("selected and (text is null or trim(text) = '') ").count() == 0
+    assert {r["doc_id"] for r in got.where("not selected").select("doc_id").collect()} >= {1, 2, 3}
+    assert quality.resample(docs, labels.limit(0)).where("selected").count() == docs.count() == quality.resample(docs, labels.withColumn("quality", F.lit(1))).where("selected").count()
+    assert quality.resample(docs, labels.withColumn("quality", F.lit(None).cast("int"))).where("not selected").count() == 0
+
+
+def test_the_draw_follows_the_weights(spark):
+    """How often a text is drawn first is its share of all weights (Plackett and Luce's rule), and not 1 for the best."""
+    ratio = np.zeros(quality.BUCKETS)
+    words = ["alpha", "beta", "gamma", "delta"]
+    want = np.array([0.4, 0.3, 0.2, 0.1])
+    for w, p in zip(words, want, strict=True):
+        ratio[brute_buckets(w)] = math.log(p)
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
+    from pyspark.sql import functions as F
+
+    many = docs.join(spark.range(4000).select(F.col("id").alias("seed")))
+    rows = quality.with_keys(many.withColumn("twin", F.col("seed") * 10 + F.col("doc_id")), ratio, "twin", "text").collect()
+    draws = collections.defaultdict(dict)
+    for r in rows:
+        draws[r["seed"]][r["doc_id"]] = r["gumbel_key"]
+    first = np.bincount([max(d, key=d.get) for d in draws.values()], minlength=4) / len(draws)
+    assert np.abs(first - want).max() < 0.03
 
 
 def test_threshold_is_the_kth(spark):
@@ -289,18 +353,63 @@ def test_lm_scores(docs, odd, none):
     assert lm_score.score(none).count() == 0
 
 
+def exact_model(tokens, train):
+    """(score of each text, by the model's formula with exact counts for n-grams, quantised but without false positives)."""
+    words, pairs = collections.Counter(), collections.Counter()
+    for w, used in zip(tokens, train, strict=True):
+        if used:
+            words.update(w)
+            pairs.update(zip(["start", *w[:-1]], w, strict=True))
+    begins = sum(train)
+    total, distinct = sum(words.values()), len(words)
+    level = lambda n: 0.0 if not n else (3 * 2 ** (n.bit_length() - 1) - 1) / 2
+    out = []
+    for w in tokens:
+        at = 0.0
+        for a, b in zip(["start", *w[:-1]], w, strict=True):
+            before, n = level(begins if a == "start" else words[a]), level(words[b])
+            p = 0.1 * min(level(pairs[a, b]), before, n) / max(before, 1) + 0.9 * (n + 0.5) / (total + 0.5 * (distinct + 1))
+            at += math.log10(min(p, 1.0))
+        out.append(at)
+    return out
+
+
+def test_lm_scores_follow_the_counts_of_all_ngrams(spark, docs, odd, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200_000)  # several chunks
+    for d in (docs, odd):
+        texts = d.select("doc_id", "text").collect()
+        tokens = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None] for _, t in texts]
+        train = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in texts]
+        want = sorted(exact_model(tokens, train))
+        got = sorted(r["score"] for r in lm_score.score(d).collect())
+        assert len(got) == len(want) and np.allclose(got, want, rtol=0.03, atol=0.5)
+        assert np.mean(np.abs(np.array(got) / np.minimum(want, -1e-9) - 1)) < 0.01
+
+
+def test_words_of_a_pattern_are_told_apart(spark):
+    from talkmill.llm import common
+
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(2, a), (3, f"{a} {b}"), (4, "x" * 64), (5, "x" * 65), (6, "x" * 63)]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), held_out=None).collect()}
+    known = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split())
+    assert all(got[i]["n_known"] == sum(known[w] > 0 for w in t.split()) + 1 for i, t in rows)
+    many = [bytes(x) for n in range(1, 130, 3) for x in np.random.default_rng(n).integers(97, 99, (200, n), np.uint8)] + [a.encode(), b.encode()]
+    many = sorted(set(many))
+    h = common.hashes(np.frombuffer(b"".join(many), np.uint8), np.array([len(w) for w in many]))
+    assert len(set(h.tolist())) == len(many)
+
+
 def test_filter_reads_what_it_holds():
     keys = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     level = lm_score.levels(np.arange(1, 3000) % 40 + 1)
-    size = np.array([int(level.sum() * lm_score.BITS_PER_ITEM) // 8 * 8 + 8])
-    bits = np.zeros(size[0], np.uint8)
-    for q in range(1, level.max() + 1):
-        for place in lm_score.FrequencyFilter.items(keys[level >= q], q, np.full((level >= q).sum(), size[0])):
-            bits[place] = 1
-    model = lm_score.FrequencyFilter(np.packbits(bits, bitorder="little"), size)
+    model = lm_score.FrequencyFilter(keys, level)
     read = model.read(keys)
     assert (read >= level).all() and (read > level).mean() < 0.1
     assert (model.read(keys + np.uint64(1)) > 0).mean() < 0.1
+    assert not lm_score.FrequencyFilter(keys[:0], level[:0]).read(keys).any()
 
 
 def test_pipeline(spark):
