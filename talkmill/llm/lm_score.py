@@ -28,7 +28,7 @@ PROBES, BITS_PER_ITEM = 3, 8
 PAIR_SHARE = 0.1
 END, START = np.uint64(0xE5D), np.uint64(0x57A27)
 #: Bytes of text in a chunk, and of text whose n-grams one range holds; more text means more of both.
-CHUNK_BYTES, RANGE_BYTES = 12 << 20, 16 << 20
+CHUNK_BYTES, RANGE_BYTES = 6 << 20, 8 << 20
 #: A chunk has to be read by one task, so a file of chunks is one row group.
 ROW_GROUP = str(1 << 30)
 
@@ -231,7 +231,9 @@ def score(docs: DataFrame, folds: int = 5, out: int = 1, held_out: Column | None
     """
     held = fold(F.col("doc_id"), folds) == out if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = chunked(docs.select("doc_id", "text", held.alias("held_out")))
-    size, chunks = rows.agg(F.sum(F.octet_length("text")), F.count_distinct("chunk")).first()
+    # Chunk s of writing task t is number s * tasks + t, so that each task of the last step gets one chunk.
+    size, tasks, deep = rows.agg(F.sum(F.octet_length("text")), F.max(F.shiftright("chunk", 32)), F.max(F.col("chunk") % (1 << 32))).first()
+    tasks, deep = (tasks or 0) + 1, (deep or 0) + 1
     ranges = task_count(rows, size or 0, RANGE_BYTES)
     answers = answer(ask(rows, ranges), ranges)
     total, distinct = answers.where("chunk is null").agg(F.sum("tokens"), F.sum("distinct")).first()
@@ -274,7 +276,8 @@ def score(docs: DataFrame, folds: int = 5, out: int = 1, held_out: Column | None
             yield from scored(texts.pop(chunk), replies.pop(chunk))
 
     ident = docs.schema["doc_id"].dataType.simpleString()
-    return both.repartition(max(2 * chunks, 1), "chunk").mapInArrow(finish, f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    place = (F.col("chunk") % (1 << 32)) * tasks + F.shiftright("chunk", 32)
+    return both.repartitionById(tasks * deep, place.cast("int")).mapInArrow(finish, f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def parts_of(batch: pa.RecordBatch):
