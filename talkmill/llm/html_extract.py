@@ -27,65 +27,91 @@ RAW = frozenset("script style".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select body article section div".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|([^<]++|<)", re.S)
-_attribute = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++|<)", re.S)
+_attribute = re.compile(r"([^\s=>\"'/]++)\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NAMED = frozenset(("class", "id", "role", "aria-label"))
+CLOSED = frozenset().union(*CLOSES.values())
+
+
+class Element:
+    """An open element: the features that it adds to its ancestors', and the innermost block's tag. `total` is the features' score
+    once it is known, so that neither a deep page's paths nor their features are ever written out."""
+
+    __slots__ = ("parent", "fresh", "inner", "total")
+
+    def __init__(self, parent: Element | None, fresh: tuple[str, ...], inner: str):
+        self.parent, self.fresh, self.inner, self.total = parent, fresh, inner, None
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, the path of open elements, and how many of its characters are in links."""
+    """A leaf block: its text, the innermost open element, and how many of its characters are in links."""
 
     text: str
-    path: tuple[str, ...]
+    element: Element
     linked: int
 
 
-def names_of(attributes: str) -> str:
-    """The words of class, id and role, as `.word` each."""
-    found = _attribute.findall(attributes) if attributes else ()
-    return "".join(f".{w.lower()}" for value in found for w in _words.findall(value))
+def names_of(attributes: str) -> set[str]:
+    """The words of class, id, role and aria-label, in lower case."""
+    return {w.lower() for name, value in _attribute.findall(attributes) if name.lower() in NAMED for w in _words.findall(value)} if attributes else set()
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks that have text, in order. A path's element is its tag and the words of its class, id and role."""
+    """The page's leaf blocks that have text, in order. Time and memory are linear in the page, however deep it is."""
     out: list[Block] = []
-    path: list[str] = []
-    tags: list[str] = []
+    stack: list[tuple[str, Element, list[str]]] = []  # tag, element, features
+    marks: list[int] = []  # places in the stack of tags that a tag may close, or that end the search for one
+    held: dict[str, int] = {}  # how many open elements have a feature
     text: list[str] = []
     linked = at = 0
+    last_end = page.rfind(">")
+    root = Element(None, (), "none")
 
     def flush():
         nonlocal linked
         if text:
             plain = " ".join("".join(text).split())
             if plain:
-                out.append(Block(plain, tuple(path), linked))
+                out.append(Block(plain, stack[-1][1] if stack else root, linked))
             text.clear()
         linked = 0
 
-    def close(depth):
-        del path[depth:], tags[depth:]
-
-    while (m := _token.match(page, at)) is not None:
-        at = m.end()
-        end, tag, attributes, plain = m.groups()
+    def pop() -> str:
+        tag, _, features = stack.pop()
+        for f in features:
+            held[f] -= 1
+        if marks and marks[-1] == len(stack):
+            marks.pop()
+        return tag
+
+    while at < len(page):
+        if at > last_end:  # no tag ends here or later
+            m, plain = None, page[at:]
+            at = len(page)
+            if plain.startswith("<!--"):
+                break
+        else:
+            m = _token.match(page, at)
+            at = m.end()
+            plain = m.group(7)
         if plain is not None:
             plain = html.unescape(plain)
             text.append(plain)
-            if "a" in tags:
+            if held.get("in a"):
                 linked += len(plain)
             continue
+        end, tag, attributes = m.group(1, 2, 3) if m.group(2) is not None else m.group(4, 5, 6)
         if tag is None:
             continue
         tag = tag.lower()
         if end:
-            if tag in tags:
-                if tag not in INLINE:
-                    flush()
-                close(len(tags) - 1 - tags[::-1].index(tag))
-            elif tag not in INLINE:
+            if tag not in INLINE:
                 flush()
+            if held.get(f"in {tag}"):
+                while pop() != tag:
+                    pass
             continue
         if tag in RAW:
             done = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -93,26 +119,39 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if "p" in tags and tag != "br":
-                close(len(tags) - 1 - tags[::-1].index("p"))
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] in CLOSES.get(tag, ()):
-                    close(i)
-                elif tags[i] in SCOPE or tag not in CLOSES:
-                    break
+            if held.get("in p") and tag != "br":
+                while pop() != "p":
+                    pass
+            closes = CLOSES.get(tag, ())
+            if any(held.get(f"in {t}") for t in closes):
+                place = len(marks) - 1
+                while place >= 0 and stack[marks[place]][0] not in SCOPE:
+                    if stack[marks[place]][0] in closes:
+                        depth = marks[place]
+                        while len(stack) > depth:
+                            pop()
+                        place = len(marks)
+                    place -= 1
         if tag not in VOID and not attributes.endswith("/"):
-            tags.append(tag)
-            path.append(tag + names_of(attributes))
+            features = [f"in {tag}", *(f"named {w}" for w in sorted(names_of(attributes)))]
+            parent = stack[-1][1] if stack else root
+            fresh = tuple(f for f in features if not held.get(f))
+            for f in features:
+                held[f] = held.get(f, 0) + 1
+            if tag in SCOPE or tag in CLOSED:
+                marks.append(len(stack))
+            stack.append((tag, Element(parent, fresh, parent.inner if tag in INLINE else tag), features))
     flush()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
+def path_features(element: Element) -> list[str]:
     """Features of the ancestors: their tags, the innermost block's tag, and the words of their class, id and role."""
-    tags = [p.partition(".")[0] for p in path]
-    inner = next((t for t in reversed(tags) if t not in INLINE), "none")
-    words = {w for p in path for w in p.split(".")[1:]}
-    return [*{f"in {t}" for t in tags}, f"block {inner}", *(f"named {w}" for w in words)]
+    out = [f"block {element.inner}"]
+    while element is not None:
+        out += element.fresh
+        element = element.parent
+    return out
 
 
 def text_features(block: Block) -> list[str]:
@@ -129,8 +168,19 @@ class ChainField:
     between: np.ndarray
     first: np.ndarray
 
-    def decode(self, found: list[Block], known: dict[tuple[str, ...], float]) -> list[bool]:
-        """Viterbi: the most likely labels. known remembers the scores of paths."""
+    def path_score(self, element: Element) -> float:
+        """The weights of path_features; each element's sum is kept, so a page's sums take time linear in its elements."""
+        todo = []
+        while element.total is None and element.parent is not None:
+            todo.append(element)
+            element = element.parent
+        get, total = self.weights.get, element.total or 0.0
+        for element in reversed(todo):
+            total = element.total = total + sum(get(f, 0.0) for f in element.fresh)
+        return total + get(f"block {element.inner}", 0.0)
+
+    def decode(self, found: list[Block]) -> list[bool]:
+        """Viterbi: the most likely labels."""
         if not found:
             return []
         (b00, b01), (b10, b11) = self.between.tolist()
@@ -138,12 +188,7 @@ class ChainField:
         back = []
         zero, one = self.first.tolist()
         for i, block in enumerate(found):
-            score = known.get(block.path)
-            if score is None:
-                if len(known) > 50_000:
-                    known.clear()
-                score = known[block.path] = sum(get(f, 0.0) for f in path_features(block.path))
-            score += sum(get(f, 0.0) for f in text_features(block))
+            score = self.path_score(block.element) + sum(get(f, 0.0) for f in text_features(block))
             if i:
                 from_zero, from_one = zero + b01 >= one + b11, zero + b00 >= one + b10
                 zero, one = (zero + b00 if from_one else one + b10), (zero + b01 if from_zero else one + b11)
@@ -163,7 +208,7 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 150, rate: float = 0.2
     rows = []
     for page, main in pages:
         found, wanted = blocks(page), set(main)
-        rows.append([([seen.setdefault(f, len(seen)) for f in [*path_features(b.path), *text_features(b)]], b.text in wanted) for b in found])
+        rows.append([([seen.setdefault(f, len(seen)) for f in [*path_features(b.element), *text_features(b)]], b.text in wanted) for b in found])
     rows = [r for r in rows if r]
     n, longest = len(rows), max(map(len, rows))
     mask, gold = np.zeros((n, longest), bool), np.zeros((n, longest), np.int64)
@@ -302,13 +347,13 @@ def with_main_text(pages: DataFrame, model: ChainField, source: str = "html", na
     held = pages.sparkSession.sparkContext.broadcast((model.weights, model.between, model.first))
 
     def make():
-        model, known = ChainField(*held.value), {}
+        model = ChainField(*held.value)
 
         def extract(column):
             out = []
             for page in column.to_pylist():
                 found = blocks(page or "")
-                out.append(" ".join(b.text for b, keep in zip(found, model.decode(found, known), strict=True) if keep))
+                out.append(" ".join(b.text for b, keep in zip(found, model.decode(found), strict=True) if keep))
             return [pa.array(out, pa.string())]
 
         return extract

@@ -5,7 +5,8 @@ ranks where it was made by BPE, so the log scores used here follow Zipf's law in
 their sum. A character that no piece covers is one node of a score below all others, and leaves as its bytes' pieces.
 
 No piece has a blank marker after another character, so the best path over a text is made of the best paths over its words,
-each with the blanks before it. Words are solved side by side, each distinct word of a stretch once.
+each with the blanks before it. Words are solved side by side, each distinct word of a stretch once. A long word, as in scripts
+that have no blanks, is first cut wherever none of the pieces that occur in it crosses, which no path can notice.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from talkmill.llm.common import binary, steps, raw, with_columns
 MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Words of more bytes are cut; what is still longer than LONGEST is solved by itself.
+LONG, LONGEST = 48, 1024
 #: Words that a task remembers.
 REMEMBERED = 300_000
 
@@ -57,6 +60,18 @@ def fields(data: bytes):
             at += size
 
 
+def puts_blank_first(path: str) -> bool:
+    """Whether the model file's normaliser puts a blank before a text. Raises if it would change texts in other ways, as pieces are
+    to decode to the text again: by a table of characters, by taking blanks away, or by leaving blanks unmarked."""
+    for number, value in fields(Path(path).read_bytes()):
+        if number == 3:
+            settings = dict(fields(value))
+            if settings.get(2) or settings.get(4, 1) or not settings.get(5, 1):
+                raise ValueError("the model's normaliser changes texts")
+            return bool(settings.get(3, 1))
+    raise ValueError("the model file has no normaliser settings")
+
+
 def read_model(path: str) -> list[tuple[bytes, float, int]]:
     """(piece, stored number, kind) of each piece of a model file."""
     out = []
@@ -128,6 +143,7 @@ class Pieces:
     text: np.ndarray
     text_at: np.ndarray
     is_byte: np.ndarray
+    blank_first: bool = True
 
     @classmethod
     def load(cls, path: str = DEFAULT_MODEL) -> Pieces:
@@ -146,21 +162,82 @@ class Pieces:
             raise ValueError("the model has no byte fallback")
         plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (UNKNOWN, CONTROL) else p.replace(MARK, b" ") for p, _, kind in model]
         at = np.concatenate(([0], np.cumsum([len(p) for p in plain])))
-        return cls(DoubleArray([model[i][0].replace(MARK, b" ") for i in used]), np.array(used, np.int32), scores, float(scores.min() - 10), byte_ids, np.frombuffer(b"".join(plain), np.uint8), at, np.array([k == BYTE for _, _, k in model]))
+        return cls(DoubleArray([model[i][0].replace(MARK, b" ") for i in used]), np.array(used, np.int32), scores, float(scores.min() - 10), byte_ids, np.frombuffer(b"".join(plain), np.uint8), at, np.array([k == BYTE for _, _, k in model]), puts_blank_first(path))
+
+    def matches(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every piece that occurs in text (bytes as int32), starts in order. All starts step together."""
+        at, state, t = np.flatnonzero((text & 0xC0) != 0x80), None, 0
+        state = np.zeros(len(at), np.int32)
+        found = []
+        while len(at):
+            state = self.trie.step(state, text[at + t])
+            at, state = at[state >= 0], state[state >= 0]
+            t += 1
+            known = self.trie.value[state]
+            has = known >= 0
+            found.append((at[has], at[has] + t, known[has]))
+            inside = at + t < len(text)
+            at, state = at[inside], state[inside]
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], piece[order]
+
+    def cut(self, words: list[bytes]) -> list[list[bytes]]:
+        """Each word in parts that no piece within it crosses: the best path over the word is that over its parts."""
+        joined = b"\xff".join(words)  # a byte that is in no piece
+        text = np.frombuffer(joined, np.uint8).astype(np.int32)
+        start, end, _ = self.matches(text)
+        crossed = np.bincount(start + 1, minlength=len(text) + 2) - np.bincount(end, minlength=len(text) + 2)
+        free = (np.cumsum(crossed)[: len(text)] == 0) & ((text & 0xC0) != 0x80)
+        out, at = [], 0
+        cuts = np.flatnonzero(free)
+        for w in words:
+            mine = cuts[np.searchsorted(cuts, at + 1) : np.searchsorted(cuts, at + len(w))].tolist()
+            out.append([joined[i:j] for i, j in zip([at, *mine], [*mine, at + len(w)], strict=True)])
+            at += len(w) + 1
+        return out
 
     def best(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the piece ids of the words' best paths, how many each word has). Of equal paths the one found first stays."""
         order = np.argsort([len(w) for w in words], kind="stable")[::-1]
         at, found = 0, []
         while at < len(order):
-            take = max(1, 200_000 // max(1, len(words[order[at]])))
-            found.append(self._solve([words[i] for i in order[at : at + take]]))
+            longest = len(words[order[at]])
+            take = 1 if longest > LONGEST else max(1, 200_000 // max(1, longest))
+            found.append(self._solve_one(words[order[at]]) if longest > LONGEST else self._solve([words[i] for i in order[at : at + take]]))
             at += take
         ids, size = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         begin = (np.cumsum(size) - size)[np.argsort(order)]
         size = size[np.argsort(order)]
         return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
+    def _solve_one(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long word, whose pieces are found for all places at once."""
+        text = np.frombuffer(word, np.uint8).astype(np.int32)
+        start, end, piece = self.matches(text)
+        value = self.scores[piece].tolist()
+        begins = np.flatnonzero((text & 0xC0) != 0x80)
+        first = np.searchsorted(start, np.append(begins, len(word))).tolist()
+        begins, end, piece = begins.tolist(), end.tolist(), piece.tolist()
+        score, back, used = [-float("inf")] * (len(word) + 1), [0] * (len(word) + 1), [-1] * (len(word) + 1)
+        score[0] = 0.0
+        for k, s in enumerate(begins):
+            e = begins[k + 1] if k + 1 < len(begins) else len(word)
+            now = score[s]
+            if now + self.unknown > score[e]:
+                score[e], back[e], used[e] = now + self.unknown, s, -1
+            for i in range(first[k], first[k + 1]):
+                if now + value[i] > score[end[i]]:
+                    score[end[i]], back[end[i]], used[end[i]] = now + value[i], s, piece[i]
+        ids, at = [], len(word)
+        while at:
+            if used[at] >= 0:
+                ids.append(int(self.ids[used[at]]))
+            else:
+                ids += [int(self.byte_ids[b]) for b in word[back[at] : at][::-1]]
+            at = back[at]
+        return np.array(ids[::-1], np.int32), np.array([len(ids)])
+
     def _solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, width = len(words), max(map(len, words))
         size = np.array([len(w) for w in words])
@@ -217,7 +294,7 @@ class Pieces:
         edge = np.append(begin, len(data))[at]
         first = edge[:-1][edge[:-1] < edge[1:]]
         drop = np.zeros(len(data), bool)
-        drop[first] = data[first] == 32
+        drop[first] = (data[first] == 32) & self.blank_first
         lost = np.concatenate(([0], np.cumsum(drop)))
         return data[~drop], edge - lost[edge]
 
@@ -235,7 +312,12 @@ def encoder(pieces: Pieces):
         if len(number) > REMEMBERED:
             number.clear()
             pool, ends = pool[:0], ends[:1]
-        split = [_words.findall(b" " + x.replace(MARK, b" ")) if x else [] for x in texts]
+        blank = b" " if pieces.blank_first else b""
+        split = [_words.findall(blank + x.replace(MARK, b" ")) if x else [] for x in texts]
+        long = list({w for words in split for w in words if len(w) > LONG})
+        if long:
+            parts = dict(zip(long, pieces.cut(long), strict=True))
+            split = [list(chain.from_iterable(parts.get(w) or (w,) for w in words)) for words in split]
         flat = list(chain.from_iterable(split))
         new = list(set(flat).difference(number))
         if new:

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, and all pairs within a Hamming distance by a self-join of binary tries.
 
 Fingerprints are distinct before the join, so copies cost nothing there. A fingerprint is dealt to one trie for each of
-radius + 1 bit blocks, together with those that share the block: two fingerprints within the radius share one at least.
+radius + 1 bit blocks, together with those that share the block: two fingerprints within the radius share one at least. A trie
+that is too large for that is dealt again in the same way, by blocks of the bits that its members need not share, and so on.
 Each task lays its tries out as one sorted array, walks pairs of nodes level by level, adds one to a pair's error for each
 differing bit, and drops the pair beyond the radius. What a task finds leaves it as a forest (a link from each fingerprint
 to the smallest of its component there), so a dense cluster gives as many rows as fingerprints. Components over all tasks
@@ -10,7 +11,9 @@ come from alternating star contractions on written tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +24,52 @@ from pyspark.sql import types as T
 
 from talkmill.llm.common import binary, task_count, with_columns, written
 
-#: A block with more distinct fingerprints is dealt to several tasks by its next SPLIT_BITS bits.
-BLOCK_ROWS, SPLIT_BITS = 100_000, 6
+#: A trie with more distinct fingerprints is dealt again.
+BLOCK_ROWS = 100_000
+#: Bytes of text whose words are held at once.
+TEXT_STEP = 1 << 20
 #: Rows of a task, and node pairs that it holds at once.
 TASK_ROWS, FRONTIER = 200_000, 1 << 20
 
 
+_between = re.compile(rb"[ \t-\r]")
+
+
 def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The 64-bit SimHash of one text: its lower-cased words' width-shingles, each with one vote, repeats included."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - width + 1)
+    """The 64-bit SimHash of one text: its lower-cased words' width-shingles, each with one vote, repeats included.
+
+    A long text is taken in steps, each beginning with the last words of the one before.
+    """
+    text, at, n, votes, kept = text or b"", 0, 0, np.zeros(64, np.int64), []
+    while at < len(text):
+        end = len(text)
+        if end - at > TEXT_STEP:
+            found = _between.search(text, at + TEXT_STEP)
+            end = found.start() if found else end
+        kept += text[at:end].lower().split()
+        at = end
+        if len(kept) >= width:
+            votes += shingle_votes(kept, width)
+            n += len(kept) - width + 1
+            kept = kept[len(kept) - width + 1 :]
+    if not n and kept:
+        votes, n = shingle_votes(kept, len(kept)), 1
+    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def shingle_votes(words: list[bytes], width: int) -> np.ndarray:
+    """How many shingles of width words have each bit of their hash set."""
+    joined, n = b" ".join(words), len(words) - width + 1
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    ends = (ends[min(width, len(words)) - 1 :] - 1).tolist()
+    ends = (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    votes = np.add.reduceat(bits, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+    votes = np.zeros(64, np.int64)
+    for i in range(0, n, 1 << 16):
+        bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return votes
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 4, name: str = "fp") -> DataFrame:
@@ -67,18 +96,14 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_links(key: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(key: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places whose keys lie in one group and differ in at most radius bits.
 
-    key is sorted within a group and within the sides 0 and 1 of a group. Groups with one side are joined with themselves,
-    groups with two only across. Node pairs are four bounds and an error; a node is a run of keys with one prefix.
+    key is sorted within each group. Node pairs are four bounds and an error; a node is a run of keys with one prefix.
     """
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     last = np.append(first[1:], len(group))
-    ones = np.concatenate(([0], np.cumsum(side)))
-    middle = last - (ones[last] - ones[first])
-    whole = (middle == last) | (middle == first)
-    start = np.stack([first, np.where(whole, last, middle), np.where(whole, first, middle), last, np.zeros_like(first)])
+    start = np.stack([first, last, first, last, np.zeros_like(first)])
     counts: dict[int, np.ndarray] = {}
     todo = [(0, start)]
     while todo:
@@ -120,45 +145,61 @@ def trie_links(key: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int
             todo.append((depth + 1, below))
 
 
+def blocks_of(used: int, radius: int) -> list[int]:
+    """The bits that aren't in used, in radius + 1 blocks at most: a mask for each. Two fingerprints that agree in the used bits and
+    differ in at most radius others agree in one block."""
+    free = [i for i in range(64) if not used >> i & 1]
+    size = [len(free) // (radius + 1) + (i < len(free) % (radius + 1)) for i in range(radius + 1)]
+    return [sum(1 << i for i in free[sum(size[:j]) : sum(size[: j + 1])]) for j in range(radius + 1) if size[j]]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def tries(fps: DataFrame, radius: int) -> DataFrame:
+    """(mask, shared, fp): fingerprints in groups that agree in the bits of mask, such that any two within the radius meet in one.
+
+    Groups above BLOCK_ROWS are dealt again until none is left, radius + 1 copies a level and never more than BLOCK_ROWS in
+    a group but where all bits are used. Only groups' sizes are looked at, level by level, on written tables.
+    """
+    rows, masks, done = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], []
+    while masks:
+        below = {m: [m | b for b in blocks_of(m, radius)] for m in masks}
+        each = F.coalesce(*[F.when(F.col("mask") == signed(m), F.array(*[F.lit(signed(x)).cast("long") for x in sorted(new)])) for m, new in below.items()])
+        dealt = rows.select(F.explode(each).alias("mask"), "fp").withColumn("shared", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
+        large = written(dealt.groupBy("mask", "shared").count().where((F.col("count") > BLOCK_ROWS) & (F.col("mask") != -1)).select("mask", "shared"))
+        again = [r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect()]  # masks, not groups: (radius + 1)**level at most
+        if not again:
+            return reduce(DataFrame.unionByName, done, dealt)
+        dealt = written(dealt)
+        done.append(dealt.join(large, ["mask", "shared"], "left_anti"))
+        rows, masks = dealt.join(large, ["mask", "shared"], "left_semi").select("mask", "fp"), again
+    raise AssertionError
+
+
 def near_links(fps: DataFrame, radius: int) -> DataFrame:
     """A spanning forest of the links between distinct fingerprints fp: columns u > v. fps may be of any size."""
-    width = [64 // (radius + 1) + (i < 64 % (radius + 1)) for i in range(radius + 1)]
-    shift = [sum(width[:i]) for i in range(radius + 1)]
-    turned = F.array(*[
-        F.struct(F.lit(i).alias("trie"), (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("key"), F.lit(w).alias("width"))
-        for i, (s, w) in enumerate(zip(shift, width, strict=True))
-    ])
-    rows = fps.select(F.explode(turned).alias("t")).select("t.trie", "t.key", F.expr("shiftrightunsigned(t.key, 64 - t.width)").alias("block"), F.expr(f"cast(shiftrightunsigned(t.key, {64 - SPLIT_BITS} - t.width) & {2**SPLIT_BITS - 1} as int)").alias("sub"))
-    # At most (radius + 1) * 2**13 blocks exist for radius 4, whatever the input.
-    large = rows.groupBy("trie", "block").count().where(F.col("count") > BLOCK_ROWS).select("trie", "block", F.lit(True).alias("large"))
-    masks = [m for m in range(2**SPLIT_BITS) if m.bit_count() <= radius]
-    rows = rows.join(F.broadcast(large), ["trie", "block"], "left")
-    rows = rows.select("trie", "block", "key", "sub", F.explode(F.when(F.col("large"), F.array(*[F.lit(m) for m in masks])).otherwise(F.array(F.lit(-1)))).alias("mask"))
-    other = F.col("sub").bitwiseXOR(F.col("mask"))
-    rows = rows.select("trie", "block", "key", F.when(F.col("mask") < 0, -1).otherwise(F.least("sub", other)).alias("low"), F.when(F.col("mask") < 0, -1).otherwise(F.greatest("sub", other)).alias("high"), (F.col("sub") > other).cast("int").alias("side"), "mask").select("trie", "block", "low", "high", F.when(F.col("mask") < 0, 0).otherwise(F.col("side")).alias("side"), "key")
-    n = task_count(fps, fps.count() * (radius + 1), TASK_ROWS)
-    names = ["trie", "block", "low", "high", "side"]
+    rows = written(tries(fps, radius).select("mask", "shared", "fp"))
+    n = task_count(fps, rows.count(), TASK_ROWS)
 
     def join(batches):
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        trie, block, low, high, side, key = (np.concatenate(c) for c in zip(*got, strict=True))
-        key = key.view(np.uint64)
-        group = mix_groups(trie, block, low, high)
-        order = np.lexsort((key, side, group))
-        key, group, side, trie = key[order], group[order], side[order].astype(np.int64), trie[order]
-        turn = np.array(shift, np.uint64)[trie]
-        fp = np.where(turn == 0, key, (key >> turn) | (key << ((np.uint64(64) - turn) % np.uint64(64)))).view(np.int64)
+        mask, shared, fp = (np.concatenate(c) for c in zip(*got, strict=True))
+        group = mix_groups(mask, shared)
+        order = np.lexsort((fp.view(np.uint64), group))
+        fp, group = fp[order], group[order]
         ids, place = np.unique(fp, return_inverse=True)
         label = np.arange(len(ids))
-        for x, y in trie_links(key, group, side, radius):
+        for x, y in trie_links(fp.view(np.uint64), group, radius):
             x, y = label[place[x]], label[place[y]]
             label = roots(len(ids), x, y)[label]
         at = np.flatnonzero(label != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["u", "v"])
 
-    return rows.repartition(n, *names[:4]).mapInArrow(join, "u long, v long")
+    return rows.repartition(n, "mask", "shared").mapInArrow(join, "u long, v long")
 
 
 def mix_groups(*columns: np.ndarray) -> np.ndarray:
@@ -198,7 +239,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     prints = written(with_fingerprints(docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")), "text", width).select("doc_id", "fp"))
     ids = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots_of = components(near_links(ids.select("fp"), radius))
-    labelled = ids.join(roots_of, ids.fp == roots_of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(component, "root").select("fp", "component_id")
+    # Each side of a join is a written table, so that Spark can split a hot root's or fingerprint's rows over tasks.
+    labelled = written(ids.join(roots_of, ids.fp == roots_of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    component = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_fp = written(labelled.join(component, "root").select("fp", "component_id"))
     return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,7 +5,8 @@ The trees are trained from labelled URLs and become plain column expressions, so
 
 from __future__ import annotations
 
-import math
+import json
+import random
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 Rule = tuple[str, str, str]
 #: Labelled URLs that the trees are trained on at most.
 LABELLED = 20_000
-FEATURES = ["length", "host_length", "labels", "depth", "digit_ratio", "host_entropy", "parameters", "query_length", "hyphens", "longest_label", "suffix_rate"]
+FEATURES = ["length", "host_length", "labels", "depth", "digit_ratio", "host_entropy", "parameters", "query_length", "hyphens", "longest_label", "suffix_rate", "ending_rate"]
+#: Endings of host words whose blocked share is learned, the commonest ones; letters of an ending.
+ENDINGS, ENDING = 200, 3
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -40,8 +43,13 @@ def suffix(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
-def lexical(df: DataFrame, host: str, path: str, query: str, rates: dict[str, float], usual: float) -> DataFrame:
-    """df and its FEATURES. rates: the blocked share of each suffix in the labelled URLs; usual: of all."""
+def endings(host: Column) -> Column:
+    """The last letters of each word of a host, a word being what is between dots and hyphens."""
+    return F.transform(F.filter(F.split(host, r"[.\-]"), lambda w: w != ""), lambda w: F.right(w, F.lit(ENDING)))
+
+
+def lexical(df: DataFrame, host: str, path: str, query: str, rates: dict[str, float], ends: dict[str, float], usual: float) -> DataFrame:
+    """df and its FEATURES. rates and ends: the blocked share of each suffix and of each ending in the labelled URLs; usual: of all."""
     h, p, q = F.col(host), F.col(path), F.col(query)
     whole = F.concat(h, p, q)
     labels = F.split(h, r"\.")
@@ -49,12 +57,14 @@ def lexical(df: DataFrame, host: str, path: str, query: str, rates: dict[str, fl
     rate = F.lit(usual)
     for name, value in sorted(rates.items()):
         rate = F.when(suffix(h) == name, value).otherwise(rate)
+    known = F.create_map(*[F.lit(x) for pair in sorted(ends.items()) for x in pair]) if ends else F.create_map().cast("map<string,double>")
+    ending_rate = F.coalesce(F.array_max(F.transform(endings(h), lambda e: F.coalesce(F.try_element_at(known, e), F.lit(usual)))), F.lit(usual))
     made = {
         "length": F.length(whole), "host_length": F.length(h), "labels": F.size(labels), "depth": F.size(F.filter(F.split(p, "/"), lambda x: x != "")),
         "digit_ratio": F.length(F.regexp_replace(whole, "[^0-9]", "")) / F.greatest(F.length(whole), F.lit(1)),
         "host_entropy": F.aggregate(share, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x)).otherwise(0.0)),
         "parameters": F.when(F.startswith(q, F.lit("?")), F.size(F.split(F.substring_index(q, "#", 1), "&"))).otherwise(0), "query_length": F.length(q),
-        "hyphens": F.length(h) - F.length(F.replace(h, F.lit("-"), F.lit(""))), "longest_label": F.array_max(F.transform(labels, F.length)), "suffix_rate": rate,
+        "hyphens": F.length(h) - F.length(F.replace(h, F.lit("-"), F.lit(""))), "longest_label": F.array_max(F.transform(labels, F.length)), "suffix_rate": rate, "ending_rate": ending_rate,
     }
     return df.withColumns({f"__{n}": c.cast("double") for n, c in made.items()})
 
@@ -68,47 +78,96 @@ def tree(node, names: list[str]) -> Column:
 
 
 class UrlFilter:
-    """Boosted trees; `score` of a URL is above 0 if it is to be blocked."""
+    """Boosted trees; `score` of a URL is above 0 if it is to be blocked. `model` is what they were compiled from, None without trees."""
 
-    def __init__(self, trees: list[Column], weights: list[float], rates: dict[str, float], usual: float):
-        self.trees, self.weights, self.rates, self.usual = trees, weights, rates, usual
+    def __init__(self, trees: list[Column], weights: list[float], rates: dict[str, float], ends: dict[str, float], usual: float, constant: float = 0.0, model=None):
+        self.trees, self.weights, self.rates, self.ends, self.usual, self.constant, self.model = trees, weights, rates, ends, usual, constant, model
 
     @classmethod
-    def fit(cls, labelled: DataFrame, trees: int = 8, depth: int = 4) -> UrlFilter:
-        """labelled: url, blocked (0 or 1); at most LABELLED rows are used, those whose URLs hash lowest. Nulls in blocked are skipped."""
+    def fit(cls, labelled: DataFrame, trees: int = 20, depth: int = 5) -> UrlFilter:
+        """labelled: url, blocked (0 or 1); at most LABELLED rows are used, those whose URLs hash lowest. Nulls in blocked are skipped.
+
+        With one class alone there are no trees: all URLs are judged as that class. Without rows none is blocked.
+        """
         host, path, query = parts(F.col("url"))
         rows = labelled.select("url", F.col("blocked").cast("double").alias("label")).where("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(LABELLED)
         rows = rows.select("label", host.alias("h"), path.alias("p"), query.alias("q"))
-        stats = rows.groupBy(suffix(F.col("h")).alias("s")).agg(F.sum("label").alias("b"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(100).collect()
-        blocked, n = sum(r["b"] for r in stats), sum(r["n"] for r in stats)
+        n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+        if not 0 < blocked < n:
+            return cls([], [], {}, {}, 0.5, 1.0 if blocked else -1.0)
         usual = (blocked + 1) / (n + 2)
-        rates = {r["s"]: (r["b"] + 10 * usual) / (r["n"] + 10) for r in stats}
+
+        def shares(names: Column, most: int) -> dict[str, float]:
+            each = rows.select("label", F.explode(F.array_distinct(names)).alias("s")).groupBy("s").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+            return {r["s"]: (r["b"] + 10 * usual) / (r["n"] + 10) for r in each.orderBy(F.desc("n"), "s").limit(most).collect()}
+
+        rates, ends = shares(F.array(suffix(F.col("h"))), 100), shares(endings(F.col("h")), ENDINGS)
         names = [f"__{x}" for x in FEATURES]
-        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(lexical(rows, "h", "p", "q", rates, usual)).select("label", "features")
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(lexical(rows, "h", "p", "q", rates, ends, usual)).select("label", "features")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(vectors.coalesce(1))
-        return cls([tree(t._java_obj.rootNode(), names) for t in model.trees], list(model.treeWeights), rates, usual)
+        return cls([tree(t._java_obj.rootNode(), names) for t in model.trees], list(model.treeWeights), rates, ends, usual, 0.0, model)
 
     def score(self) -> Column:
-        return sum((t * w for t, w in zip(self.trees, self.weights, strict=True)), F.lit(0.0))
-
-
-def seed_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """(url, blocked): n labelled URLs, made by rule. Half are of the kinds that block lists hold (hyphenated bait names,
-    random or numeric hosts, long tracking queries, text that is no URL), half of the kinds that readers visit."""
-    bait = F.array(*map(F.lit, "free cheap win best casino bets pills loans adult spam ads track click deal prize hot sex vip poker credit".split()))
-    plain = F.array(*map(F.lit, "news city garden river school music travel museum science weather library forum market health sports kitchen history nature cinema letters".split()))
-    sub, end, lang = (F.array(*map(F.lit, x)) for x in (["", "", "www.", "m.", "blog."], ["com", "net", "org", "example.com", "example.net", "example.org"], ["en", "de", "fr", "es"]))
-    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_000)).cast("int")
-    pick = lambda a, k: F.element_at(a, (draw(k) % F.size(a) + 1).cast("int"))
-    word = lambda a, k: F.concat(pick(a, k), F.when(draw(k + 50) % 3 == 0, pick(plain, k + 60)).otherwise(F.lit("")))
-    hex_name = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 14)
-    page = F.concat(F.lit("/"), pick(lang, 3), F.lit("/"), draw(4) % 1000, pick(F.array(*map(F.lit, ["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"])), 5))
-    tracking = F.concat(F.lit("/c?"), F.array_join(F.transform(F.sequence(F.lit(1), 4 + draw(6) % 6), lambda i: F.concat(F.lit("k"), i, F.lit("="), draw(7) * i)), "&"))
-    good_host = F.concat(pick(sub, 8), word(plain, 9), F.when(draw(10) % 40 == 0, F.concat(F.lit("-"), pick(plain, 11))).otherwise(F.lit("")), F.lit("."), pick(end, 12))
-    kind = draw(13) % 10
-    bad_host = F.when(kind < 6, F.concat(pick(sub, 8), pick(bait, 14), F.lit("-"), pick(F.concat(bait, plain, F.array(F.lit("x"), F.lit("farm"))), 15), F.lit("."), pick(end, 12))).when(kind == 6, F.concat(hex_name, F.lit("."), pick(end, 12))).when(kind == 7, F.concat(draw(16) % 255, F.lit("."), draw(17) % 255, F.lit("."), draw(18) % 255, F.lit("."), draw(19) % 255)).otherwise(good_host)
-    bad = F.when(kind == 9, F.concat(pick(plain, 9), F.lit(" "), pick(bait, 14))).otherwise(F.concat(F.lit("http://"), bad_host, F.when((kind == 8) | (draw(20) % 4 == 0), tracking).otherwise(page)))
-    return spark.range(n).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://"), good_host, page)).otherwise(bad).alias("url"), (F.col("id") % 2).alias("blocked"))
+        return sum((t * w for t, w in zip(self.trees, self.weights, strict=True)), F.lit(self.constant))
+
+
+def made_urls(n: int, seed: int) -> list[tuple[str, int]]:
+    """(url, blocked) of n URLs made by rule, half of them blocked; two in a hundred labels are turned round.
+
+    Blocked ones have bait words, random or numeric hosts, long chains of labels, many parameters, or are no URLs; no one trait
+    parts the classes: bait words stand together with and without a hyphen, and a third of the other hosts have one.
+    """
+    r = random.Random(seed)
+    syllables = "ar be con da el fi gra ho in jo ka lu ma ne or pa qui ra so ti ul ve wa th st sh er an on re ed nd ha".split()
+    plain = "news city garden river school music travel museum science weather library forum market health sports kitchen history nature cinema letters union times village harbour college".split()
+    bait = "free cheap win best casino bets pills loans adult spam ads track click deal prize hot sex vip poker credit bonus viagra slots jackpot x farm".split()
+    languages = ["en", "de", "fr", "es", "it"]
+
+    def word():
+        return r.choice(plain) if r.random() < 0.45 else "".join(r.choices(syllables, k=r.randint(2, 4)))
+
+    def slug():
+        return "-".join(word() for _ in range(r.randint(2, 6)))
+
+    def good_host():
+        name = word() + ("" if r.random() < 0.5 else r.choice(["-", "", "-"]) + word())
+        name += str(r.randint(1, 99)) if r.random() < 0.06 else ""
+        return r.choice(["", "", "www.", "m.", "blog."]) + name + "." + r.choices(["com", "org", "net", "info", "example.com", "example.net", "example.org"], [30, 18, 18, 4, 10, 10, 10])[0]
+
+    def path():
+        return r.choice([f"/{r.choice(languages)}/{r.randint(1, 9999)}", f"/{r.choice(languages)}/{r.randint(1, 9999)}", f"/{r.randint(1999, 2025)}/{r.randint(1, 12)}/{slug()}", f"/{word()}/{slug()}", "/", ""]) + r.choice(["", "", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed", f"?q={word()}"])
+
+    def bad_host(kind):
+        end = "." + r.choices(["com", "net", "org", "info", "xyz", "top", "example.com", "example.net", "example.org"], [26, 12, 6, 10, 8, 8, 10, 10, 10])[0]
+        if kind == "bait":
+            return r.choice(["", "", "www.", "m.", "blog."]) + r.choice(bait) + r.choice(["-", "-", "", str(r.randint(1, 999))]) + r.choice([r.choice(bait), r.choice(bait), word()]) + end
+        if kind == "random":
+            return "".join(r.choices("bcdfghjklmnpqrstvwxz0123456789aeiou", k=r.randint(10, 20))) + end
+        if kind == "numeric":
+            return ".".join(str(r.randint(1, 254)) for _ in range(4))
+        return ".".join(r.choice(["login", "secure", "account", "verify", "update", word(), "pay"]) + (r.choice(["-", ""]) + word() if r.random() < 0.5 else "") for _ in range(r.randint(3, 5))) + end
+
+    out = []
+    for i in range(n):
+        if i % 2 == 0:
+            url = f"{r.choice(['http', 'https'])}://{good_host()}{path()}"
+        else:
+            kind = r.choices(["bait", "random", "numeric", "chain", "parameters", "none"], [45, 14, 8, 12, 13, 8])[0]
+            if kind == "none":
+                url = f"{word()} {r.choice(bait)}"
+            else:
+                tail = path()
+                if kind == "parameters":
+                    tail = f"/{r.choice(['c', 'go', 'out', word()])}?" + "&".join(f"{r.choice('abcdefgkuvz')}{j}={r.randint(1, 10**6)}" for j in range(r.randint(4, 14)))
+                url = f"{r.choice(['http', 'https'])}://{good_host() if kind == 'parameters' else bad_host(kind)}{tail}"
+        out.append((url, (i % 2) ^ (r.random() < 0.02)))
+    return out
+
+
+def seed_urls(spark: SparkSession, n: int = 6000, seed: int = 3) -> DataFrame:
+    """made_urls as a table of url and blocked."""
+    rows = json.dumps([{"url": u, "blocked": int(b)} for u, b in made_urls(n, seed)])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<url string, blocked int>>")))
 
 
 def judge(pages: DataFrame, model: UrlFilter, rules: list[Rule], ident: str = "page_id", url: str = "url") -> DataFrame:
@@ -120,10 +179,5 @@ def judge(pages: DataFrame, model: UrlFilter, rules: list[Rule], ident: str = "p
     host, path, query = parts(F.col("url"))
     rows = pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url")).select("page_id", host.alias("host"), path.alias("path"), query.alias("query"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    scored = lexical(rows, "host", "path", "query", model.rates, model.usual).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("says"), model.score().alias("score"))
+    scored = lexical(rows, "host", "path", "query", model.rates, model.ends, model.usual).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("says"), model.score().alias("score"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("says", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
-
-
-def entropy(text: str) -> float:
-    """Shannon's entropy of a text's characters, in bits; what `host_entropy` gives."""
-    return -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
