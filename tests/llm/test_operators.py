@@ -423,8 +423,41 @@ def test_decontamination(spark, docs, odd, none):
         assert collections.Counter(map(tuple, got.collect())) == want
     assert decontaminate.contamination(none, small).count() == 0
     assert decontaminate.contamination(odd, small.limit(0)).where("contaminated").count() == 0
-    near = decontaminate.proximity(spark.createDataFrame([(1, "a b c a")], "key int, text string"), "a", "c", 2).orderBy("start").collect()
-    assert [tuple(r) for r in near] == [(1, 0, 2), (1, 2, 3)]
+def test_decontamination_beyond_the_broadcast_size(spark, docs, monkeypatch):
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    want = collections.Counter(map(tuple, decontaminate.contamination(docs, benchmark).select(columns).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    assert collections.Counter(map(tuple, decontaminate.contamination(docs, benchmark).select(columns).collect())) == want
+
+
+def test_proximity(spark, docs, monkeypatch):
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").limit(40).collect()] + [(10**6, "a b c a d"), (10**6 + 1, None), (10**6 + 2, "")]
+    tokens = {i: WORD.findall((t or "").translate(LOWER)) for i, t in texts}
+    common = [w for w, _ in collections.Counter(w for t in tokens.values() for w in t).most_common(40)]
+    items = [(1, "a c"), (2, "a"), (3, "a nowhere"), (4, " ".join(common[:3])), (5, f"{common[5]} {common[30]}"), (6, " ".join(common[10:14]))]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    for broadcast in (200_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+        terms = decontaminate.vocabulary(items)
+        index = decontaminate.build_index(spark.createDataFrame(texts, "key long, text string"), terms)
+        patterns = items.select(items.item_id.alias("pattern"), decontaminate.F.explode(decontaminate.words(items.text)).alias("word")).join(terms, "word")
+        for distance in (1, 2, 7):
+            want = collections.Counter()
+            for item, text in items.collect():
+                each = set(WORD.findall(text))
+                n = {w: sum(t.count(w) for t in tokens.values()) for w in each}
+                if not min(n.values()):
+                    continue
+                number = {r["word"]: r["term"] for r in terms.collect()}
+                anchor = min(each, key=lambda w: (n[w], number[w]))
+                for key, t in tokens.items():
+                    for at in [k for k, w in enumerate(t) if w == anchor]:
+                        near = [min(((abs(k - at), k) for k, w in enumerate(t) if w == o and abs(k - at) <= distance), default=None) for o in each - {anchor}]
+                        if None not in near:
+                            places = [at, *(k for _, k in near)]
+                            want[key, item, at, min(places), max(places)] += 1
+            assert collections.Counter(map(tuple, decontaminate.proximity(index, patterns, distance).collect())) == want
 
 
 def test_lm_scores(docs, odd, none):
