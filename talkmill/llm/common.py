@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -191,6 +192,16 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[at], np.diff(at, append=len(keys)) if counts is None else np.add.reduceat(counts.astype(np.int64), at)
 
 
+def given_back(batches):
+    """batches; when they end, memory that this worker has freed goes back to the system, as the next task's worker may be another."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not in this C library
+        pass
+
+
 def with_columns(df: DataFrame, source: str, fields: list[tuple[str, pa.DataType, T.DataType]], make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """df and further columns, made from column source batch by batch in Arrow; columns of df with those names give way.
 
@@ -203,7 +214,7 @@ def with_columns(df: DataFrame, source: str, fields: list[tuple[str, pa.DataType
 
     def run(batches):
         f = make()
-        for batch in batches:
+        for batch in given_back(batches):
             new = f(batch.column(batch.schema.get_field_index(source)))
             old = [i for i in range(batch.num_columns) if not (clash and batch.schema.field(i).name == source)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in old], *new], schema=pa.schema([*[batch.schema.field(i) for i in old], *kinds]))

@@ -30,7 +30,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more bytes are cut; what is still longer than LONGEST is solved by itself.
 LONG, LONGEST = 48, 1024
 #: Words that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _words = re.compile(rb" *[^ ]+| +$")
 
