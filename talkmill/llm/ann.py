@@ -1,51 +1,60 @@
 """Approximate nearest neighbours by inner product: a graph built by NN-descent, and greedy search on it.
 
 Equal vectors are one node, so a group of copies can't fill its own neighbour lists; its rows come back at the end. The first
-graph links each node with the nearest of the cells around it. A round of NN-descent joins each node's list with the lists
-that hold it (at most as many, drawn by hash) to the vectors, compares these neighbours with one another, and gives each the
-better ones. A search begins at the query's own node and expands the best unexpanded nodes of its beam, round after round.
+graph compares neighbours in several orders of the nodes, each by the signs of random projections; there are as many runs as the
+nodes fill, whatever their number. A round of NN-descent joins each node's list with the lists that hold it, compares neighbours
+that haven't met (one of them new in a list), and gives each the better ones; rounds end when few entries change. A search
+expands the best unexpanded nodes of a query's beam until none is left.
+
+Joins carry ids. Nodes that are next to each other in the first order share a block, and a block's task gets each vector that
+its lists name once, in half precision with a scale. Final scores are in double precision, from the vectors as given.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from talkmill.llm.common import task_count, written
-
-#: Neighbours of a node in the graph; as many lists at most that hold it take part in a round.
-DEGREE = 40
-#: Cells that the first graph is made in, at most; cells a node is put in; rows that are compared in one block.
-CELLS, IN_CELLS, CELL_ROWS = 2048, 3, 1024
-#: Rounds of NN-descent; nodes in a query's beam; nodes expanded in a round, and rounds, of a search.
-DESCENTS, BEAM, EXPANDED, SEARCHES = 2, 64, 12, 4
-#: Rows of a task.
-TASK_ROWS = 60_000
+from talkmill.llm.common import discard, given_back, task_count, written
 
-
-def usable(rows: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(vec_id, v): finite vectors that aren't zero, as doubles, of the length most vectors have (of equal ones the smaller)."""
-    some = rows.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    some = some.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    size = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return some.where(F.size("v") == (size["n"] if size else 0))
+#: Neighbours of a node in the graph; new entries of a list, and lists that hold a node, that take part in a round.
+DEGREE, SAMPLED = 40, 20
+#: Orders of the first graph, signs in an order, nodes that are compared in one run, nodes of a block.
+ORDERS, SIGNS, RUN, BLOCK = 4, 48, 512, 256
+#: NN-descent ends when a smaller share of the list entries is new.
+STILL = 0.005
+#: Nodes in a query's beam; nodes of it that a round expands.
+BEAM, EXPANDED = 64, 12
+#: Rows of a task; vectors that the projections' origin is the mean of; queries that meet all nodes in one pass.
+TASK_ROWS, ORIGIN, PASS = 100_000, 1000, 4096
 
 
 def gathered(batches) -> list[np.ndarray]:
-    """A partition's columns; binary columns as matrices of float64."""
-    got = [b for b in batches if b.num_rows]
+    """The columns of all rows of a task; binary ones as lists."""
+    got = [b for b in given_back(batches) if b.num_rows]
     if not got:
         return []
-    out = []
-    for c in pa.Table.from_batches(got).columns:
-        if pa.types.is_binary(c.type):
-            out.append(np.frombuffer(b"".join(c.to_pylist()), np.float64).reshape(len(c), -1))
-        else:
-            out.append(c.to_numpy())
-    return out
+    return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in pa.Table.from_batches(got).columns]
+
+
+def coarse(matrix: np.ndarray) -> list[bytes]:
+    """Each row as a double, its largest component, and halves: the row over that."""
+    scale = np.abs(matrix).max(1)
+    return [s.tobytes() + r.tobytes() for s, r in zip(scale, (matrix / scale[:, None]).astype(np.float16), strict=True)]
+
+
+def fine(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows over their scale, scale of each) of coarse vectors."""
+    flat = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    return flat[:, 8:].copy().view(np.float16).astype(np.float32), flat[:, :8].copy().view(np.float64).ravel()
+
+
+def doubles(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
 
 
 def groups_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,190 +64,306 @@ def groups_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
 
 
-def best_of(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
-    """Places of each a's k largest sims among distinct b; ties to the smaller b."""
-    order = np.lexsort((b, -sim, a))
-    _, first = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) < 2 else (None, None)
-    if first is None:
-        pair = np.lexsort((b, a))
-        keep = np.ones(len(a), bool)
-        keep[pair[1:]] = (a[pair[1:]] != a[pair[:-1]]) | (b[pair[1:]] != b[pair[:-1]])
-        order = order[keep[order]]
-    start = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1])))
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
-    return order[rank < k]
+def best_of(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int, later: np.ndarray | None = None) -> np.ndarray:
+    """Places of each a's k largest sims among distinct b; ties to the smaller b. Of rows of one (a, b) that with the least later."""
+    pair = np.lexsort((sim if later is None else later, b, a))
+    keep = pair[np.concatenate(([True], (a[pair][1:] != a[pair][:-1]) | (b[pair][1:] != b[pair][:-1])))] if len(a) else pair
+    order = keep[np.lexsort((b[keep], -sim[keep], a[keep]))]
+    start = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1]))) if len(order) else order
+    return order[np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order))) < k]
+
 
+def batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
-def pairs_batch(a, b, sim) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], names=["a", "b", "sim"])
 
+#: An entry b of node a's list, with their blocks; new until it has taken part in a round; added by the last one.
+ENTRY = "a long, b long, block_a long, block_b long, sim double, new boolean, added boolean"
 
-PAIR = "a long, b long, sim double"
 
+def placed(nodes: DataFrame, n: int, tasks: int) -> DataFrame:
+    """nodes (node, v), written, with block, c (coarse) and order_0, order_1 and so on: signs of random projections as one number."""
+    some = doubles([r["v"] for r in nodes.orderBy(F.xxhash64("node")).select("v").limit(ORIGIN).collect()])
+    scaled = some / np.abs(some).max(1)[:, None]
+    origin, dim = scaled.mean(0), scaled.shape[1]
+    directions = np.random.default_rng(dim).normal(size=(dim, ORDERS * SIGNS)).astype(np.float32)
+    held = nodes.sparkSession.sparkContext.broadcast((origin.astype(np.float32), directions))
+    names = [f"order_{i}" for i in range(ORDERS)]
 
-def merged(pairs: DataFrame, tasks: int, k: int) -> DataFrame:
-    """(a, b, sim): the k best of each a, among distinct b."""
+    def project(batches):
+        origin, directions = held.value
+        for rows in given_back(batches):
+            if rows.num_rows:
+                matrix = doubles(rows.column(1).to_pylist())
+                packed = coarse(matrix)
+                signs = ((fine(packed)[0] - origin) @ directions > 0).reshape(len(matrix), ORDERS, SIGNS)
+                codes = (signs * (1 << np.arange(SIGNS)[::-1])).sum(2)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(packed, pa.binary()), *(pa.array(codes[:, i]) for i in range(ORDERS))], names=["node", "v", "c", *names])
+
+    def number(batches):
+        first, at = TaskContext.get().partitionId() << 32, 0
+        for rows in given_back(batches):
+            blocks = first + (at + np.arange(rows.num_rows)) // BLOCK
+            at += rows.num_rows
+            yield rows.append_column("block", pa.array(blocks))
+
+    codes = ", ".join(f"{x} long" for x in names)
+    ordered = nodes.select("node", "v").mapInArrow(project, f"node long, v binary, c binary, {codes}").repartitionByRange(max(1, min(tasks, n // BLOCK)), names[0], "node").sortWithinPartitions(names[0], "node")
+    return written(ordered.mapInArrow(number, f"node long, v binary, c binary, {codes}, block long"))
+
+
+def merged(entries: DataFrame, tasks: int, k: int) -> DataFrame:
+    """The k best entries of each list, written; an entry that was in the list stays as it was."""
 
     def merge(batches):
         if got := gathered(batches):
-            keep = best_of(*got, k)
-            yield pairs_batch(*(c[keep] for c in got))
-
-    return written(pairs.repartition(tasks, "a").mapInArrow(merge, PAIR))
-
-
-def among(matrix: np.ndarray, node: np.ndarray, k: int, floor: np.ndarray | None = None):
-    """Each row's k best other rows, those above the row's floor: (a, b, sim)."""
-    n = len(node)
-    sim = matrix @ matrix.T
-    np.fill_diagonal(sim, -np.inf)
-    k = min(k, n - 1)
-    if k < 1:
-        return None
-    top = np.argpartition(sim, n - k, axis=1)[:, n - k :] if k < n - 1 else np.argsort(sim, axis=1)[:, 1:]
-    value = np.take_along_axis(sim, top, 1)
-    good = np.isfinite(value) if floor is None else value > floor[:, None]
-    row, col = np.nonzero(good)
-    return node[row], node[top[row, col]], value[row, col]
-
-
-def first_graph(nodes: DataFrame, n: int, tasks: int, k: int) -> DataFrame:
-    """The k nearest of each node in the cells around it. nodes: node, v (binary)."""
-    centres = np.stack([np.frombuffer(r["v"], np.float64) for r in nodes.orderBy(F.xxhash64("node")).select("v").limit(max(1, min(CELLS, n * IN_CELLS // CELL_ROWS * 2))).collect()])
-    held = nodes.sparkSession.sparkContext.broadcast(centres)
-
-    def assign(batches):
-        centres = held.value
-        half = (centres**2).sum(1) / 2
-        for batch in batches:
-            if batch.num_rows:
-                matrix = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-                m = min(IN_CELLS, len(centres))
-                top = np.argpartition(half - matrix @ centres.T, m - 1, axis=1)[:, :m]
-                row = np.repeat(np.arange(batch.num_rows), m)
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["cell", "node", "v"])
-
-    celled = nodes.select("node", "v").mapInArrow(assign, "cell long, node long, v binary")
-    size = celled.groupBy("cell").count()  # at most CELLS rows
-    blocked = celled.join(F.broadcast(size), "cell").select("cell", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("count") / (2 * CELL_ROWS))).alias("block"), "node", "v")
+            a, b, block_a, block_b, sim, new, added = got
+            keep = best_of(a, b, sim, k, added.astype(np.int8))
+            yield batch(a=a[keep], b=b[keep], block_a=block_a[keep], block_b=block_b[keep], sim=sim[keep], new=new[keep].astype(bool), added=added[keep].astype(bool))
+
+    return written(entries.repartition(tasks, "a").mapInArrow(merge, ENTRY))
+
+
+def entries(a, b, block_a, block_b, sim) -> pa.RecordBatch:
+    return batch(a=a, b=b, block_a=block_a, block_b=block_b, sim=sim, new=np.ones(len(a), bool), added=np.ones(len(a), bool))
+
+
+def first_graph(nodes: DataFrame, tasks: int, k: int) -> DataFrame:
+    """The k best of each node among those in a run with it, in any of the orders."""
+    each = nodes.select(F.posexplode(F.array(*[f"order_{i}" for i in range(ORDERS)])).alias("turn", "code"), "node", "block", "c")
 
     def compare(batches):
-        if got := gathered(batches):
-            cell, block, node, matrix = got
-            order, edge = groups_of(cell * (1 << 32) + block)
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                found = among(matrix[order[i:j]], node[order[i:j]], k)
-                if found:
-                    yield pairs_batch(*found)
+        if not (got := gathered(batches)):
+            return
+        turn, code, node, block, packed = got
+        rows, scale = fine(packed)
+        order = np.lexsort((node, code, turn))
+        for at in range(0, len(order), RUN):
+            some = order[at : at + RUN]
+            sim = (rows[some] @ rows[some].T).astype(np.float64) * scale[some][:, None] * scale[some]
+            sim[node[some][:, None] == node[some]] = -np.inf  # itself, and itself where one order ends and the next begins
+            top = np.argpartition(sim, max(0, len(some) - k), axis=1)[:, max(0, len(some) - k) :]
+            row, col = np.nonzero(np.isfinite(np.take_along_axis(sim, top, 1)))
+            a, b = some[row], some[top[row, col]]
+            yield entries(node[a], node[b], block[a], block[b], sim[row, top[row, col]])
 
-    return merged(blocked.repartition(tasks, "cell", "block").mapInArrow(compare, PAIR), tasks, k)
+    return merged(each.repartitionByRange(tasks, "turn", "code").mapInArrow(compare, ENTRY), tasks, k)
 
 
-def drawn(graph: DataFrame, k: int) -> DataFrame:
-    """(a, b): at most k lists a that hold b, by hash."""
-    order = W.partitionBy("b").orderBy(F.xxhash64("a", "b"))
-    return graph.select(F.col("b").alias("a"), F.col("a").alias("b"), F.row_number().over(order).alias("r")).where(F.col("r") <= k).select("a", "b")
+def sampled(graph: DataFrame, by: str) -> DataFrame:
+    """graph with r: an entry's place among those of one by and one newness, by hash."""
+    return graph.withColumn("r", F.row_number().over(W.partitionBy(by, "new").orderBy(F.xxhash64("a", "b"))))
 
 
 def descend(graph: DataFrame, nodes: DataFrame, tasks: int, k: int) -> DataFrame:
     """One round of NN-descent."""
-    lists = graph.select("a", "b").union(drawn(graph, k)).distinct()
-    worst = graph.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).alias("low"))
-    known = nodes.select("node", "v").join(worst, "node", "left").select(F.col("node").alias("b"), F.coalesce("low", F.lit(float("-inf"))).alias("low"), "v")
+    ranked = written(sampled(graph, "a"))
+    used = ranked.where(~F.col("new") | (F.col("r") <= SAMPLED)).drop("r")
+    back = sampled(used, "b").where(F.col("r") <= SAMPLED)
+    lists = written(used.select(F.col("block_a").alias("block"), F.col("a").alias("hub"), F.col("b").alias("node"), "new").unionAll(back.select(F.col("block_b").alias("block"), F.col("b").alias("hub"), F.col("a").alias("node"), "new")))
+    low = graph.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"), "low")
+    known = nodes.select("node", F.col("block").alias("own"), "c").join(low, "node", "left").select("node", "own", F.coalesce("low", F.lit(float("-inf"))).alias("low"), "c")
+    zero = F.lit(0).cast("long")
+    vectors = lists.select("block", "node").distinct().join(known, "node").select("block", zero.alias("hub"), "node", F.lit(False).alias("new"), "own", "low", "c", F.lit(True).alias("vector"))
+    rows = lists.select("block", "hub", "node", "new", zero.alias("own"), F.lit(0.0).alias("low"), F.lit(None).cast("binary").alias("c"), F.lit(False).alias("vector")).unionAll(vectors)
 
     def compare(batches):
-        if got := gathered(batches):
-            hub, member, low, matrix = got
-            order, edge = groups_of(hub)
-            found = [x for i, j in zip(edge[:-1], edge[1:], strict=True) if (x := among(matrix[order[i:j]], member[order[i:j]], k, low[order[i:j]]))]
+        if not (got := gathered(batches)):
+            return
+        block, hub, node, new, own, low, packed, is_vector = got
+        order, edge = groups_of(block)
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            some = order[i:j]
+            vector = is_vector[some].astype(bool)
+            held = some[vector][np.argsort(node[some[vector]])]
+            ids, floor, home = node[held], low[held], own[held]
+            matrix, scale = fine([packed[x] for x in held])
+            listed = some[~vector]
+            place = np.searchsorted(ids, node[listed])
+            by, cut = groups_of(hub[listed])
+            found = []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                at, fresh = place[by[x:y]], new[listed[by[x:y]]].astype(bool)
+                ours = np.unique(at[fresh])
+                if not len(ours):
+                    continue
+                all_ = np.unique(at)
+                sim = (matrix[ours] @ matrix[all_].T).astype(np.float64) * scale[ours][:, None] * scale[all_]
+                row, col = np.nonzero((sim > np.minimum(floor[ours][:, None], floor[all_])) & (ours[:, None] != all_))
+                u, v, s = ours[row], all_[col], sim[row, col]
+                for p, q in ((u, v), (v, u)):
+                    better = s > floor[p]
+                    found.append((p[better], q[better], s[better]))
             if found:
-                a, b, sim = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = best_of(a, b, sim, k)
-                yield pairs_batch(a[keep], b[keep], sim[keep])
+                u, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                keep = best_of(u, v, s, k)
+                u, v, s = u[keep], v[keep], s[keep]
+                yield entries(ids[u], ids[v], home[u], home[v], s)
+
+    met = rows.repartition(tasks, "block").mapInArrow(compare, ENTRY)
+    old = ranked.select("a", "b", "block_a", "block_b", "sim", (F.col("new") & (F.col("r") > SAMPLED)).alias("new"), F.lit(False).alias("added"))
+    out = merged(old.unionAll(met), tasks, k)
+    discard(ranked, lists)
+    return out
+
+
+def build(nodes: DataFrame, n: int, tasks: int, k: int = DEGREE) -> DataFrame:
+    """The graph: rounds of NN-descent until fewer than STILL of the entries are new. Each entry of a list only gets better, so they end."""
+    graph = first_graph(nodes, tasks, k)
+    while True:
+        better = descend(graph, nodes, tasks, k)
+        discard(graph)
+        graph = better
+        if graph.where("added").count() <= STILL * n * k:
+            return graph
+
+
+#: A pair of nodes to be weighed (sim is NaN where it isn't known), or the vector of node a where v is there.
+PAIR = ["block", "a", "b", "sim", "fresh", "v"]
+
+
+def with_vectors(pairs: DataFrame, nodes: DataFrame, vector: str) -> DataFrame:
+    """pairs (PAIR without v), and the vector of each node of a block's pairs, once."""
+    named = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    vectors = named.join(nodes.select("node", F.col(vector).alias("v")), "node").select("block", F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("sim"), F.lit(False).alias("fresh"), "v")
+    return pairs.withColumn("v", F.lit(None).cast("binary")).select(PAIR).unionAll(vectors)
 
-    met = lists.join(known, "b").select("a", "b", "low", "v").repartition(tasks, "a")
-    return merged(graph.union(met.mapInArrow(compare, PAIR)), tasks, k)
 
+def by_block(batches):
+    """(block, ids of its vectors in order, their packed vectors, its pairs: a, b, sim, fresh) of a task's PAIR rows."""
+    if not (got := gathered(batches)):
+        return
+    block, a, b, sim, fresh, packed = got
+    is_vector = np.array([x is not None for x in packed])
+    order, edge = groups_of(block)
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        some = order[i:j]
+        held, rows = some[is_vector[some]], some[~is_vector[some]]
+        held = held[np.argsort(a[held])]
+        yield block[some[0]], a[held], [packed[x] for x in held], (a[rows], b[rows], sim[rows].copy(), fresh[rows].astype(bool))
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, tasks: int, beam: int = BEAM) -> DataFrame:
-    """(a, b, sim): for each query node a, itself and the beam that greedy search ends with. queries: node."""
-    links = written(graph.select("a", "b").union(drawn(graph, DEGREE // 2)).distinct())
-    vectors = nodes.select(F.col("node").alias("b"), "v")
-    asked = nodes.join(queries, "node", "left_semi").select(F.col("node").alias("a"), F.col("v").alias("q"))
-    own = nodes.join(queries, "node", "left_semi").select(F.col("node").alias("a"), F.col("node").alias("b"), "v")
-    schema = PAIR + ", fresh boolean, moved boolean"
+
+def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, tasks: int) -> DataFrame:
+    """(a, b, sim), written: for each node a of asked, itself and the beam that greedy search ends with; sim in double precision."""
+    links = written(graph.select("a", "b").union(sampled(graph, "b").where(F.col("r") <= DEGREE // 2).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    queries = nodes.select(F.col("node").alias("a"), "block").join(asked.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
+    own = queries.select("block", "a", F.col("a").alias("b"))
+    unknown = float("nan")
+    state = written(graph.select("a", "b", "sim", F.col("block_a").alias("block")).join(queries.select("a"), "a", "left_semi").select("block", "a", "b", "sim", F.lit(True).alias("fresh")))
 
     def weigh(batches):
-        """Rows of a query's old beam (v null) and of new candidates; gives the new beam."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        a, b, sim, fresh = (t.column(n).to_numpy() for n in ("a", "b", "sim", "fresh"))
-        new = np.isnan(sim)
-        sim = sim.copy()
-        if new.any():
-            q, v = (np.frombuffer(b"".join(t.column(n).filter(pa.array(new)).to_pylist()), np.float64).reshape(new.sum(), -1) for n in ("q", "v"))
-            sim[new] = np.einsum("ij,ij->i", q, v)
-        order = np.lexsort((new, b, a))  # a node of the old beam comes before itself as a candidate
-        a, b, sim, fresh, new = (x[order] for x in (a, b, sim, fresh, new))
-        keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b, sim, fresh, new = (x[keep] for x in (a, b, sim, fresh, new))
-        top = best_of(a, b, sim, beam)
-        yield pa.RecordBatch.from_arrays([pa.array(x[top]) for x in (a, b, sim, fresh.astype(bool), new)], names=["a", "b", "sim", "fresh", "moved"])
-
-    columns = ["a", "b", "sim", "fresh", "q", "v"]
-    none = F.lit(None).cast("binary")
-    start = own.select("a", "b", F.lit(float("nan")).alias("sim"), F.lit(True).alias("fresh"), F.col("v").alias("q"), "v")
-    begin = graph.join(queries, graph.a == queries.node, "left_semi").select("a", "b", "sim", F.lit(True).alias("fresh"), none.alias("q"), none.alias("v"))
-    state = written(start.unionByName(begin).select(columns).repartition(tasks, "a").mapInArrow(weigh, schema))
-    for _ in range(SEARCHES):
+        """The new beams, of old entries and new candidates."""
+        for block, ids, packed, (a, b, sim, fresh) in by_block(batches):
+            matrix, scale = fine(packed) if packed else (np.zeros((0, 1), np.float32), np.zeros(0))
+            new = np.isnan(sim)
+            x, y = np.searchsorted(ids, a[new]), np.searchsorted(ids, b[new])
+            values = [np.einsum("ij,ij->i", matrix[p], matrix[q]) * scale[p] * scale[q] for p, q in halves(x, y)]
+            sim[new] = np.concatenate(values) if values else 0.0
+            keep = best_of(a, b, sim, BEAM, new.astype(np.int8))
+            if len(keep):
+                yield batch(block=np.full(len(keep), block), a=a[keep], b=b[keep], sim=sim[keep], fresh=fresh[keep])
+
+    while True:
         rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-        chosen = written(state.where("fresh").withColumn("r", rank).where(F.col("r") <= EXPANDED).select("a", "b"))
-        more = chosen.join(links.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").select("a", F.col("to").alias("b")).distinct().join(state.select("a", "b"), ["a", "b"], "left_anti")
-        met = more.join(vectors, "b").join(asked, "a").select("a", "b", F.lit(float("nan")).alias("sim"), F.lit(True).alias("fresh"), "q", "v")
-        old = state.join(chosen.withColumn("done", F.lit(True)), ["a", "b"], "left").select("a", "b", "sim", (F.col("fresh") & F.col("done").isNull()).alias("fresh"), none.alias("q"), none.alias("v"))
-        state = written(old.unionByName(met).select(columns).repartition(tasks, "a").mapInArrow(weigh, schema))
-        if not state.where("moved").limit(1).count():
+        chosen = written(state.where("fresh").withColumn("r", rank).where(F.col("r") <= EXPANDED).select("block", "a", "b"))
+        if chosen.isEmpty():
             break
-    return state.select("a", "b", "sim")
+        more = chosen.join(links.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").where("to != a").select("block", "a", F.col("to").alias("b")).distinct()
+        more = more.join(state.select("a", "b"), ["a", "b"], "left_anti").select("block", "a", "b", F.lit(unknown).alias("sim"), F.lit(True).alias("fresh"))
+        old = state.join(chosen.select("a", "b", F.lit(True).alias("done")), ["a", "b"], "left").select("block", "a", "b", "sim", (F.col("fresh") & F.col("done").isNull()).alias("fresh"), F.lit(None).cast("binary").alias("v"))
+        rows = with_vectors(more, nodes, "c").unionAll(old)
+        state = written(rows.repartition(tasks, "block").mapInArrow(weigh, "block long, a long, b long, sim double, fresh boolean"))
+
+    def exact(batches):
+        for _, ids, packed, (a, b, _, _) in by_block(batches):
+            matrix = doubles(packed)
+            for p, q in halves(a, b):
+                yield batch(a=p, b=q, sim=np.einsum("ij,ij->i", matrix[np.searchsorted(ids, p)], matrix[np.searchsorted(ids, q)]))
+
+    pairs = state.select("block", "a", "b").unionByName(own).select("block", "a", "b", F.lit(unknown).alias("sim"), F.lit(False).alias("fresh"))
+    return written(with_vectors(pairs, nodes, "v").repartition(tasks, "block").mapInArrow(exact, "a long, b long, sim double"))
+
+
+def halves(x: np.ndarray, y: np.ndarray, size: int = 1 << 15):
+    """x and y in parts of size."""
+    return [(x[i : i + size], y[i : i + size]) for i in range(0, len(x), size)]
+
+
+def compared_with_all(nodes: DataFrame, asked: DataFrame, tasks: int, k: int) -> DataFrame:
+    """(a, b, sim) of the k best nodes b of each node a of asked, itself too, by comparing with all, PASS queries a pass."""
+    rows = written(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v"))
+    out, parts = None, -(-rows.count() // PASS)
+    for part in range(parts):  # by hash, so a pass has about PASS distinct nodes
+        got = rows.where(F.pmod(F.xxhash64("node"), parts) == part).collect()
+        if not got:
+            continue
+        held = nodes.sparkSession.sparkContext.broadcast((np.array([r["node"] for r in got]), doubles([bytes(r["v"]) for r in got])))
+
+        def compare(batches, held=held):
+            query, matrix = held.value
+            for some in given_back(batches):
+                if some.num_rows:
+                    ids, sim = some.column(0).to_numpy(), matrix @ doubles(some.column(1).to_pylist()).T
+                    top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                    yield batch(a=np.repeat(query, top.shape[1]), b=ids[top].ravel(), sim=np.take_along_axis(sim, top, 1).ravel())
+
+        found = nodes.select("node", "v").mapInArrow(compare, "a long, b long, sim double")
+        best = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k).drop("r")
+        out = best if out is None else out.unionAll(best)
+    return out
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k nearest other rows that were found.
 
-    Nearness is the inner product in double precision; ties go to the smaller id. Vectors that are null, zero, of an unusual
-    length, or hold null or non-finite components take no part, nor do rows without an id. Equal vectors are all found.
-    With k other rows or fewer in a graph's reach all are given; an empty table gives no rows. Rows that repeat an id and a
-    vector count once for each row.
+    Nearness is the inner product in double precision; ties go to the smaller id. Vectors that are null, zero, or hold null or
+    non-finite components take no part, nor do rows without an id. Vectors of unlike lengths have no inner product: each length
+    is searched by itself. Equal vectors are all found. A query gets k rows, or all others of its length if they are fewer: one that
+    the graph leaves short is compared with all. Rows that repeat an id and a vector count once for each row. An empty table
+    gives no rows.
     """
-    some = usable(rows, ident, vector)
+    some = rows.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    some = some.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
     def pack(batches):
-        for batch in batches:
-            flat = batch.column(1)
-            n = batch.num_rows
-            data = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            step = len(data) // max(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[i * step : (i + 1) * step].tobytes() for i in range(n)], pa.binary())], names=["vec_id", "v"])
+        for rows in batches:
+            if rows.num_rows:
+                at = rows.column(1).offsets.to_numpy()
+                data = rows.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zero
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([data[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["vec_id", "v"])
 
     packed = written(some.mapInArrow(pack, "vec_id long, v binary"))
-    nodes = written(packed.groupBy("v").agg(F.min("vec_id").alias("node")))
-    members = packed.join(nodes, "v").select("node", "vec_id")
-    members = written(members)
-    n = nodes.count()
-    if not n:
+    sizes = [r["n"] for r in packed.select(F.octet_length("v").alias("n")).distinct().collect()]
+    if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    each = [of_one_length(packed.where(F.octet_length("v") == n) if len(sizes) > 1 else packed, every, k) for n in sorted(sizes)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def of_one_length(packed: DataFrame, every: int, k: int) -> DataFrame:
+    """nearest, of vectors (vec_id, v) of one length, as bytes of doubles."""
+    nodes = written(packed.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))
+    members = written(packed.join(nodes, "v").select("node", "vec_id"))
+    n, total = nodes.count(), members.count()
     tasks = task_count(nodes, n * DEGREE, TASK_ROWS)
-    graph = first_graph(nodes, n, tasks, DEGREE)
-    for _ in range(DESCENTS):
-        graph = descend(graph, nodes, tasks, DEGREE)
+    nodes = placed(nodes, n, tasks)
     asked = members.where(F.col("vec_id") % every == 0)
-    found = search(graph, nodes, asked.select("node").distinct(), tasks)
+    found = search(build(nodes, n, tasks), nodes, asked, tasks)
     # A query can see k + 1 rows of a node at most: k, and itself.
-    first = members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).select(F.col("node").alias("b"), F.col("vec_id").alias("found_id"))
+    first = written(members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).select(F.col("node").alias("b"), F.col("vec_id").alias("found_id")))
     order = [F.desc("sim"), "found_id"]
-    listed = written(found.join(first, "b").withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(*order))).where(F.col("r") <= k + 1).select("a", "found_id", "sim"))
-    each = asked.withColumn("row", F.monotonically_increasing_id()).join(listed, F.col("node") == F.col("a")).where("found_id != vec_id")
+
+    def listed(found: DataFrame) -> DataFrame:
+        return written(found.join(first, "b").withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(*order))).where(F.col("r") <= k + 1).select("a", "found_id", "sim"))
+
+    lists = listed(found)
+    short = written(asked.select(F.col("node").alias("a")).distinct().join(lists.groupBy("a").count(), "a", "left").where(F.coalesce("count", F.lit(0)) < min(k + 1, total)).select(F.col("a").alias("node")))
+    if not short.isEmpty():
+        lists = lists.join(short.select(F.col("node").alias("a")), "a", "left_anti").unionAll(listed(compared_with_all(nodes, short, tasks, k + 1)))
+    # A row leaves itself out, once: of rows that repeat id and vector, the others count.
+    each = asked.withColumn("row", F.monotonically_increasing_id()).join(lists, F.col("node") == F.col("a")).where("found_id != vec_id")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select(F.col("vec_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("vec_id"), F.col("sim").alias("score"))

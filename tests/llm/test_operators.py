@@ -322,22 +322,56 @@ def test_sharding(docs, odd, none):
     assert sharding.shard(none).count() == 0
 
 
-def test_nearest(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
-    ids, m = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
-    got = QUERIES["op7_nearest_neighbours"](spark, DATA).toPandas().groupby("query_id").vec_id.apply(set)
+def recall_of(got, ids, m, every, k=20):
+    """(share of the k nearest by brute force that were found, rows of each query)."""
     hits = n = 0
-    for q in np.flatnonzero(ids % 20 == 0):
+    for q in np.flatnonzero(ids % every == 0):
         s = m @ m[q]
         s[q] = -np.inf
-        want = set(ids[np.lexsort((ids, -s))[:20]])
+        want = set(ids[np.lexsort((ids, -s))[:k]].tolist())
         hits, n = hits + len(want & got[ids[q]]), n + len(want)
-    assert hits / n >= 0.9
-    odd = [(20, [1.0, 0.0]), (40, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.5, 0.5]), (7, [1.0]), (None, [1.0, 1.0])]
+    return hits / n
+
+
+def test_nearest(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    ids, m = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
+    found = QUERIES["op7_nearest_neighbours"](spark, DATA).toPandas()
+    assert recall_of(found.groupby("query_id").vec_id.apply(set), ids, m, 20) >= 0.9
+    place = {int(i): k for k, i in enumerate(ids)}
+    assert all(math.isclose(r.score, float(m[place[r.query_id]] @ m[place[r.vec_id]]), rel_tol=1e-12, abs_tol=1e-12) for r in found.head(500).itertuples())
+    odd = [(20, [1.0, 0.0]), (40, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.5, 0.5]), (7, [1.0]), (None, [1.0, 1.0]), (60, [2.0]), (8, [])]
     df = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(20, 1, 1, 1.0), (20, 2, 40, 1.0), (20, 3, 6, 0.5), (40, 1, 1, 1.0), (40, 2, 20, 1.0), (40, 3, 6, 0.5)]
+    assert got == [(20, 1, 1, 1.0), (20, 2, 40, 1.0), (20, 3, 6, 0.5), (40, 1, 1, 1.0), (40, 2, 20, 1.0), (40, 3, 6, 0.5), (60, 1, 7, 2.0)]
     assert ann.nearest(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ann.nearest(twice).collect())) == [(20, 1, 3, 1.0), (20, 1, 3, 1.0), (20, 2, 3, 1.0), (20, 2, 3, 1.0)]
+
+
+def test_the_graph_is_searched_beyond_its_runs(spark, monkeypatch):
+    """With runs of 32 nodes the first graph is poor; descent and search find what it lacks."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(3000, 24)) @ rng.normal(size=(24, 24)) / 5 + 0.3
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "RUN", 32)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    found = ann.nearest(df).toPandas()
+    assert (found.groupby("query_id").size() == 20).all() and found.query_id.nunique() == 150
+    assert recall_of(found.groupby("query_id").vec_id.apply(set), np.arange(3000), m, 20) >= 0.9
+
+
+def test_short_queries_meet_all_nodes(spark, monkeypatch):
+    """Where the graph gives too few, queries are compared with all, pass by pass."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "DEGREE", 2)
+    monkeypatch.setattr(ann, "BEAM", 3)
+    monkeypatch.setattr(ann, "PASS", 4)
+    found = ann.nearest(df).toPandas()
+    assert (found.groupby("query_id").size() == 20).all() and recall_of(found.groupby("query_id").vec_id.apply(set), np.arange(300), m, 20) == 1
 
 
 def test_pieces(docs, odd, none):
