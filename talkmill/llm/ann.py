@@ -28,7 +28,7 @@ ORDERS, SIGNS, RUN, BLOCK = 4, 48, 512, 256
 #: NN-descent ends when a smaller share of the list entries is new.
 STILL = 0.005
 #: Nodes in a query's beam; nodes of it that a round expands.
-BEAM, EXPANDED = 64, 12
+BEAM, EXPANDED = 160, 40
 #: Rows of a task; vectors that the projections' origin is the mean of; queries that meet all nodes in one pass.
 TASK_ROWS, ORIGIN, PASS = 100_000, 1000, 4096
 
@@ -245,7 +245,7 @@ def by_block(batches):
 
 def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, tasks: int) -> DataFrame:
     """(a, b, sim), written: for each node a of asked, itself and the beam that greedy search ends with; sim in double precision."""
-    links = written(graph.select("a", "b").union(sampled(graph, "b").where(F.col("r") <= DEGREE // 2).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = written(graph.select("a", "b").union(sampled(graph, "b").where(F.col("r") <= DEGREE).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     queries = nodes.select(F.col("node").alias("a"), "block").join(asked.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
     own = queries.select("block", "a", F.col("a").alias("b"))
     unknown = float("nan")
