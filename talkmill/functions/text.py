@@ -34,8 +34,18 @@ def count_tokens(text: Column) -> Column:
     return F.size(tokens(text))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), stripped), lambda s: s != "")
+
+
+def match_key(text: Column) -> Column:
+    """What two texts that say the same have in common: letters, digits and underscores in lower case, one blank for all between."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]+", " "))
 
 
 def content_tokens(text: Column) -> Column:

@@ -87,3 +87,49 @@ def usage(events: DataFrame, group: str, segment: str, question: str, correct: C
     """(segment, n_questions, accuracy): a question counts once for each segment that it used."""
     once = events.select(F.col(segment).alias("segment"), F.col(group).alias("grp"), F.col(question).alias("question"), correct.cast("int").alias("ok")).groupBy("grp", "segment", "question").agg(F.max("ok").alias("ok"))
     return once.groupBy("grp", "segment").agg(F.count("*").alias("n_questions"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"))
+
+
+#: Call types that count as fallback, by default.
+FALLBACK = ("fallback_singleton", "fallback_tier", "terminal_recovery_singleton")
+
+
+def attempt_costs(attempts: DataFrame, fallback: tuple[str, ...] = FALLBACK, terminal: str = "terminal_recovery_singleton", repair: str = "schema_repair") -> DataFrame:
+    """A row for each tier and one for all (tier `total`): calls, attempts, tokens and costs, apart for fallback, last recovery and repair.
+
+    attempts: tier, batch_id, logical_call_index, call_type, status, cost_status, input_tokens, output_tokens, input_cost, output_cost.
+    A call is a batch and its index, however many attempts it took. Costs that are neither known nor estimated don't count;
+    tokens are those of attempts that succeeded and have input tokens. Primary cost is what is known without fallback.
+    """
+    kind, zero = F.col("call_type"), F.lit(0.0)
+    known = F.when(F.col("cost_status").isin("known", "estimated"), F.coalesce("input_cost", zero) + F.coalesce("output_cost", zero)).otherwise(zero)
+    call = F.struct("batch_id", "logical_call_index")
+    done = (F.col("status") == "succeeded") & F.col("input_tokens").isNotNull()
+    calls = lambda c: F.count_distinct(F.when(c, call))
+    cost = lambda c: F.coalesce(F.sum(F.when(c, known)), zero)
+    token = lambda c: F.coalesce(F.sum(F.when(done, F.coalesce(c, F.lit(0)))), F.lit(0)).cast("long")
+    out = attempts.rollup("tier").agg(
+        F.grouping("tier").alias("__all"), calls(F.lit(True)).alias("logical_api_calls"), F.count_if(F.col("status") == "succeeded").alias("successful_attempts"), F.count_if(F.col("status") == "failed").alias("failed_attempts"),
+        F.count_if(F.col("cost_status") == "unknown").alias("unknown_cost_attempts"), token("input_tokens").alias("input_tokens"), token("output_tokens").alias("output_tokens"), cost(F.lit(True)).alias("known_cost"),
+        calls(kind.isin(*fallback)).alias("fallback_calls"), cost(kind.isin(*fallback)).alias("fallback_cost"), calls(kind == terminal).alias("terminal_recovery_calls"), cost(kind == terminal).alias("terminal_recovery_cost"),
+        calls(kind == repair).alias("repair_calls"), cost(kind == repair).alias("schema_repair_cost"),
+    )
+    out = out.withColumn("tier", F.when(F.col("__all") == 1, "total").otherwise(F.col("tier"))).drop("__all")
+    return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")).withColumn("primary_cost", F.col("known_cost") - F.col("fallback_cost"))
+
+
+def extraction_quality(segments: DataFrame, batches: DataFrame, attempts: DataFrame, most_facts: dict[str, int], gates: dict[str, float] | None = None) -> DataFrame:
+    """One row: counts and rates of empty and saturated segments, repaired, failed and recovered batches; violations: gates exceeded.
+
+    segments: tier, status, fact_count; batches: status; attempts: batch_id, call_type. most_facts: the facts at which a tier's segment is
+    full. Rates of nothing are 0. A gate not given is 1, and 0 for failed batches.
+    """
+    full = F.try_element_at(F.create_map(*[F.lit(x) for p in sorted(most_facts.items()) for x in p]), F.col("tier"))
+    one = segments.agg(F.count("*").alias("total_segment_results"), F.count_if(F.col("status") == "no_fact").alias("empty_fact_segments"), F.count_if(F.coalesce("fact_count", F.lit(0)) >= full).alias("saturated_segments"))
+    two = batches.agg(F.count("*").alias("total_batches"), F.count_if(~F.col("status").isin("committed", "recovered_by_fallback")).alias("failed_batches"), F.count_if(F.col("status") == "recovered_by_fallback").alias("recovered_batches"))
+    three = attempts.agg(F.count_distinct(F.when(F.col("call_type") == "schema_repair", F.col("batch_id"))).alias("repair_batches"))
+    rate = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 6)
+    rates = {"empty_fact_segment_rate": rate("empty_fact_segments", "total_segment_results"), "saturated_segment_rate": rate("saturated_segments", "total_segment_results"), "repair_batch_rate": rate("repair_batches", "total_batches"), "failed_batch_rate": rate("failed_batches", "total_batches"), "fallback_recovery_rate": rate("recovered_batches", "total_batches")}
+    most = {"empty_fact_segment_rate": 1.0, "saturated_segment_rate": 1.0, "repair_batch_rate": 1.0, "failed_batch_rate": 0.0} | (gates or {})
+    out = one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three)).withColumns(rates)  # one row each
+    over = F.concat_ws(",", *[F.when(F.col(c) > m, F.lit(c)) for c, m in sorted(most.items())])
+    return out.withColumn("violations", over).withColumn("passed", over == "")

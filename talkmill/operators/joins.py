@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from talkmill.functions.text import fact_key
+from talkmill.functions.text import match_key
 
 
 def must(df: DataFrame, good: Column, what: str, key: list[str]) -> DataFrame:
@@ -113,12 +113,12 @@ def priced(usage: DataFrame, prices: dict[str, tuple[float, float]], tier: str =
 
 
 def same_facts(candidates: DataFrame, references: DataFrame, key: str) -> DataFrame:
-    """(key, candidate_id, reference_id): facts of a segment with one text, as fact_key sees it, and a source in common.
+    """(key, candidate_id, reference_id): facts of a segment with one text, as match_key sees it, and a source in common.
 
     Both: key, an id, text, sources (array). The text is part of the join's key; the sources are checked on what meets.
     """
-    c = candidates.select(key, "candidate_id", fact_key(F.col("text")).alias("__t"), F.col("sources").alias("__c"))
-    r = references.select(key, "reference_id", fact_key(F.col("text")).alias("__t"), F.col("sources").alias("__r"))
+    c = candidates.select(key, "candidate_id", match_key(F.col("text")).alias("__t"), F.col("sources").alias("__c"))
+    r = references.select(key, "reference_id", match_key(F.col("text")).alias("__t"), F.col("sources").alias("__r"))
     return c.join(r, [key, "__t"]).where(F.arrays_overlap("__c", "__r")).select(key, "candidate_id", "reference_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,49 +38,61 @@ def boundaries(curve: DataFrame, scope: str, order: str, score: str, alpha: floa
     return d.withColumn("threshold", F.avg("depth").over(w) + alpha * F.stddev_pop("depth").over(w)).withColumn("is_boundary", F.col("depth") > F.col("threshold"))
 
 
-def segments(turns: DataFrame, scope: str, order: str, alpha: float = 0.5, min_turns: int = 2, max_turns: int = 8) -> DataFrame:
-    """(scope, segment_no, first_turn, last_turn, n_turns, reason): boundaries, then short ones merged, then long ones split.
-
-    turns: scope, order, score (with the turn before; null at the start). A short segment joins the neighbour to which it
-    coheres more, ties to the left, unless that grows too long; a long one is split at its lowest score, the most even split
-    of equals. Both rescan a scope's segments, so a scope (a session) is one pandas group.
+def merge_short(parts: list[list], score: list[float], tokens: list[int], min_turns: int, min_tokens: int, max_turns: int) -> list[list]:
+    """parts (first, end, reason) where each short one, from the first on, has joined the neighbour to which it coheres more, the left
+    one of equals. A part whose joint length would be too large stays as it is; every merge begins the search anew."""
+    upto = np.concatenate(([0], np.cumsum(tokens)))
+    i = 0
+    while i < len(parts) and len(parts) > 1:
+        a, b, _ = parts[i]
+        i += 1
+        if b - a >= min_turns and upto[b] - upto[a] >= min_tokens:
+            continue
+        left = score[a] if a else -np.inf
+        right = score[b] if b < len(score) else -np.inf
+        j = i - 2 if left >= right else i  # the neighbour's place
+        low, high = sorted((i - 1, j))
+        if parts[high][1] - parts[low][0] <= max_turns:
+            parts[low : high + 1] = [[parts[low][0], parts[high][1], "merged_short"]]
+            i = 0
+    return parts
+
+
+def split_long(parts: list[list], score: list[float], tokens: list[int], max_turns: int, max_tokens: float) -> list[list]:
+    """parts where each long one is split at its lowest score, of equal ones where both sides' tokens differ least, then first."""
+    upto = np.concatenate(([0], np.cumsum(tokens)))
+    todo, done = parts[::-1], []
+    while todo:
+        a, b, why = todo.pop()
+        if b - a <= 1 or (b - a <= max_turns and upto[b] - upto[a] <= max_tokens):
+            done.append([a, b, why])
+            continue
+        k = min(range(a + 1, b), key=lambda i: (score[i], abs(upto[i] - upto[a] - (upto[b] - upto[i])), i))
+        todo += [[k, b, "forced_split"], [a, k, "forced_split"]]
+    return done
+
+
+def segments(turns: DataFrame, scope: str, order: str, alpha: float = 0.5, min_turns: int = 2, max_turns: int = 8, min_tokens: int = 0, max_tokens: float = float("inf")) -> DataFrame:
+    """(scope, segment_no, first_turn, last_turn, n_turns, n_tokens, reason): boundaries, short ones merged, then long ones split.
+
+    turns: scope, order, score (with the turn before; null at the start) and tokens. A segment is short below min_turns or
+    min_tokens, and long above max_turns or max_tokens (see merge_short, split_long). Both rescan a scope's segments, so a
+    scope (a session) is one pandas group.
     """
     marked = boundaries(turns.where(F.col("score").isNotNull()), scope, order, "score", alpha).select(scope, order, "is_boundary")
-    rows = turns.join(marked, [scope, order], "left").select(scope, order, "score", F.coalesce("is_boundary", F.lit(False)).alias("cut"))
+    rows = turns.join(marked, [scope, order], "left").select(scope, order, "score", "tokens", F.coalesce("is_boundary", F.lit(False)).alias("cut"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        score, at = pdf["score"].tolist(), pdf[order].tolist()
+        score, at, tokens = pdf["score"].tolist(), pdf[order].tolist(), pdf["tokens"].fillna(0).astype(int).tolist()
         cuts = [i for i, c in enumerate(pdf["cut"]) if c and i]
-        parts = [[a, b, "boundary"] for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True)]
-        merged = True
-        while merged:
-            merged = False
-            for i, (a, b, _) in enumerate(parts):
-                if b - a >= min_turns or len(parts) == 1:
-                    continue
-                sides = sorted(([(-score[a], 0, i - 1)] if i else []) + ([(-score[b], 1, i + 1)] if i + 1 < len(parts) else []))
-                for _, _, j in sides:
-                    low, high = min(i, j), max(i, j)
-                    if parts[high][1] - parts[low][0] <= max_turns:
-                        parts[low : high + 1] = [[parts[low][0], parts[high][1], "merged_short"]]
-                        merged = True
-                        break
-                if merged:
-                    break
-        done = []
-        while parts:
-            a, b, why = parts.pop(0)
-            if b - a > max_turns:
-                k = min(range(a + 1, b), key=lambda i: (score[i], abs((i - a) - (b - i)), i))
-                parts[:0] = [[a, k, "forced_split"], [k, b, "forced_split"]]
-            else:
-                done.append((a, b, why))
-        return pd.DataFrame([(pdf[scope].iloc[0], n, at[a], at[b - 1], b - a, why) for n, (a, b, why) in enumerate(done)], columns=[scope, "segment_no", "first_turn", "last_turn", "n_turns", "reason"])
+        parts = [[a, b, "boundary" if a else "start"] for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True)]
+        done = split_long(merge_short(parts, score, tokens, min_turns, min_tokens, max_turns), score, tokens, max_turns, max_tokens)
+        return pd.DataFrame([(pdf[scope].iloc[0], n, at[a], at[b - 1], b - a, sum(tokens[a:b]), why) for n, (a, b, why) in enumerate(done)], columns=[scope, "segment_no", "first_turn", "last_turn", "n_turns", "n_tokens", "reason"])
 
     kinds = dict(turns.dtypes)
     spread = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be merged into one task
-    return rows.repartition(spread, scope).groupBy(scope).applyInPandas(build, f"{scope} {kinds[scope]}, segment_no long, first_turn {kinds[order]}, last_turn {kinds[order]}, n_turns long, reason string")
+    return rows.repartition(spread, scope).groupBy(scope).applyInPandas(build, f"{scope} {kinds[scope]}, segment_no long, first_turn {kinds[order]}, last_turn {kinds[order]}, n_turns long, n_tokens long, reason string")
 
 
 def largest_remainder(rows: DataFrame, batch: str, index: str, weight: str, total: str) -> DataFrame:

@@ -12,14 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.operators.joins import must
 from talkmill.session import checkpointed
 
+#: Rows of a block, about.
+BLOCK_ROWS = 1_000_000
 
-def ends(t: np.ndarray, new: np.ndarray, max_rows: int, room: int) -> list[int]:
-    """For each row, the row after a batch that begins there. t: tokens; new: where scopes begin; room: tokens of a batch at most."""
+
+#: Room for tokens that has no bound.
+ANY = 1 << 62
+
+
+def ends(t: np.ndarray, new: np.ndarray, max_rows: int, room: int, reserve: int = 0, all_room: int = ANY) -> list[int]:
+    """For each row, the row after a batch that begins there. t: tokens; new: where scopes begin; room: tokens of a batch at most;
+    all_room: the same when each row also takes reserve."""
     n = len(t)
     upto = np.concatenate(([0], np.cumsum(t)))
     by_tokens = np.searchsorted(upto, upto[:-1] + room, "right") - 1
+    if all_room < ANY:
+        upto = upto + reserve * np.arange(n + 1)
+        by_tokens = np.minimum(by_tokens, np.searchsorted(upto, upto[:-1] + all_room, "right") - 1)
     limits = np.append(new[1:], n)
     scope_end = limits[np.searchsorted(new, np.arange(n), "right") - 1]
     return np.minimum(np.minimum(np.maximum(by_tokens, np.arange(n) + 1), np.arange(n) + max_rows), scope_end).tolist()
@@ -45,7 +57,7 @@ def beginnings(keys: pa.ChunkedArray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
 
 
-def summaries(blocks: DataFrame, max_rows: int, room: int) -> list[dict]:
+def summaries(blocks: DataFrame, max_rows: int, room: int, reserve: int = 0, all_room: int = ANY) -> list[dict]:
     """Of each block's first and last scope: its key, rows, first tokens, and for each first place of a batch of its own the number of
     batches, and rows and tokens of the last one. Two rows a block."""
 
@@ -54,7 +66,7 @@ def summaries(blocks: DataFrame, max_rows: int, room: int) -> list[dict]:
         if table is None:
             return
         t, new = table.column("__t").to_numpy(), beginnings(table.column("__key"))
-        next_, rows = ends(t, new, max_rows, room), []
+        next_, rows = ends(t, new, max_rows, room, reserve, all_room), []
         for begin, end in {(0, int(new[1]) if len(new) > 1 else len(t)), (int(new[-1]), len(t))}:
             found = []
             for a in range(begin, min(begin + max_rows, end)):
@@ -68,14 +80,14 @@ def summaries(blocks: DataFrame, max_rows: int, room: int) -> list[dict]:
     return sorted((r.asDict() for r in got), key=lambda r: (r["block"], r["begin"]))
 
 
-def entries(found: list[dict], max_rows: int, room: int) -> dict[int, tuple[int, int]]:
+def entries(found: list[dict], max_rows: int, room: int, reserve: int = 0, all_room: int = ANY) -> dict[int, tuple[int, int]]:
     """For each block whose first scope goes on from the block before: how many of its rows the open batch takes, and that batch's number."""
     out, key, number, n, s = {}, None, -1, 0, 0
     for r in found:
         taken = 0
         if r["key"] == key and not r["begin"]:
             for t in r["head"]:
-                if n >= max_rows or s + t > room:
+                if n >= max_rows or s + t > room or s + t + (n + 1) * reserve > all_room:
                     break
                 n, s, taken = n + 1, s + t, taken + 1
             out[r["block"]] = (taken, number)
@@ -86,17 +98,25 @@ def entries(found: list[dict], max_rows: int, room: int) -> dict[int, tuple[int,
     return out
 
 
-def pack(rows: DataFrame, scope: list[str], order: str, tokens: str, max_rows: int, max_tokens: int, base: int = 0) -> DataFrame:
+def pack(rows: DataFrame, scope: list[str], order: str, tokens: str, max_rows: int, max_tokens: int, base: int = 0, reserve: int = 0, max_total: int | None = None, oversize: bool = True) -> DataFrame:
     """(scope, order, tokens, batch_no): rows in order fill a batch until the next would be one too many or too large.
 
-    A row larger than a batch closes the open batch and is one of its own. base: tokens that each batch has anyway. Rows that tie
-    in order go by tokens. Null and negative tokens count as 0. Sorted rows are checkpointed, so that blocks are the same in both passes.
+    base: tokens that each batch has anyway. A batch has at most max_tokens with them, and at most max_total with the reserve of each
+    row too. A row that is larger than max_tokens alone closes the open batch and is one of its own; it raises where oversize is
+    false, and any row that is larger than max_total alone raises. Rows that tie in order go by tokens. Null and negative
+    tokens count as 0. Sorted rows are checkpointed, so that blocks are the same in both passes.
     """
-    room = max_tokens - base
+    room, all_room = max_tokens - base, ANY if max_total is None else max_total - base
     lean = rows.select(*scope, order, F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias(tokens))
-    cut = lean.repartitionByRange(*scope, order, tokens).sortWithinPartitions(*scope, order, tokens)
+    most = min(all_room - reserve, ANY if oversize else room)
+    if most < ANY // 2:
+        lean = must(lean, F.col(tokens) <= most, "a row too large for any batch", [*scope, order])
+    # A block has so many rows at most that a task can hold them, whatever the session's number of partitions.
+    blocks_wanted = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lean.count() // BLOCK_ROWS))
+    cut = lean.repartitionByRange(blocks_wanted, *scope, order, tokens).sortWithinPartitions(*scope, order, tokens)
     blocks = checkpointed(cut.select("*", F.to_json(F.struct(*scope)).alias("__key"), F.col(tokens).alias("__t"), F.spark_partition_id().alias("__block")))
-    known = entries(summaries(blocks, max_rows, room), max_rows, room)
+    limits = (max_rows, room, reserve, all_room)
+    known = entries(summaries(blocks, *limits), *limits)
     names = [*scope, order, tokens]
 
     def number(batches):
@@ -106,7 +126,7 @@ def pack(rows: DataFrame, scope: list[str], order: str, tokens: str, max_rows: i
         t, new = table.column("__t").to_numpy(), beginnings(table.column("__key"))
         taken, before = known.get(table.column("__block")[0].as_py(), (0, -1))
         begins = np.zeros(len(t), np.int64)
-        begins[chain(ends(t, new, max_rows, room), taken, len(t))] = 1
+        begins[chain(ends(t, new, *limits), taken, len(t))] = 1
         total = np.cumsum(begins)
         less = total[new] - begins[new]
         less[0] = -before - 1

@@ -33,7 +33,7 @@ STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9_./+-]+|[\\x{4e00}-\\x{9fff}]'), lambda x: lower(x))"
 
 
-@query(f"SELECT conv_id, turn, len({TOKENS})::INT AS n_tokens, len(list_filter({TOKENS}, lambda x: NOT list_contains([{STOP}], x)))::INT AS n_content, len(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> ''))::INT AS n_sentences FROM conversations")
+@query(f"SELECT conv_id, turn, len({TOKENS})::INT AS n_tokens, len(list_filter({TOKENS}, lambda x: NOT list_contains([{STOP}], x)))::INT AS n_content, len(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;\\n]+'), lambda s: regexp_replace(s, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g')), lambda s: s <> ''))::INT AS n_sentences FROM conversations")
 def t2_t5_tokens(spark, sf):
     t = F.col("text")
     return table(spark, sf, "conversations").select("conv_id", "turn", X.count_tokens(t).alias("n_tokens"), F.size(X.content_tokens(t)).alias("n_content"), F.size(X.sentences(t)).alias("n_sentences"))
@@ -110,29 +110,51 @@ def w3_boundaries(spark, sf):
 
 @query()
 def w5_w6_segments(spark, sf):
-    return O.segments(curve(spark, sf).select("conv_id", "turn", "score"), "conv_id", "turn")
+    turns = curve(spark, sf).select("conv_id", "turn", "score", F.size(F.split("text", " ")).alias("tokens"))
+    return O.segments(turns, "conv_id", "turn", min_tokens=12, max_tokens=400)
 
 
 GAP = f"""WITH {OBSERVATIONS}, g AS (SELECT *, max(predicted_quality) OVER (PARTITION BY segment_id) AS best_quality FROM obs),
-e AS (SELECT *, greatest(0.0, best_quality - predicted_quality) + 0.01 <= 0.10 + 1e-12 AND best_quality >= 0.2 AS eligible, abs(predicted_quality - best_quality) <= 1e-12 AS is_best FROM g),
+e AS (SELECT *, greatest(0.0, best_quality - predicted_quality) AS gap, greatest(0.0, best_quality - predicted_quality) + 0.01 <= 0.10 + 1e-12 AS eligible, abs(predicted_quality - best_quality) <= 1e-12 AS is_best, segment_id % 97 = 3 AS ood FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY CASE WHEN is_best THEN 0 ELSE 1 END, cost, model_id) AS rb, row_number() OVER (PARTITION BY segment_id ORDER BY CASE WHEN eligible THEN 0 ELSE 1 END, cost, -predicted_quality, model_id) AS re FROM e),
-dec AS (SELECT segment_id, max(best_quality) AS best_quality, max(CASE WHEN rb = 1 THEN model_id END) AS best_model, coalesce(max(CASE WHEN re = 1 AND eligible THEN model_id END), max(CASE WHEN rb = 1 THEN model_id END)) AS selected_model,
-  coalesce(max(CASE WHEN re = 1 AND eligible THEN cost END), max(CASE WHEN rb = 1 THEN cost END)) AS selected_cost,
-  coalesce(string_agg(CASE WHEN eligible THEN model_id::VARCHAR END, ',' ORDER BY model_id::VARCHAR), max(CASE WHEN rb = 1 THEN model_id END)::VARCHAR) AS eligible_models,
-  CASE WHEN max(best_quality) < 0.2 THEN 'below_quality_floor_predicted_best' WHEN bool_or(eligible) THEN 'cheapest_model_within_quality_tolerance' ELSE 'no_robust_candidate_predicted_best' END AS reason FROM r GROUP BY 1)"""
+d0 AS (SELECT segment_id, max(best_quality) AS best_quality, bool_or(ood) AS segment_ood, max(CASE WHEN rb = 1 THEN model_id END) AS best_model, max(CASE WHEN rb = 1 THEN cost END) AS best_cost, max(CASE WHEN re = 1 AND eligible THEN model_id END) AS cheap, max(CASE WHEN re = 1 AND eligible THEN cost END) AS cheap_cost,
+  string_agg(CASE WHEN eligible THEN model_id::VARCHAR END, ',' ORDER BY model_id::VARCHAR) AS ids, string_agg(model_id || ':' || round(gap * 1000)::BIGINT, ',' ORDER BY model_id) AS gaps, string_agg(model_id || ':' || round((gap + 0.01) * 1000)::BIGINT, ',' ORDER BY model_id) AS upper_bounds FROM r GROUP BY 1),
+d1 AS (SELECT *, CASE WHEN segment_ood THEN 'ood_predicted_best' WHEN best_quality < 0.2 THEN 'below_quality_floor_predicted_best' WHEN cheap IS NULL THEN 'no_robust_candidate_predicted_best' ELSE 'cheapest_model_within_quality_tolerance' END AS reason FROM d0),
+dec AS (SELECT segment_id, best_quality, best_model, segment_ood, reason, gaps, upper_bounds, CASE WHEN reason LIKE 'cheapest%' THEN cheap ELSE best_model END AS selected_model, CASE WHEN reason LIKE 'cheapest%' THEN cheap_cost ELSE best_cost END AS selected_cost, CASE WHEN reason LIKE 'cheapest%' THEN ids ELSE best_model::VARCHAR END AS eligible_models FROM d1)"""
+
+
+def gap_decisions(spark, sf):
+    """Observations, and decisions on them where every 97th segment is out of distribution."""
+    o = D.checked(observations(spark, sf))
+    return o, D.gap_decision(o, 0.10, 0.01, 0.2, o.where("segment_id % 97 = 3").select("segment_id"))
+
+
+def listed(gaps: str):
+    """A map of gaps as model:thousandths, in order of the model."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(gaps)), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), F.round(x["value"] * 1000).cast("long").cast("string"))), ",").alias(gaps)
 
 
 @query(GAP + " SELECT * FROM dec")
 def w10_gap_decision(spark, sf):
-    return D.gap_decision(observations(spark, sf), 0.10, 0.01, 0.2)
+    d = gap_decisions(spark, sf)[1]
+    return d.select(*[listed(c) if c in ("gaps", "upper_bounds") else c for c in d.columns])
+
 
+OUTCOMES = """, top AS (SELECT segment_id, max(actual_quality) AS top, max(cost) AS dearest FROM obs GROUP BY 1),
+orc AS (SELECT segment_id, model_id AS oracle_model FROM (SELECT obs.*, row_number() OVER (PARTITION BY obs.segment_id ORDER BY cost, -actual_quality, model_id) AS k FROM obs JOIN top USING (segment_id) WHERE top - actual_quality <= {epsilon} + 1e-12) WHERE k = 1),
+x AS (SELECT greatest(0.0, top - actual_quality) AS regret, actual_quality AS quality, top, cost, dearest, selected_model = oracle_model AS agrees FROM dec JOIN obs ON obs.segment_id = dec.segment_id AND obs.model_id = selected_model JOIN top ON top.segment_id = dec.segment_id JOIN orc ON orc.segment_id = dec.segment_id)"""
+METRICS = """count(*) AS n, round(avg(quality), 6) AS mean_selected_quality, round(avg(top), 6) AS mean_oracle_quality, round(avg(regret), 6) AS mean_regret, round(avg((regret > 0.05 + 1e-12)::INT), 6) AS violation_rate,
+round(sum(cost), 2) AS total_selected_cost, round(sum(dearest), 2) AS total_highest_cost, round(1 - sum(cost) / sum(dearest), 6) AS cost_saving, round(avg(agrees::INT), 6) AS oracle_agreement"""
 
-@query(GAP + """, top AS (SELECT segment_id, max(actual_quality) AS top, max(cost) AS dearest FROM obs GROUP BY 1),
-x AS (SELECT greatest(0.0, top - actual_quality) AS regret, cost, dearest FROM dec JOIN obs ON obs.segment_id = dec.segment_id AND obs.model_id = selected_model JOIN top ON top.segment_id = dec.segment_id)
-SELECT count(*) AS n, round(avg(regret), 6) AS mean_regret, round(quantile_cont(regret, 0.5), 6) AS median_regret, round(quantile_cont(regret, 0.9), 6) AS p90_regret, round(quantile_cont(regret, 0.95), 6) AS p95_regret, round(avg((regret > 0.05 + 1e-12)::INT), 6) AS violation_rate, round(1 - sum(cost) / sum(dearest), 6) AS cost_saving FROM x""")
+
+@query(GAP + OUTCOMES.format(epsilon="0.10") + f" SELECT {METRICS}, round(quantile_cont(regret, 0.5), 6) AS median_regret, round(quantile_cont(regret, 0.9), 6) AS p90_regret, round(quantile_cont(regret, 0.95), 6) AS p95_regret FROM x")
 def a5_gap_evaluation(spark, sf):
-    o = observations(spark, sf)
-    return D.evaluate(o, D.gap_decision(o, 0.10, 0.01, 0.2), 0.05)
+    return D.evaluate(*gap_decisions(spark, sf), 0.05, 0.10)
+
+
+@query(GAP + " SELECT 'model' AS kind, selected_model::VARCHAR AS value, count(*) AS n FROM dec GROUP BY 2 UNION ALL SELECT 'reason', reason, count(*) FROM dec GROUP BY 2")
+def a5_decision_counts(spark, sf):
+    return D.decision_counts(gap_decisions(spark, sf)[1])
 
 
 @query(f"""WITH {OBSERVATIONS}, r AS (SELECT greatest(0.0, max(actual_quality) OVER w - actual_quality) - greatest(0.0, max(predicted_quality) OVER w - predicted_quality) AS r FROM obs WINDOW w AS (PARTITION BY segment_id)),
@@ -141,11 +163,14 @@ def a6_residual_bound(spark, sf):
     return D.residual_bound(observations(spark, sf), 0.95).select(F.round("residual_bound", 9).alias("residual_bound"))
 
 
-@query(f"""WITH {OBSERVATIONS}, g AS (SELECT *, max(predicted_quality) OVER w - predicted_quality AS gap, max(actual_quality) OVER w AS top FROM obs WINDOW w AS (PARTITION BY segment_id)),
-c AS (SELECT epsilon, g.*, row_number() OVER (PARTITION BY epsilon, segment_id ORDER BY cost, -predicted_quality, model_id) AS k FROM g, (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS epsilon) WHERE gap <= epsilon + 1e-12)
-SELECT epsilon::DOUBLE AS epsilon, round(avg(top - actual_quality), 6) AS mean_regret, round(avg(cost), 4) AS mean_cost, count(*) AS n FROM c WHERE k = 1 GROUP BY 1""")
+@query(f"""WITH {OBSERVATIONS}, top AS (SELECT segment_id, max(actual_quality) AS top, max(cost) AS dearest, max(predicted_quality) AS best FROM obs GROUP BY 1), grid AS (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS epsilon),
+g AS (SELECT epsilon::DOUBLE AS epsilon, obs.*, top, dearest, greatest(0.0, best - predicted_quality) + 0.01 <= epsilon + 1e-12 AND best >= 0.2 AS eligible, abs(best - predicted_quality) <= 1e-12 AS is_best FROM obs JOIN top USING (segment_id), grid),
+s AS (SELECT *, row_number() OVER (PARTITION BY epsilon, segment_id ORDER BY CASE WHEN eligible THEN 0 ELSE 1 END, CASE WHEN eligible THEN 0 WHEN is_best THEN 1 ELSE 2 END, cost, CASE WHEN eligible THEN -predicted_quality ELSE 0 END, model_id) AS k, row_number() OVER (PARTITION BY epsilon, segment_id ORDER BY CASE WHEN top - actual_quality <= epsilon + 1e-12 THEN 0 ELSE 1 END, cost, -actual_quality, model_id) AS o FROM g),
+x AS (SELECT s.epsilon, greatest(0.0, s.top - s.actual_quality) AS regret, s.actual_quality AS quality, s.top, s.cost, s.dearest, s.model_id = t.model_id AS agrees FROM s JOIN s t ON s.epsilon = t.epsilon AND s.segment_id = t.segment_id AND t.o = 1 WHERE s.k = 1),
+m AS (SELECT epsilon, {METRICS} FROM x GROUP BY 1), f AS (SELECT *, mean_regret <= 0.4 + 1e-12 AND violation_rate <= 0.9 + 1e-12 AS feasible FROM m)
+SELECT *, feasible AND epsilon = (SELECT max(epsilon) FROM f WHERE feasible) AS chosen FROM f""")
 def a7_calibration_sweep(spark, sf):
-    return D.sweep(observations(spark, sf), [0.0, 0.05, 0.1, 0.2])
+    return D.calibrate(D.checked(observations(spark, sf)), [0.0, 0.05, 0.1, 0.2], 0.05, 0.4, 0.9, 0.01, 0.2)
 
 
 @query(f"WITH {OBSERVATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY cost, -actual_quality, model_id) AS k FROM (SELECT *, max(actual_quality) OVER (PARTITION BY segment_id) AS top FROM obs) WHERE top - actual_quality <= 0.05 + 1e-12) SELECT segment_id, model_id AS oracle_model, cost AS oracle_cost FROM r WHERE k = 1")
@@ -179,6 +204,18 @@ def w20_buffer_packing(spark, sf):
     return O.pack(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", 8, 12000, 100).select("source", "doc_id", "batch_no")
 
 
+SMALL = "least(n_chars, 6000)"
+TWO_LIMITS = PACK.replace("n_chars AS t", f"{SMALL} AS t")
+for _old, _new in (("o.t + 100 > 12000", "o.t + 100 > 5000"), ("p.n >= 8 OR p.s + o.t + 100 > 5000", "p.n >= 8 OR p.s + o.t + 100 > 5000 OR p.s + o.t + 100 + (p.n + 1) * 700 > 7000"), ("t + 100 > 12000 AS closed", "t + 100 > 5000 AS closed")):
+    TWO_LIMITS = TWO_LIMITS.replace(_old, _new)
+
+
+@query(TWO_LIMITS + " SELECT source, doc_id, batch_no FROM p")
+def w20_two_limits(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.least("n_chars", F.lit(6000)).alias("n_chars"))
+    return O.pack(d, ["source"], "doc_id", "n_chars", 8, 5000, 100, reserve=700, max_total=7000).select("source", "doc_id", "batch_no")
+
+
 @query(PACK + " SELECT source, count(DISTINCT batch_no) AS n_batches, (sum(t) + 100 * count(DISTINCT batch_no))::BIGINT AS input_tokens, round((sum(t) + 100 * count(DISTINCT batch_no)) * 0.287 / 1000000, 9) AS input_cost FROM p GROUP BY 1")
 def w21_cost_replay(spark, sf):
     p = O.pack(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", 8, 12000, 100)
@@ -263,10 +300,40 @@ def a26_scaler(spark, sf):
     return A.scaler(table(spark, sf, "lineitem"), ["l_discount", "l_quantity", "l_tax"])
 
 
-@query("SELECT coalesce(l_returnflag, 'all') AS tier, count(*) AS n_calls, count(DISTINCT l_orderkey) AS n_batches, round(sum(l_extendedprice), 2) AS cost, round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 2) AS fallback_cost FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+#: Line items as attempts: an order is a batch, a line a call; and the same in SQL.
+ATTEMPTS = """att AS (SELECT l_returnflag AS tier, l_orderkey AS batch_id, l_linenumber % 3 AS idx, CASE l_linenumber WHEN 2 THEN 'schema_repair' WHEN 3 THEN 'fallback_singleton' WHEN 4 THEN 'terminal_recovery_singleton' ELSE 'primary' END AS kind, CASE WHEN l_linestatus = 'F' THEN 'failed' ELSE 'succeeded' END AS status,
+CASE WHEN l_linenumber = 5 THEN 'unknown' WHEN l_linenumber = 6 THEN 'estimated' ELSE 'known' END AS cost_status, CASE WHEN l_linenumber <> 7 THEN l_quantity::BIGINT END AS tin, (l_quantity::BIGINT * 2) AS tout, l_extendedprice AS ci, l_tax AS co FROM lineitem)"""
+
+
+def attempts(spark, sf):
+    n = F.col("l_linenumber")
+    kind = F.when(n == 2, "schema_repair").when(n == 3, "fallback_singleton").when(n == 4, "terminal_recovery_singleton").otherwise("primary")
+    cost = F.when(n == 5, "unknown").when(n == 6, "estimated").otherwise("known")
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("tier"), F.col("l_orderkey").alias("batch_id"), (n % 3).alias("logical_call_index"), kind.alias("call_type"), F.when(F.col("l_linestatus") == "F", "failed").otherwise("succeeded").alias("status"), cost.alias("cost_status"), F.when(n != 7, F.round("l_quantity").cast("long")).alias("input_tokens"), (F.round("l_quantity").cast("long") * 2).alias("output_tokens"), F.col("l_extendedprice").alias("input_cost"), F.col("l_tax").alias("output_cost"))
+
+
+@query(f"""WITH {ATTEMPTS}, k AS (SELECT *, CASE WHEN cost_status <> 'unknown' THEN ci + co ELSE 0 END AS known, kind IN ('fallback_singleton', 'terminal_recovery_singleton') AS fb, status = 'succeeded' AND tin IS NOT NULL AS done FROM att),
+r AS (SELECT coalesce(tier, 'total') AS tier, count(DISTINCT batch_id * 10 + idx) AS logical_api_calls, sum((status = 'succeeded')::INT)::BIGINT AS successful_attempts, sum((status = 'failed')::INT)::BIGINT AS failed_attempts, sum((cost_status = 'unknown')::INT)::BIGINT AS unknown_cost_attempts, coalesce(sum(CASE WHEN done THEN tin END), 0)::BIGINT AS input_tokens, coalesce(sum(CASE WHEN done THEN tout END), 0)::BIGINT AS output_tokens, sum(known) AS known_cost,
+count(DISTINCT CASE WHEN fb THEN batch_id * 10 + idx END) AS fallback_calls, sum(CASE WHEN fb THEN known ELSE 0 END) AS fallback_cost, count(DISTINCT CASE WHEN kind LIKE 'terminal%' THEN batch_id * 10 + idx END) AS terminal_recovery_calls, sum(CASE WHEN kind LIKE 'terminal%' THEN known ELSE 0 END) AS terminal_recovery_cost, count(DISTINCT CASE WHEN kind = 'schema_repair' THEN batch_id * 10 + idx END) AS repair_calls, sum(CASE WHEN kind = 'schema_repair' THEN known ELSE 0 END) AS schema_repair_cost FROM k GROUP BY ROLLUP (tier))
+SELECT * REPLACE (round(known_cost, 2) AS known_cost, round(fallback_cost, 2) AS fallback_cost, round(terminal_recovery_cost, 2) AS terminal_recovery_cost, round(schema_repair_cost, 2) AS schema_repair_cost), input_tokens + output_tokens AS total_tokens, round(known_cost - fallback_cost, 2) AS primary_cost FROM r""")
 def a11_cost_rollup(spark, sf):
-    p = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n_calls"), F.count_distinct("l_orderkey").alias("n_batches"), F.round(F.sum(p), 2).alias("cost"), F.round(F.sum(F.when(F.col("l_linestatus") == "F", p).otherwise(0.0)), 2).alias("fallback_cost")).select(F.coalesce("l_returnflag", F.lit("all")).alias("tier"), "n_calls", "n_batches", "cost", "fallback_cost")
+    got = A.attempt_costs(attempts(spark, sf))
+    return got.select(*[F.round(c, 2).alias(c) if c.endswith("_cost") else c for c in got.columns])
+
+
+@query(f"""WITH {ATTEMPTS}, s AS (SELECT count(*) AS total_segment_results, sum((l_suppkey % 7 = 2)::INT)::BIGINT AS empty_fact_segments, sum((l_quantity >= CASE l_returnflag WHEN 'A' THEN 40 WHEN 'N' THEN 45 ELSE 50 END)::INT)::BIGINT AS saturated_segments FROM lineitem),
+b AS (SELECT count(*) AS total_batches, sum((o_orderstatus NOT IN ('F', 'O'))::INT)::BIGINT AS failed_batches, sum((o_orderstatus = 'O')::INT)::BIGINT AS recovered_batches FROM orders), a AS (SELECT count(DISTINCT batch_id) AS repair_batches FROM att WHERE kind = 'schema_repair'),
+x AS (SELECT *, round(empty_fact_segments / total_segment_results, 6) AS empty_fact_segment_rate, round(saturated_segments / total_segment_results, 6) AS saturated_segment_rate, round(repair_batches / total_batches, 6) AS repair_batch_rate, round(failed_batches / total_batches, 6) AS failed_batch_rate, round(recovered_batches / total_batches, 6) AS fallback_recovery_rate FROM s, b, a)
+SELECT *, concat_ws(',', CASE WHEN empty_fact_segment_rate > 0.05 THEN 'empty_fact_segment_rate' END, CASE WHEN failed_batch_rate > 0 THEN 'failed_batch_rate' END, CASE WHEN repair_batch_rate > 1 THEN 'repair_batch_rate' END, CASE WHEN saturated_segment_rate > 1 THEN 'saturated_segment_rate' END) AS violations, empty_fact_segment_rate <= 0.05 AND failed_batch_rate <= 0 AND repair_batch_rate <= 1 AND saturated_segment_rate <= 1 AS passed FROM x""")
+def a10_extraction_quality(spark, sf):
+    segments = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("tier"), F.when(F.col("l_suppkey") % 7 == 2, "no_fact").otherwise("committed").alias("status"), F.col("l_quantity").alias("fact_count"))
+    status = F.when(F.col("o_orderstatus") == "F", "committed").when(F.col("o_orderstatus") == "O", "recovered_by_fallback").otherwise("failed")
+    return A.extraction_quality(segments, table(spark, sf, "orders").select(status.alias("status")), attempts(spark, sf), {"A": 40, "N": 45, "R": 50}, {"empty_fact_segment_rate": 0.05})
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS match_key FROM conversations")
+def p17_match_key(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.match_key(F.col("text")).alias("match_key"))
 
 
 @query("SELECT user_id, sum((event_type = 'click')::INT)::BIGINT AS click, sum((event_type = 'error')::INT)::BIGINT AS error, sum((event_type = 'purchase')::INT)::BIGINT AS purchase FROM events GROUP BY 1")
@@ -330,12 +397,12 @@ def j13_partition_overlap(spark, sf):
     return s.select(F.col("part").alias("a"), "session").join(s.select(F.col("part").alias("b"), "session"), "session").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT 'd' || doc_id AS u, 'p' || left(text, 12) AS v FROM documents UNION SELECT 'd' || doc_id, 's' || right(text, 12) FROM documents), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+@query("""WITH RECURSIVE l AS (SELECT 'd' || doc_id AS u, 'p' || md5(text) AS v FROM documents UNION SELECT 'd' || doc_id, 's' || length(text) FROM documents), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
 r AS (SELECT DISTINCT u AS node, u AS g FROM e UNION SELECT e.v, r.g FROM r JOIN e ON e.u = r.node) SELECT node, min(g) AS group_id FROM r GROUP BY 1""")
 def g2_evidence_groups(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("u"), "text")
-    ends = d.select("u", F.concat(F.lit("p"), F.left("text", F.lit(12))).alias("v")).union(d.select("u", F.concat(F.lit("s"), F.right("text", F.lit(12))).alias("v")))
-    return S.evidence_groups(ends)
+    links = d.select("u", F.concat(F.lit("p"), F.md5("text")).alias("v")).union(d.select("u", F.concat(F.lit("s"), F.length("text").cast("string")).alias("v")))
+    return S.evidence_groups(links)
 
 
 @query("""WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT quantile_disc(n, 0.25) AS a, quantile_disc(n, 0.5) AS b, quantile_disc(n, 0.75) AS c FROM n) SELECT o_custkey, CASE WHEN n <= a THEN 0 WHEN n <= b THEN 1 WHEN n <= c THEN 2 ELSE 3 END AS bin FROM n, q""")

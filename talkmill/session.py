@@ -33,10 +33,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder that the session names, or in one of its own where none is named."""
+    """df with its lineage cut in the shared folder that the session names. Where none is named, a local session gets a temporary one;
+    a cluster's machines share no folder that it doesn't name, so there the call raises."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"/tmp/talkmill-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{tempfile.mkdtemp()}/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 

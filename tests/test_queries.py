@@ -56,3 +56,62 @@ def test_segments_cover_all_turns(spark):
     got = QUERIES["w5_w6_segments"](spark, DATA).collect()
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").count()
     assert sum(r["n_turns"] for r in got) == turns and max(r["n_turns"] for r in got) <= 8
+
+
+def test_short_and_long_segments_follow_the_rule():
+    from talkmill.operators.ordered import merge_short, split_long
+
+    score = [None, 0.1, 0.9, 0.2, 0.8, 0.3, 0.5]
+    ten = [10] * 7
+    # Turn 3 coheres more with the right, whose part would grow to 4 turns: it stays, and does not go left instead.
+    parts = [[0, 3, "start"], [3, 4, "boundary"], [4, 7, "boundary"]]
+    assert merge_short([list(p) for p in parts], score, ten, 2, 0, 3) == parts
+    assert merge_short([list(p) for p in parts], score, ten, 2, 0, 4) == [[0, 3, "start"], [3, 7, "merged_short"]]
+    # Equal scores on both sides: the left. Enough turns but too few tokens is short too.
+    assert merge_short([[0, 2, "start"], [2, 4, "boundary"], [4, 6, "boundary"]], [None, 0, 0.5, 0, 0.5, 0], [9, 9, 1, 1, 9, 9], 2, 5, 9) == [[0, 4, "merged_short"], [4, 6, "boundary"]]
+    # Of equal scores the split whose sides' tokens differ least, and not the one in the middle.
+    assert split_long([[0, 4, "start"]], [None, 0.2, 0.2, 0.2], [90, 10, 10, 10], 3, float("inf")) == [[0, 1, "forced_split"], [1, 4, "forced_split"]]
+    assert split_long([[0, 3, "start"]], [None, 0.5, 0.4], [10, 10, 50], 9, 60) == [[0, 2, "forced_split"], [2, 3, "forced_split"]]
+    assert split_long([[0, 1, "start"]], [None], [500], 9, 60) == [[0, 1, "start"]]
+
+
+def test_decisions_reject_bad_predictions(spark):
+    from talkmill.operators import decisions as D
+
+    names = "segment_id int, model_id string, predicted_quality double, cost double, actual_quality double"
+    for bad in ((1, "a", 0.5, 1.0, 0.5), (1, "b", 1.5, 1.0, 0.5), (1, "b", 0.5, -1.0, 0.5), (1, "b", float("nan"), 1.0, 0.5), (1, "b", 0.5, float("inf"), 0.5)):
+        with pytest.raises(Exception, match="two predictions|quality outside|finite cost"):
+            D.checked(spark.createDataFrame([(1, "a", 0.5, 1.0, 0.5), bad], names)).collect()
+    good = spark.createDataFrame([(1, "a", 0.9, 5.0, 0.9), (1, "b", 0.85, 1.0, 0.2), (2, "a", 0.9, 5.0, 0.9), (2, "b", 0.85, 1.0, 0.9)], names)
+    got = {r["segment_id"]: r for r in D.gap_decision(D.checked(good), 0.1, 0.02, 0.0, spark.createDataFrame([(2,)], "segment_id int")).collect()}
+    assert got[1]["selected_model"] == "b" and got[2]["selected_model"] == "a" and got[2]["reason"] == "ood_predicted_best" and got[2]["eligible_models"] == "a"
+    assert {m: round(g, 6) for m, g in got[1]["upper_bounds"].items()} == {"a": 0.02, "b": 0.07}
+    with pytest.raises(Exception, match="no epsilon meets"):
+        D.calibrate(good, [0.1], 0.05, 0.0, 0.0).collect()
+    assert [r["chosen"] for r in D.calibrate(good, [0.1, 0.0], 0.05, 0.0, 0.0).orderBy("epsilon").collect()] == [True, False]
+
+
+def test_packing_with_two_limits(spark):
+    from talkmill.operators.packing import pack
+
+    def brute(sizes, most_rows, most, base, reserve, total):
+        out, n, s = [], 0, 0
+        no = -1
+        for t in sizes:
+            alone = base + t > most
+            if no < 0 or alone or n >= most_rows or base + s + t > most or base + s + t + (n + 1) * reserve > total:
+                no, n, s = no + 1, 0, 0
+            out.append(no)
+            n, s = (most_rows, s) if alone else (n + 1, s + t)
+        return out
+
+    import random
+
+    r = random.Random(2)
+    sizes = [r.choice([5, 20, 40, 70, 130]) for _ in range(300)]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(sizes)], "scope string, at long, tokens long")
+    got = [x["batch_no"] for x in pack(df, ["scope"], "at", "tokens", 4, 110, 10, reserve=15, max_total=160).orderBy("at").collect()]
+    assert got == brute(sizes, 4, 110, 10, 15, 160)
+    for arguments in ({"max_total": 150, "reserve": 15}, {"oversize": False}):
+        with pytest.raises(Exception, match="too large for any batch"):
+            pack(df, ["scope"], "at", "tokens", 4, 110, 10, **arguments).collect()
