@@ -95,8 +95,9 @@ def constraints(text: Column) -> Column:
 
 
 def fact_key(text: Column) -> Column:
-    """A fact's text for comparison: lower case, trimmed, without closing marks, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"[。.!！?]+$", ""), r"\s+", " "))
+    """A fact's text for comparison: lower case, without white space at its ends and closing marks, white space squeezed."""
+    bare = F.regexp_replace(stripped(F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))), r"[。.!！?]+$", "")
+    return F.trim(F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def structure(text: Column) -> dict[str, Column]:

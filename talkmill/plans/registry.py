@@ -64,7 +64,7 @@ def t11_entities(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.entities(F.col("text")).alias("entities"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(lower(text)), '[。.!！?]+$', ''), '\\s+', ' ', 'g')) AS fact_key FROM conversations")
+@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(replace(lower(text), 'ß', 'ss')), '[。.!！?]+$', ''), '\\s+', ' ', 'g')) AS fact_key FROM conversations")
 def p16_fact_key(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.fact_key(F.col("text")).alias("fact_key"))
 
