@@ -105,6 +105,32 @@ def assembly(routes: DataFrame, points: DataFrame, key: str) -> DataFrame:
     return unique(routes.select(key, "tier"), [key], "route").join(points, [key, "tier"])
 
 
+#: Fixed value: the name space of ids made of URLs and other names.
+NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def named_uuid(name: Column) -> Column:
+    """The version 5 UUID of a name in NAMESPACE_URL."""
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def stamped(routes: DataFrame, points: DataFrame, key: str, point: str, assembly_id: str, episode_id: str, policy_version: str) -> DataFrame:
+    """The points of an assembly, each with a new id that follows from the assembly, the tier and the old id, and with its origin.
+
+    routes: key, tier, one row a segment. points: key, tier, point (the old id) and others; its tier and point become
+    source_collection_tier and source_point_id, its extraction_run_id (empty if it has none) source_extraction_run_id.
+    """
+    run = F.coalesce("extraction_run_id", F.lit("")) if "extraction_run_id" in points.columns else F.lit("")
+    made = named_uuid(F.concat_ws(":", F.lit(assembly_id), "tier", F.col(point).cast("string")))
+    old = F.col(point).cast("string").alias("source_point_id")
+    marks = [F.lit(v).alias(k) for k, v in {"assembly_id": assembly_id, "episode_id": episode_id, "policy_version": policy_version}.items()]
+    rest = [c for c in points.columns if c not in (key, "tier", point, "assembly_id", "episode_id", "policy_version")]
+    return assembly(routes, points, key).select(key, made.alias(point), *rest, F.col("tier").alias("source_collection_tier"), old, run.alias("source_extraction_run_id"), *marks)
+
+
 def priced(usage: DataFrame, prices: dict[str, tuple[float, float]], tier: str = "tier") -> DataFrame:
     """usage with `cost`: tokens in and out at a tier's price for a million. Prices are a literal map; an unknown tier raises."""
     table = F.create_map(*[x for t, (i, o) in prices.items() for x in (F.lit(t), F.struct(F.lit(float(i)).alias("i"), F.lit(float(o)).alias("o")))])

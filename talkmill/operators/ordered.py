@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from talkmill.operators.joins import unique
 from talkmill.operators.packing import pack  # noqa: F401
 
 
@@ -135,3 +136,29 @@ def latest_complete(runs: DataFrame, scope: str, run: str, item: str, order: str
     each = runs.groupBy(scope, run).agg(F.count_distinct(item).alias("n_items"), F.min(order).alias("first")).where(F.col("n_items") >= expected)
     best = each.groupBy(scope).agg(F.max(F.struct("first", run, "n_items")).alias("b"))
     return best.select(scope, f"b.{run}", "b.n_items")
+
+
+def latest_run(rows: DataFrame, scope: str, run: str, items: list[str], order: str, expected: DataFrame) -> DataFrame:
+    """(scope, run, items, and the other columns of rows): of each scope, the expected rows of its last complete run.
+
+    expected: scope and items. A run is complete if it has all of its scope's expected items, and others may be there; the last
+    one is that whose first row by `order` comes last. A run that has an item twice raises. A scope without a complete run has no rows.
+    """
+    pairs = expected.select(scope, *items).distinct()
+    need = pairs.groupBy(scope).agg(F.count("*").alias("__need"))
+    once = unique(rows, [scope, run, *items], "a run's item")
+    began = once.groupBy(scope, run).agg(F.min(order).alias("__began"))
+    useful = once.join(pairs, [scope, *items], "left_semi")
+    runs = useful.groupBy(scope, run).agg(F.count("*").alias("__n")).join(need, scope).where("__n = __need").join(began, [scope, run])
+    last = runs.groupBy(scope).agg(F.max(F.struct("__began", run)).alias("b")).select(scope, F.col(f"b.{run}").alias(run))
+    return useful.join(last, [scope, run])
+
+
+def built(turns: DataFrame, scope: list[str], order: str, line: str, tokens: str, score: str) -> DataFrame:
+    """(scope, text, n_turns, n_tokens, mean_coherence): a segment's lines in order, its tokens, and the mean of the scores of its
+    turns but the first, which tells of the turn before the segment; 1 for a single turn. One shuffle; a segment is short."""
+    kept = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l"), F.col(score).alias("s"))))
+    g = turns.groupBy(*scope).agg(kept.alias("k"), F.count("*").alias("n_turns"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("n_tokens"))
+    inner = F.transform(F.slice("k", 2, F.greatest(F.size("k") - 1, F.lit(0))), lambda x: x["s"].cast("double"))
+    mean = F.aggregate(inner, F.lit(0.0), lambda a, x: a + x) / F.size(inner)
+    return g.select(*scope, F.array_join(F.transform("k", lambda x: x["l"]), "\n").alias("text"), "n_turns", "n_tokens", F.when(F.col("n_turns") > 1, mean).otherwise(1.0).alias("mean_coherence"))

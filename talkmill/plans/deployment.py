@@ -143,6 +143,13 @@ def j8_v5_assembly(spark, sf):
     return J.assembly(e.groupBy("user_id").agg(F.min("tier").alias("tier")), e, "user_id")
 
 
+@query("""WITH a AS (SELECT user_id, event_type AS tier, event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('asm-1:' || event_type || ':' || event_id)) AS h FROM events JOIN (SELECT user_id, min(event_type) AS event_type FROM events GROUP BY 1) USING (user_id, event_type))
+SELECT user_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS event_id, tier AS source_collection_tier, event_id::VARCHAR AS source_point_id, '' AS source_extraction_run_id, 'asm-1' AS assembly_id, 'ep-1' AS episode_id, 'v1' AS policy_version FROM a""")
+def v5_stamped(spark, sf):
+    e = events(spark, sf).select("user_id", F.col("event_type").alias("tier"), "event_id")
+    return J.stamped(e.groupBy("user_id").agg(F.min("tier").alias("tier")), e, "user_id", "event_id", "asm-1", "ep-1", "v1")
+
+
 @query("SELECT user_id, kind FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['click', 'error', 'refund']) AS kind) EXCEPT SELECT user_id, event_type FROM events")
 def j9_gaps(spark, sf):
     e = events(spark, sf).select("user_id", F.col("event_type").alias("kind"))

@@ -93,6 +93,14 @@ def w1_session_slices(spark, sf):
     return O.slices(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", "slice_no")
 
 
+@query(f"""WITH {CURVE}, p AS (SELECT v.conv_id, v.turn, v.turn // 3 AS part, v.role || ': ' || v.text AS line, len(string_split(v.text, ' ')) AS tokens, score, row_number() OVER (PARTITION BY v.conv_id, v.turn // 3 ORDER BY v.turn) AS k FROM conversations v LEFT JOIN curve USING (conv_id, turn))
+SELECT conv_id, part::INT AS part, sha256(string_agg(line, chr(10) ORDER BY turn)) AS content_hash, count(*) AS n_turns, sum(tokens)::BIGINT AS n_tokens, round(CASE WHEN count(*) > 1 THEN avg(CASE WHEN k > 1 THEN score END) ELSE 1.0 END, 6) AS mean_coherence FROM p GROUP BY 1, 2""")
+def w7_built_segments(spark, sf):
+    roles = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    turns = curve(spark, sf).join(roles, ["conv_id", "turn"]).select("conv_id", F.floor(F.col("turn") / 3).cast("int").alias("part"), "turn", F.concat("role", F.lit(": "), "text").alias("line"), F.size(F.split("text", " ")).alias("tokens"), "score")
+    return O.built(turns, ["conv_id", "part"], "turn", "line", "tokens", "score").select("conv_id", "part", F.sha2("text", 256).alias("content_hash"), "n_turns", "n_tokens", F.round("mean_coherence", 6).alias("mean_coherence"))
+
+
 DEPTH = f"""WITH {CURVE}, a AS (SELECT *, coalesce((lag(score) OVER w < score)::INT, 0) AS l, coalesce((lead(score) OVER w < score)::INT, 0) AS r FROM curve WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 b AS (SELECT *, sum(l) OVER (PARTITION BY conv_id ORDER BY turn) AS lg, sum(r) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rg FROM a),
 d AS (SELECT conv_id, turn, (max(score) OVER (PARTITION BY conv_id, lg ORDER BY turn) + max(score) OVER (PARTITION BY conv_id, rg ORDER BY turn DESC) - 2 * score) / 2 AS depth FROM b)"""
@@ -229,6 +237,15 @@ def w23_latest_complete_run(spark, sf):
     return O.latest_complete(e, "user_id", "run", "item", "event_id", 2)
 
 
+@query("""WITH e AS (SELECT user_id, event_type AS run, event_id % 4 AS item, min(event_id) AS seq FROM events GROUP BY ALL), x AS (SELECT DISTINCT user_id, event_id % 4 AS item FROM events WHERE event_id % 4 < 2),
+c AS (SELECT user_id, run, min(seq) AS began FROM e GROUP BY 1, 2), h AS (SELECT user_id, run, count(*) AS n FROM e JOIN x USING (user_id, item) GROUP BY 1, 2), w AS (SELECT user_id, count(*) AS n FROM x GROUP BY 1),
+b AS (SELECT user_id, arg_max(run, began) AS run FROM h JOIN w USING (user_id, n) JOIN c USING (user_id, run) GROUP BY 1)
+SELECT user_id, run, item, seq FROM e JOIN x USING (user_id, item) JOIN b USING (user_id, run)""")
+def w23_latest_run(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("run"), (F.col("event_id") % 4).alias("item"), "event_id")
+    return O.latest_run(e.groupBy("user_id", "run", "item").agg(F.min("event_id").alias("seq")), "user_id", "run", ["item"], "seq", e.where("item < 2"))
+
+
 @query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, value::BIGINT ORDER BY event_id) AS d, value::BIGINT AS v FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS rank FROM o WHERE d = 1) SELECT user_id, event_id, rank::INT AS rank FROM k WHERE rank <= 15""")
 def w12_w13_dedup_rank(spark, sf):

@@ -90,6 +90,29 @@ def write_tables(turns: DataFrame, path: str) -> DataFrame:
     return turns.sparkSession.read.parquet(f"{path}/samples").agg(F.count("*").alias("samples"), F.sum("n_sessions").alias("sessions"), F.sum("n_turns").alias("turns"))
 
 
+def write_split(turns: DataFrame, questions: DataFrame, path: str, dataset: str, split: str, raw_files: list[str] | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+    """Writes a split's four tables and a manifest, whose row is returned as read: names, counts, files and digests of the raw files.
+
+    A raw file is hashed by one task as a whole. Questions are a table of `questions_of`.
+    """
+    spark = turns.sparkSession
+    counts = write_tables(turns, path)
+    questions.write.mode("overwrite").parquet(f"{path}/questions")
+    n_questions = spark.read.parquet(f"{path}/questions").agg(F.count("*").alias("n"))
+    if raw_files:
+        raw = spark.read.format("binaryFile").load(raw_files).select(F.struct("path", F.sha2("content", 256).alias("sha256")).alias("f")).agg(F.array_sort(F.collect_list("f")).alias("files"))
+    else:
+        raw = spark.range(1).select(F.array().cast("array<struct<path: string, sha256: string>>").alias("files"))
+    files = F.struct(*[F.lit(f"{path}/{t}").alias(t) for t in ("samples", "questions", "sessions", "turns")])
+    row = counts.crossJoin(F.broadcast(n_questions)).crossJoin(F.broadcast(raw)).select(
+        F.lit(dataset).alias("dataset_name"), F.lit(split).alias("split"), F.lit(3).alias("layout_version"), F.col("samples").alias("num_samples"), F.col("n").alias("num_questions"),
+        F.col("sessions").alias("num_sessions"), F.col("turns").alias("num_turns"), F.col("files").alias("source_file_hashes"), files.alias("tables"),
+        *([F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]).alias("metadata")] if metadata else []),
+    )
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.json(f"{path}/manifest")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header that begins with a byte order mark; nested columns as JSON."""
     flat = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name) for f in df.schema])

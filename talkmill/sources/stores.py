@@ -131,6 +131,33 @@ def without_assembly(points: DataFrame, assembly: str) -> DataFrame:
     return points.where(~F.col("assembly_id").eqNullSafe(assembly))
 
 
+def store_assembly(routes: DataFrame, points: DataFrame, path: str, key: str) -> DataFrame:
+    """Writes an assembly's points under path, reads them back, and returns its ledger: the routes with status and point_count.
+
+    points: of `joins.stamped`. `ready`: as many points as the assembly has are there, and each segment's are of the tier that it
+    is routed to. `failed`: otherwise, and then the points are deleted again. A segment may have no points.
+    """
+    spark = points.sparkSession
+    points.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    tiers = stored.groupBy(key).agg(F.count("*").alias("n"), F.min("source_collection_tier").alias("low"), F.max("source_collection_tier").alias("high"))
+    fits = (F.col("low") == F.col("tier")) & (F.col("high") == F.col("tier"))
+    n, bad = tiers.join(routes.select(key, "tier"), key, "left").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~F.coalesce(fits, F.lit(False)))).first()
+    ready = n == points.count() and not bad
+    if not ready:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return routes.withColumns({"status": F.lit("ready" if ready else "failed"), "point_count": F.lit(n).cast("long")})
+
+
+def upserted(store: DataFrame, facts: DataFrame, tier: str, key: str = "fact_id", frozen: bool = False) -> DataFrame:
+    """A tier's store with facts in it, in place of those of the same key. A fact of another tier raises, as do a frozen store and a repeated key."""
+    if frozen:
+        raise ValueError("the candidates are frozen")
+    new = unique(must(facts, F.col("memory_tier") == tier, "a fact of another tier", [key]), [key], "fact")
+    return store.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def export(points: DataFrame, scope: list[str], payload: list[str], order: str) -> DataFrame:
     """(scope, n, points): a scope's points as one JSON text, in order. A scope is a sample's tier, so it is small."""
     each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*payload).alias("p"))))

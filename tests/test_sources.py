@@ -1,6 +1,14 @@
+import hashlib
 import json
+import uuid
 
+import pytest
+from pyspark.sql import functions as F
+
+from talkmill.operators import joins as J
+from talkmill.operators import ordered as O
 from talkmill.sources import conversations as C
+from talkmill.sources import stores as S
 from talkmill.streaming.ledger import append_stream
 
 
@@ -43,3 +51,47 @@ def test_tables_and_stream(spark, tmp_path):
         t.write.mode("append").parquet(source)
         append_stream(spark.readStream.schema(t.schema).parquet(source), str(tmp_path / "ledger"), str(tmp_path / "cp"), ["sample_id", "session_no"], ["offset"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 3
+
+
+def test_an_assembly_is_stored_whole_or_not_at_all(spark, tmp_path):
+    routes = spark.createDataFrame([("s1", "small"), ("s2", "large"), ("s3", "small")], "segment_id string, tier string")
+    points = spark.createDataFrame([("s1", "small", "p1", "r"), ("s1", "large", "p2", "r"), ("s2", "large", "p3", None)], "segment_id string, tier string, point_id string, extraction_run_id string")
+    made = J.stamped(routes, points, "segment_id", "point_id", "asm", "ep", "v1")
+    rows = {r.source_point_id: r for r in made.collect()}
+    assert set(rows) == {"p1", "p3"} and rows["p3"].source_extraction_run_id == ""
+    assert rows["p1"].point_id == str(uuid.uuid5(uuid.NAMESPACE_URL, "asm:small:p1"))
+    ledger = S.store_assembly(routes, made, str(tmp_path / "good"), "segment_id").collect()
+    assert {(r.segment_id, r.status, r.point_count) for r in ledger} == {(s, "ready", 2) for s in ("s1", "s2", "s3")}
+    wrong = made.withColumn("source_collection_tier", F.lit("small"))
+    ledger = S.store_assembly(routes, wrong, str(tmp_path / "bad"), "segment_id").collect()
+    assert {r.status for r in ledger} == {"failed"} and (tmp_path / "good").exists() and not (tmp_path / "bad").exists()
+    assert S.store_assembly(routes, made.limit(0), str(tmp_path / "none"), "segment_id").first().status == "ready"
+
+
+def test_upserts_keep_tiers_apart(spark):
+    fact = lambda *rows: spark.createDataFrame(rows, "fact_id string, memory_tier string, text string")
+    store = fact(("a", "small", "old"), ("b", "small", "kept"))
+    got = S.upserted(store, fact(("a", "small", "new"), ("c", "small", "more")), "small")
+    assert sorted((r.fact_id, r.text) for r in got.collect()) == [("a", "new"), ("b", "kept"), ("c", "more")]
+    for bad in (fact(("a", "large", "x")), fact(("a", "small", "x"), ("a", "small", "y"))):
+        with pytest.raises(Exception, match="fact"):
+            S.upserted(store, bad, "small").collect()
+    with pytest.raises(ValueError, match="frozen"):
+        S.upserted(store, store, "small", frozen=True)
+
+
+def test_a_split_has_a_manifest(spark, tmp_path):
+    raw = tmp_path / "raw.json"
+    raw.write_text("[]")
+    turns = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "sample_id string, session_no int, text string")
+    questions = C.questions_of(spark.createDataFrame([("a", '["why?", "who?"]')], "id string, items string"), "id", "items")
+    m = C.write_split(turns, questions, str(tmp_path / "out"), "d", "test", [str(raw)], {"by": "hand"}).first()
+    assert (m.num_samples, m.num_questions, m.num_sessions, m.num_turns, m.layout_version, m.metadata.by) == (1, 2, 2, 2, 3, "hand")
+    assert [f.sha256 for f in m.source_file_hashes] == [hashlib.sha256(b"[]").hexdigest()]
+    assert spark.read.parquet(m.tables.questions).count() == 2
+
+
+def test_a_run_with_an_item_twice_raises(spark):
+    rows = spark.createDataFrame([(1, "r", 0, 1), (1, "r", 0, 2)], "scope int, run string, item int, seq int")
+    with pytest.raises(Exception, match="repeated"):
+        O.latest_run(rows, "scope", "run", ["item"], "seq", rows).collect()
