@@ -1,7 +1,7 @@
 """Splits of samples into parts of exact sizes that keep evidence groups whole: rounded targets, assignment and swaps, fold manifests.
 
-A question type's groups are placed by one task, as each placement depends on those before it; types run side by side. Targets
-and quotas are a number for each type and part, so they are the driver's.
+A question type's groups are placed by one task, as each placement depends on those before it; types run side by side. Swaps
+weigh pairs of profiles (groups of equal weights), not of groups. Targets and quotas are a number for each type and part, so they are the driver's.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # What an error in each kind of stratum weighs, and how often groups are swapped at most.
 JOINT, TYPE, UNANSWERABLE, ANSWERABLE, BIN = 2.0, 12.0, 12.0, 1.0, 2.0
 SWAPS = 30
+#: Pairs of groups whose swaps gain the same, up to which each pair has a digest.
+TIED = 1 << 17
 
 Targets = dict[str, dict[str, int]]
 
@@ -85,7 +87,8 @@ def place(samples: pd.DataFrame, sizes: dict[str, int], quotas: dict[str, int] |
         if not fits.any():
             raise ValueError(f"group {names[g]} fits in no part")
         growth = (weights[g] * (2 * error + weights[g]) / scale).sum(1)
-        p = min(np.flatnonzero(fits), key=lambda p: (growth[p], tie(seed, str(names[g]), parts[p])))
+        least = np.flatnonzero(fits & (growth == growth[fits].min()))
+        p = least[0] if len(least) == 1 else min(least, key=lambda p: tie(seed, str(names[g]), parts[p]))
         part_of[g], room[p] = p, room[p] - size[g]
         error[p] += weights[g]
         if left is not None:
@@ -97,28 +100,50 @@ def place(samples: pd.DataFrame, sizes: dict[str, int], quotas: dict[str, int] |
 
 
 def swap(part_of: np.ndarray, weights: np.ndarray, kind: np.ndarray, error: np.ndarray, scale: np.ndarray, names: list[str], seed: int) -> None:
-    """Swaps groups of one kind (size and unanswerable samples) between parts while that lowers the error, the best swap first."""
+    """Swaps groups of one kind (size and unanswerable samples) between parts while that lowers the error, the best swap first.
+
+    Groups of one kind and equal weights are one profile: their swaps gain the same, so pairs of profiles are weighed.
+    """
+    _, first, profile = np.unique(np.column_stack([kind, weights]), axis=0, return_index=True, return_inverse=True)
+    profile, kinds, weights = profile.ravel(), kind[first], weights[first]
+    held = np.zeros((len(error), len(first)), np.int64)
+    np.add.at(held, (part_of, profile), 1)
     for turn in range(SWAPS):
         least, found = -1e-9, []
         for a in range(len(error)):
             for b in range(a + 1, len(error)):
-                for k in np.intersect1d(kind[part_of == a], kind[part_of == b]):
-                    ga, gb = (np.flatnonzero((part_of == p) & (kind == k)) for p in (a, b))
-                    for g in ga:
-                        d = weights[gb] - weights[g]
+                for k in np.intersect1d(kinds[held[a] > 0], kinds[held[b] > 0]):
+                    of_a, of_b = (np.flatnonzero((held[p] > 0) & (kinds == k)) for p in (a, b))
+                    for g in of_a:
+                        d = weights[of_b] - weights[g]
                         gain = (d * (2 * error[a] + d) / scale[a] + d * (d - 2 * error[b]) / scale[b]).sum(1)
                         low = gain.min()
                         if low < least or (found and low == least):
                             found = [] if low < least else found
                             least = low
-                            found += [(g, h) for h in gb[gain == low]]
+                            found += [(a, b, g, h) for h in of_b[gain == low]]
         if not found:
             return
-        g, h = min(found, key=lambda x: tie(seed + turn, names[x[0]], names[x[1]], "swap"))
-        a, b, d = part_of[g], part_of[h], weights[h] - weights[g]
+        g, h = first_pair(part_of, profile, found, names, seed + turn)
+        a, b, p, q = part_of[g], part_of[h], profile[g], profile[h]
         part_of[g], part_of[h] = b, a
-        error[a] += d
-        error[b] -= d
+        held[[a, b], [p, q]] -= 1
+        held[[b, a], [p, q]] += 1
+        error[a] += weights[q] - weights[p]
+        error[b] -= weights[q] - weights[p]
+
+
+def first_pair(part_of: np.ndarray, profile: np.ndarray, found: list[tuple[int, int, int, int]], names: list[str], seed: int) -> tuple[int, int]:
+    """Of all pairs of groups in found (part, part, profile, profile), the one with the first digest.
+
+    All of them change the error alike. Beyond TIED pairs, the group with the first digest of its own is taken, then its partner by
+    the pair's digest: that takes a digest for each group, and not for each pair.
+    """
+    sides = [(np.flatnonzero((part_of == a) & (profile == p)), np.flatnonzero((part_of == b) & (profile == q))) for a, b, p, q in found]
+    if sum(len(g) * len(h) for g, h in sides) > TIED:
+        first, i = min(((g, i) for i, (gs, _) in enumerate(sides) for g in gs), key=lambda x: (tie(seed, names[x[0]], "swap"), x[1]))
+        sides = [(np.array([first]), sides[i][1])]
+    return min(((g, h) for gs, hs in sides for g in gs for h in hs), key=lambda x: tie(seed, names[x[0]], names[x[1]], "swap"))
 
 
 def type_counts(samples: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
@@ -145,7 +170,9 @@ def assigned(samples: DataFrame, targets: Targets, quotas: Targets | None, seed:
         return pdf.assign(part=pdf["group_id"].map(part))
 
     schema = checked.select("*", F.lit("").alias("part")).schema
-    return checked.groupBy("question_type").applyInPandas(one_type, schema)
+    # By range, so that each type has a task of its own: placing takes long for few bytes.
+    tasks = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), len({k for t in targets.values() for k in t}))
+    return checked.repartitionByRange(tasks, "question_type").groupBy("question_type").applyInPandas(one_type, schema)
 
 
 def fixed_split(samples: DataFrame, sizes: dict[str, int], seed: int = 42, targets: Targets | None = None) -> DataFrame:

@@ -187,6 +187,25 @@ def test_swaps_reach_what_no_single_swap_betters():
         S.place(pdf, {"x": 13, "y": 11}, None, 1)
 
 
+def test_swaps_of_many_groups_weigh_profiles():
+    """30,000 groups of four profiles: comparing all their pairs took minutes."""
+    import time
+
+    r = np.random.default_rng(3)
+    weights = np.eye(4)[r.integers(0, 4, 30_000)]
+    part_of = (r.random(30_000) < 0.5).astype(int)
+    part_of[:200] = weights[:200, 0] > 0  # the first profile is too often in the second part
+    total = weights.sum(0)
+    held = np.array([weights[part_of == p].sum(0) for p in (0, 1)])
+    target = total * (np.bincount(part_of) / len(part_of))[:, None]
+    error, before = held - target, np.abs(held - target).sum()
+    began = time.time()
+    S.swap(part_of, weights, np.ones(len(weights), int), error, target, [f"g{i}" for i in range(len(weights))], 1)
+    assert time.time() - began < 30
+    now = np.array([weights[part_of == p].sum(0) for p in (0, 1)])
+    assert np.abs(now - target).sum() < before and np.allclose(now - target, error) and (now.sum(1) == held.sum(1)).all()
+
+
 def test_nested_folds_hold_each_sample_out_once(spark):
     rows = spark.range(60).select(F.col("id").alias("sample_id"), F.concat(F.lit("g"), F.expr("id div 2")).alias("group_id"), F.concat(F.lit("t"), F.expr("(id div 2) % 2")).alias("question_type"), (F.col("id") % 15 == 0).alias("is_unanswerable"), F.concat(F.lit("q"), F.col("id") % 3).alias("segment_bin"), F.lit("own").alias("part"))
     got = S.nested_folds(rows, 3, 0.1).toPandas()
