@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.session import checkpointed
+
 # What an error in each kind of stratum weighs, and how often groups are swapped at most.
 JOINT, TYPE, UNANSWERABLE, ANSWERABLE, BIN = 2.0, 12.0, 12.0, 1.0, 2.0
 SWAPS = 30
@@ -194,11 +196,11 @@ def shares(total: int, sizes: dict[str, int]) -> dict[str, int]:
 def nested_folds(samples: DataFrame, folds: int, validation: float, seed: int = 42) -> DataFrame:
     """(fold, sample_id, group_id, question_type, ..., part): each fold's test part, and the rest dealt to train and validation.
 
-    Every sample is held out once. A fold's inner seed is seed + fold + 1. samples are read once for each fold.
+    Every sample is held out once. A fold's inner seed is seed + fold + 1. The outer split is placed once, and stored.
     """
     n = samples.count()
     sizes = {f"outer_{i}": n // folds + (i < n % folds) for i in range(folds)}
-    outer = fixed_split(samples, sizes, seed).withColumnRenamed("part", "__outer")
+    outer = checkpointed(fixed_split(samples, sizes, seed).withColumnRenamed("part", "__outer"))
     out = None
     for i in range(folds):
         test, rest = outer.where(F.col("__outer") == f"outer_{i}").drop("__outer"), outer.where(F.col("__outer") != f"outer_{i}").drop("__outer")
