@@ -1,295 +1,252 @@
-"""Approximate nearest neighbours by inner product: a graph built by NN-descent, and greedy search on it.
+"""Approximate nearest neighbours by inner product: graphs built by NN-descent, and greedy search on them.
 
-Equal vectors are one node, so a group of copies can't fill its own neighbour lists; its rows come back at the end. The first
-graph compares neighbours in several orders of the nodes, each by the signs of random projections; there are as many runs as the
-nodes fill, whatever their number. A round of NN-descent joins each node's list with the lists that hold it, compares neighbours
-that haven't met (one of them new in a list), and gives each the better ones; rounds end when few entries change. A search
-expands the best unexpanded nodes of a query's beam until none is left.
+Equal vectors are one node, so a group of copies can't fill its own neighbour lists; its rows come back at the end. Nodes are dealt
+to shards by hash. A shard's task builds its graph: the first one compares neighbours in several orders of the nodes, each by the
+signs of random projections; a round of NN-descent joins each node's list with the lists that hold it, compares neighbours that
+haven't met (one of them new in a list), and gives each the better ones; rounds end when few entries change. Then each query is
+searched in every shard's graph, which expands the best unexpanded nodes of its beam until none is left, and the shards' best are merged.
 
-Joins carry ids. Nodes that are next to each other in the first order share a block, and a block's task gets each vector that
-its lists name once, in half precision with a scale. Final scores are in double precision, from the vectors as given.
+Rows between tasks are whole nodes, whole queries and packed lists, never single entries of lists. Final scores are in double
+precision, from the vectors as given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from talkmill.llm.common import discard, given_back, task_count, written
+from talkmill.llm.common import given_back, written
 
 #: Neighbours of a node in the graph; new entries of a list, and lists that hold a node, that take part in a round.
 DEGREE, SAMPLED = 40, 20
-#: Orders of the first graph, signs in an order, nodes that are compared in one run, nodes of a block.
-ORDERS, SIGNS, RUN, BLOCK = 4, 48, 512, 256
+#: Orders of the first graph, signs in an order, nodes that are compared in one run, nodes whose lists are joined in one step.
+ORDERS, SIGNS, RUN, BLOCK = 4, 48, 512, 512
 #: NN-descent ends when a smaller share of the list entries is new.
 STILL = 0.005
-#: Nodes in a query's beam; nodes of it that a round expands.
-BEAM, EXPANDED = 160, 40
-#: Rows of a task; vectors that the projections' origin is the mean of; queries that meet all nodes in one pass.
-TASK_ROWS, ORIGIN, PASS = 100_000, 1000, 4096
-
-
-def gathered(batches) -> list[np.ndarray]:
-    """The columns of all rows of a task; binary ones as lists."""
-    got = [b for b in given_back(batches) if b.num_rows]
-    if not got:
-        return []
-    return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in pa.Table.from_batches(got).columns]
-
-
-def coarse(matrix: np.ndarray) -> list[bytes]:
-    """Each row as a double, its largest component, and halves: the row over that."""
-    scale = np.abs(matrix).max(1)
-    return [s.tobytes() + r.tobytes() for s, r in zip(scale, (matrix / scale[:, None]).astype(np.float16), strict=True)]
-
-
-def fine(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows over their scale, scale of each) of coarse vectors."""
-    flat = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    return flat[:, 8:].copy().view(np.float16).astype(np.float32), flat[:, :8].copy().view(np.float64).ravel()
+#: Nodes in a query's beam; nodes of it that a step expands; nodes that a search begins with; queries searched at once.
+BEAM, EXPANDED, STARTS, ASKED = 64, 8, 64, 256
+#: Numbers of a shard's vectors at most, nodes of one of several shards at least; found entries that are held before lists take them in.
+SHARD, SMALL, HELD = 6_400_000, 1024, 1 << 20
+#: Numbers that one step gathers of vectors; queries that meet all nodes in one pass.
+GATHERED, PASS = 1 << 22, 4096
 
 
 def doubles(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
 
 
-def groups_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, edges): rows in order of their key, and where each key's rows begin and end."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-
-
-def best_of(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int, later: np.ndarray | None = None) -> np.ndarray:
-    """Places of each a's k largest sims among distinct b; ties to the smaller b. Of rows of one (a, b) that with the least later."""
-    pair = np.lexsort((sim if later is None else later, b, a))
-    keep = pair[np.concatenate(([True], (a[pair][1:] != a[pair][:-1]) | (b[pair][1:] != b[pair][:-1])))] if len(a) else pair
-    order = keep[np.lexsort((b[keep], -sim[keep], a[keep]))]
-    start = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1]))) if len(order) else order
-    return order[np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order))) < k]
-
-
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-#: An entry b of node a's list, with their blocks; new until it has taken part in a round; added by the last one.
-ENTRY = "a long, b long, block_a long, block_b long, sim double, new boolean, added boolean"
-
-
-def placed(nodes: DataFrame, n: int, tasks: int) -> DataFrame:
-    """nodes (node, v), written, with block, c (coarse) and order_0, order_1 and so on: signs of random projections as one number."""
-    some = doubles([r["v"] for r in nodes.orderBy(F.xxhash64("node")).select("v").limit(ORIGIN).collect()])
-    scaled = some / np.abs(some).max(1)[:, None]
-    origin, dim = scaled.mean(0), scaled.shape[1]
-    directions = np.random.default_rng(dim).normal(size=(dim, ORDERS * SIGNS)).astype(np.float32)
-    held = nodes.sparkSession.sparkContext.broadcast((origin.astype(np.float32), directions))
-    names = [f"order_{i}" for i in range(ORDERS)]
-
-    def project(batches):
-        origin, directions = held.value
-        for rows in given_back(batches):
-            if rows.num_rows:
-                matrix = doubles(rows.column(1).to_pylist())
-                packed = coarse(matrix)
-                signs = ((fine(packed)[0] - origin) @ directions > 0).reshape(len(matrix), ORDERS, SIGNS)
-                codes = (signs * (1 << np.arange(SIGNS)[::-1])).sum(2)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(packed, pa.binary()), *(pa.array(codes[:, i]) for i in range(ORDERS))], names=["node", "v", "c", *names])
-
-    def number(batches):
-        first, at = TaskContext.get().partitionId() << 32, 0
-        for rows in given_back(batches):
-            blocks = first + (at + np.arange(rows.num_rows)) // BLOCK
-            at += rows.num_rows
-            yield rows.append_column("block", pa.array(blocks))
-
-    codes = ", ".join(f"{x} long" for x in names)
-    ordered = nodes.select("node", "v").mapInArrow(project, f"node long, v binary, c binary, {codes}").repartitionByRange(max(1, min(tasks, n // BLOCK)), names[0], "node").sortWithinPartitions(names[0], "node")
-    return written(ordered.mapInArrow(number, f"node long, v binary, c binary, {codes}, block long"))
-
-
-def merged(entries: DataFrame, tasks: int, k: int) -> DataFrame:
-    """The k best entries of each list, written; an entry that was in the list stays as it was."""
-
-    def merge(batches):
-        if got := gathered(batches):
-            a, b, block_a, block_b, sim, new, added = got
-            keep = best_of(a, b, sim, k, added.astype(np.int8))
-            yield batch(a=a[keep], b=b[keep], block_a=block_a[keep], block_b=block_b[keep], sim=sim[keep], new=new[keep].astype(bool), added=added[keep].astype(bool))
-
-    return written(entries.repartition(tasks, "a").mapInArrow(merge, ENTRY))
-
-
-def entries(a, b, block_a, block_b, sim) -> pa.RecordBatch:
-    return batch(a=a, b=b, block_a=block_a, block_b=block_b, sim=sim, new=np.ones(len(a), bool), added=np.ones(len(a), bool))
-
-
-def first_graph(nodes: DataFrame, tasks: int, k: int) -> DataFrame:
-    """The k best of each node among those in a run with it, in any of the orders."""
-    each = nodes.select(F.posexplode(F.array(*[f"order_{i}" for i in range(ORDERS)])).alias("turn", "code"), "node", "block", "c")
-
-    def compare(batches):
-        if not (got := gathered(batches)):
-            return
-        turn, code, node, block, packed = got
-        rows, scale = fine(packed)
-        order = np.lexsort((node, code, turn))
-        for at in range(0, len(order), RUN):
-            some = order[at : at + RUN]
-            sim = (rows[some] @ rows[some].T).astype(np.float64) * scale[some][:, None] * scale[some]
-            sim[node[some][:, None] == node[some]] = -np.inf  # itself, and itself where one order ends and the next begins
-            top = np.argpartition(sim, max(0, len(some) - k), axis=1)[:, max(0, len(some) - k) :]
-            row, col = np.nonzero(np.isfinite(np.take_along_axis(sim, top, 1)))
-            a, b = some[row], some[top[row, col]]
-            yield entries(node[a], node[b], block[a], block[b], sim[row, top[row, col]])
-
-    return merged(each.repartitionByRange(tasks, "turn", "code").mapInArrow(compare, ENTRY), tasks, k)
-
-
-def sampled(graph: DataFrame, by: str) -> DataFrame:
-    """graph with r: an entry's place among those of one by and one newness, by hash."""
-    return graph.withColumn("r", F.row_number().over(W.partitionBy(by, "new").orderBy(F.xxhash64("a", "b"))))
-
-
-def descend(graph: DataFrame, nodes: DataFrame, tasks: int, k: int) -> DataFrame:
-    """One round of NN-descent."""
-    ranked = written(sampled(graph, "a"))
-    used = ranked.where(~F.col("new") | (F.col("r") <= SAMPLED)).drop("r")
-    back = sampled(used, "b").where(F.col("r") <= SAMPLED)
-    lists = written(used.select(F.col("block_a").alias("block"), F.col("a").alias("hub"), F.col("b").alias("node"), "new").unionAll(back.select(F.col("block_b").alias("block"), F.col("b").alias("hub"), F.col("a").alias("node"), "new")))
-    low = graph.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"), "low")
-    known = nodes.select("node", F.col("block").alias("own"), "c").join(low, "node", "left").select("node", "own", F.coalesce("low", F.lit(float("-inf"))).alias("low"), "c")
-    zero = F.lit(0).cast("long")
-    vectors = lists.select("block", "node").distinct().join(known, "node").select("block", zero.alias("hub"), "node", F.lit(False).alias("new"), "own", "low", "c", F.lit(True).alias("vector"))
-    rows = lists.select("block", "hub", "node", "new", zero.alias("own"), F.lit(0.0).alias("low"), F.lit(None).cast("binary").alias("c"), F.lit(False).alias("vector")).unionAll(vectors)
-
-    def compare(batches):
-        if not (got := gathered(batches)):
-            return
-        block, hub, node, new, own, low, packed, is_vector = got
-        order, edge = groups_of(block)
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            some = order[i:j]
-            vector = is_vector[some].astype(bool)
-            held = some[vector][np.argsort(node[some[vector]])]
-            ids, floor, home = node[held], low[held], own[held]
-            matrix, scale = fine([packed[x] for x in held])
-            listed = some[~vector]
-            place = np.searchsorted(ids, node[listed])
-            by, cut = groups_of(hub[listed])
-            found = []
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                at, fresh = place[by[x:y]], new[listed[by[x:y]]].astype(bool)
-                ours = np.unique(at[fresh])
-                if not len(ours):
-                    continue
-                all_ = np.unique(at)
-                sim = (matrix[ours] @ matrix[all_].T).astype(np.float64) * scale[ours][:, None] * scale[all_]
-                row, col = np.nonzero((sim > np.minimum(floor[ours][:, None], floor[all_])) & (ours[:, None] != all_))
-                u, v, s = ours[row], all_[col], sim[row, col]
-                for p, q in ((u, v), (v, u)):
-                    better = s > floor[p]
-                    found.append((p[better], q[better], s[better]))
-            if found:
-                u, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = best_of(u, v, s, k)
-                u, v, s = u[keep], v[keep], s[keep]
-                yield entries(ids[u], ids[v], home[u], home[v], s)
-
-    met = rows.repartition(tasks, "block").mapInArrow(compare, ENTRY)
-    old = ranked.select("a", "b", "block_a", "block_b", "sim", (F.col("new") & (F.col("r") > SAMPLED)).alias("new"), F.lit(False).alias("added"))
-    out = merged(old.unionAll(met), tasks, k)
-    discard(ranked, lists)
+def firsts(owner: np.ndarray, n: int) -> np.ndarray:
+    """Each row's place among those of its owner; owners are sorted."""
+    return np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
+
+
+def taken_in(ids: np.ndarray, sims: np.ndarray, state: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best distinct entries of each row, best first; of equal ids the first. ids -1 (sims -inf) are none."""
+    out = []
+    for i in range(0, max(len(ids), 1), 8192):
+        some = (ids[i : i + 8192], sims[i : i + 8192], state[i : i + 8192])
+        order = np.argsort(some[0], axis=1, kind="stable")
+        d, s, t = (np.take_along_axis(x, order, 1) for x in some)
+        s[:, 1:][d[:, 1:] == d[:, :-1]] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        d, s, t = (np.take_along_axis(x, order, 1) for x in (d, s, t))
+        out.append((np.where(np.isfinite(s), d, -1), s, np.where(np.isfinite(s), t, 0)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+#: States of an entry: none or old, new, new and in the round that runs, added by it.
+OLD, NEW, USED, ADDED = 0, 1, 2, 3
+
+
+def first_graph(x: np.ndarray, k: int, run: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sims, states): the k best of each node among those in a run with it, in any of the orders."""
+    n = len(x)
+    ids, sims, state = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32), np.zeros((n, k), np.int8)
+    origin = x.mean(0)
+    for _ in range(ORDERS):
+        code = ((x - origin) @ rng.normal(size=(x.shape[1], SIGNS)).astype(np.float32) > 0) @ (1 << np.arange(SIGNS)[::-1])
+        order = np.argsort(code, kind="stable")
+        found, value = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
+        for at in range(0, n, run):
+            some = order[at : at + run]
+            sim = x[some] @ x[some].T
+            np.fill_diagonal(sim, -np.inf)
+            m = min(k, len(some) - 1)
+            if m > 0:
+                top = np.argpartition(sim, len(some) - m, axis=1)[:, len(some) - m :]
+                found[some, :m], value[some, :m] = some[top], np.take_along_axis(sim, top, 1)
+        ids, sims, state = taken_in(np.hstack([ids, found]), np.hstack([sims, value]), np.hstack([state, np.full((n, k), NEW, np.int8)]), k)
+    return ids, sims, state
+
+
+def holders(ids: np.ndarray, which: np.ndarray, cap: int, rng: np.random.Generator) -> np.ndarray:
+    """For each node, cap of the nodes that hold it in an entry of which, drawn at random; -1 where they are fewer."""
+    a, c = np.nonzero(which)
+    b = ids[a, c]
+    order = rng.permutation(len(a))
+    order = order[np.argsort(b[order], kind="stable")]
+    a, b = a[order], b[order]
+    place = firsts(b, len(ids))
+    out = np.full((len(ids), cap), -1, np.int32)
+    out[b[place < cap], place[place < cap]] = a[place < cap]
     return out
 
 
-def build(nodes: DataFrame, n: int, tasks: int, k: int = DEGREE) -> DataFrame:
-    """The graph: rounds of NN-descent until fewer than STILL of the entries are new. Each entry of a list only gets better, so they end."""
-    graph = first_graph(nodes, tasks, k)
-    while True:
-        better = descend(graph, nodes, tasks, k)
-        discard(graph)
-        graph = better
-        if graph.where("added").count() <= STILL * n * k:
-            return graph
-
-
-#: A pair of nodes to be weighed (sim is NaN where it isn't known), or the vector of node a where v is there.
-PAIR = ["block", "a", "b", "sim", "fresh", "v"]
-
-
-def with_vectors(pairs: DataFrame, nodes: DataFrame, vector: str) -> DataFrame:
-    """pairs (PAIR without v), and the vector of each node of a block's pairs, once."""
-    named = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    vectors = named.join(nodes.select("node", F.col(vector).alias("v")), "node").select("block", F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("sim"), F.lit(False).alias("fresh"), "v")
-    return pairs.withColumn("v", F.lit(None).cast("binary")).select(PAIR).unionAll(vectors)
-
-
-def by_block(batches):
-    """(block, ids of its vectors in order, their packed vectors, its pairs: a, b, sim, fresh) of a task's PAIR rows."""
-    if not (got := gathered(batches)):
-        return
-    block, a, b, sim, fresh, packed = got
-    is_vector = np.array([x is not None for x in packed])
-    order, edge = groups_of(block)
-    for i, j in zip(edge[:-1], edge[1:], strict=True):
-        some = order[i:j]
-        held, rows = some[is_vector[some]], some[~is_vector[some]]
-        held = held[np.argsort(a[held])]
-        yield block[some[0]], a[held], [packed[x] for x in held], (a[rows], b[rows], sim[rows].copy(), fresh[rows].astype(bool))
-
-
-def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, tasks: int) -> DataFrame:
-    """(a, b, sim), written: for each node a of asked, itself and the beam that greedy search ends with; sim in double precision."""
-    links = written(graph.select("a", "b").union(sampled(graph, "b").where(F.col("r") <= DEGREE).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    queries = nodes.select(F.col("node").alias("a"), "block").join(asked.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    own = queries.select("block", "a", F.col("a").alias("b"))
-    unknown = float("nan")
-    state = written(graph.select("a", "b", "sim", F.col("block_a").alias("block")).join(queries.select("a"), "a", "left_semi").select("block", "a", "b", "sim", F.lit(True).alias("fresh")))
-
-    def weigh(batches):
-        """The new beams, of old entries and new candidates."""
-        for block, ids, packed, (a, b, sim, fresh) in by_block(batches):
-            matrix, scale = fine(packed) if packed else (np.zeros((0, 1), np.float32), np.zeros(0))
-            new = np.isnan(sim)
-            x, y = np.searchsorted(ids, a[new]), np.searchsorted(ids, b[new])
-            values = [np.einsum("ij,ij->i", matrix[p], matrix[q]) * scale[p] * scale[q] for p, q in halves(x, y)]
-            sim[new] = np.concatenate(values) if values else 0.0
-            keep = best_of(a, b, sim, BEAM, new.astype(np.int8))
-            if len(keep):
-                yield batch(block=np.full(len(keep), block), a=a[keep], b=b[keep], sim=sim[keep], fresh=fresh[keep])
-
+def descend(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, state: np.ndarray, block: int, rng: np.random.Generator) -> int:
+    """One round of NN-descent, in place; how many entries it added."""
+    n, k = ids.shape
+    fresh = state == NEW
+    used, old = fresh & (np.cumsum(fresh, axis=1) <= SAMPLED), (state == OLD) & (ids >= 0)
+    state[used] = USED
+    own = np.where(used, ids, -1)
+    own = np.take_along_axis(own, np.argsort(own < 0, axis=1, kind="stable")[:, :SAMPLED], 1)
+    new = np.hstack([own, holders(ids, used, SAMPLED, rng)])
+    all_ = np.hstack([new, np.where(old, ids, -1), holders(ids, old, SAMPLED, rng)])
+    held, count = [], 0
+
+    def take() -> None:
+        u, v, s = (np.concatenate(y) for y in zip(*held, strict=True))
+        _, at = np.unique(u.astype(np.int64) * n + v, return_index=True)
+        at = at[np.lexsort((-s[at], u[at]))]
+        u, v, s = u[at], v[at], s[at]
+        place = firsts(u, n)
+        u, v, s, place = (y[place < k] for y in (u, v, s, place))
+        who, row = np.unique(u, return_inverse=True)
+        found, value = np.full((len(who), k), -1, np.int32), np.full((len(who), k), -np.inf, np.float32)
+        found[row, place], value[row, place] = v, s
+        ids[who], sims[who], state[who] = taken_in(np.hstack([ids[who], found]), np.hstack([sims[who], value]), np.hstack([state[who], np.full(found.shape, ADDED, np.int8)]), k)
+
+    step = max(1, min(block, GATHERED // (all_.shape[1] * x.shape[1])))
+    for i in range(0, n, step):
+        p, q = new[i : i + step], all_[i : i + step]
+        sim = np.matmul(x[p], x[q].transpose(0, 2, 1))
+        floor = sims[:, -1]
+        low = np.minimum(np.where(p >= 0, floor[p], np.inf)[:, :, None], np.where(q >= 0, floor[q], np.inf)[:, None, :])
+        hub, a, b = np.nonzero((sim > low) & (p >= 0)[:, :, None] & (q >= 0)[:, None, :] & (p[:, :, None] != q[:, None, :]))
+        u, v, s = p[hub, a], q[hub, b], sim[hub, a, b]
+        for y, z in ((u, v), (v, u)):
+            better = s > floor[y]
+            held.append((y[better], z[better], s[better]))
+            count += int(better.sum())
+        if count > HELD:
+            take()
+            held, count = [], 0
+    if count:
+        take()
+    added = state == ADDED
+    state[state == USED], state[added] = OLD, NEW
+    return int(added.sum())
+
+
+def build(x: np.ndarray, k: int, run: int, block: int) -> np.ndarray:
+    """Each node's neighbours, and as many of the nodes that hold it; -1 is none. Rounds of NN-descent until fewer than STILL of the
+    entries are new. Each entry of a list only gets better, so they end."""
+    rng = np.random.default_rng(x.shape[1])
+    ids, sims, state = first_graph(x, k, run, rng)
+    while descend(x, ids, sims, state, block, rng) > STILL * ids.size:
+        pass
+    return np.hstack([ids, holders(ids, ids >= 0, k, rng)])
+
+
+def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sims): the beam of each query that greedy search ends with; -1 where it holds fewer."""
+    n, m = len(x), len(queries)
+    seen = np.zeros((m, n), bool)
+    start = np.unique(np.linspace(0, n - 1, min(n, STARTS)).astype(np.int64))
+    ids, sims, open_ = np.full((m, beam), -1, np.int64), np.full((m, beam), -np.inf, np.float32), np.zeros((m, beam), bool)
+    row, to = np.repeat(np.arange(m), len(start)), np.tile(start, m)
     while True:
-        rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-        chosen = written(state.where("fresh").withColumn("r", rank).where(F.col("r") <= EXPANDED).select("block", "a", "b"))
-        if chosen.isEmpty():
-            break
-        more = chosen.join(links.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").where("to != a").select("block", "a", F.col("to").alias("b")).distinct()
-        more = more.join(state.select("a", "b"), ["a", "b"], "left_anti").select("block", "a", "b", F.lit(unknown).alias("sim"), F.lit(True).alias("fresh"))
-        old = state.join(chosen.select("a", "b", F.lit(True).alias("done")), ["a", "b"], "left").select("block", "a", "b", "sim", (F.col("fresh") & F.col("done").isNull()).alias("fresh"), F.lit(None).cast("binary").alias("v"))
-        rows = with_vectors(more, nodes, "c").unionAll(old)
-        state = written(rows.repartition(tasks, "block").mapInArrow(weigh, "block long, a long, b long, sim double, fresh boolean"))
-
-    def exact(batches):
-        for _, ids, packed, (a, b, _, _) in by_block(batches):
-            matrix = doubles(packed)
-            for p, q in halves(a, b):
-                yield batch(a=p, b=q, sim=np.einsum("ij,ij->i", matrix[np.searchsorted(ids, p)], matrix[np.searchsorted(ids, q)]))
-
-    pairs = state.select("block", "a", "b").unionByName(own).select("block", "a", "b", F.lit(unknown).alias("sim"), F.lit(False).alias("fresh"))
-    return written(with_vectors(pairs, nodes, "v").repartition(tasks, "block").mapInArrow(exact, "a long, b long, sim double"))
-
-
-def halves(x: np.ndarray, y: np.ndarray, size: int = 1 << 15):
-    """x and y in parts of size."""
-    return [(x[i : i + size], y[i : i + size]) for i in range(0, len(x), size)]
-
-
-def compared_with_all(nodes: DataFrame, asked: DataFrame, tasks: int, k: int) -> DataFrame:
+        seen[row, to] = True
+        step = max(1, GATHERED // x.shape[1])
+        sim = np.concatenate([np.einsum("ij,ij->i", queries[row[i : i + step]], x[to[i : i + step]]) for i in range(0, max(len(row), 1), step)])
+        better = sim > sims[row, -1]
+        row, to, sim = row[better], to[better], sim[better]
+        if len(row):
+            place = firsts(row, m)
+            more = (m, int(place.max()) + 1)
+            found, value = np.full(more, -1, np.int64), np.full(more, -np.inf, np.float32)
+            found[row, place], value[row, place] = to, sim
+            order = np.argsort(-np.hstack([sims, value]), axis=1, kind="stable")[:, :beam]
+            ids, sims, open_ = (np.take_along_axis(np.hstack(y), order, 1) for y in ((ids, found), (sims, value), (open_, found >= 0)))
+        chosen = open_ & (np.cumsum(open_, axis=1) <= EXPANDED)
+        if not chosen.any():
+            return ids, sims
+        open_ &= ~chosen
+        row, at = np.nonzero(chosen)
+        to = links[ids[row, at]]
+        row = np.repeat(row, to.shape[1])[to.ravel() >= 0]
+        to = to.ravel()[to.ravel() >= 0]
+        unseen = ~seen[row, to]
+        pair = np.unique(row[unseen] * n + to[unseen])
+        row, to = pair // n, pair % n
+
+
+def searched(nodes: DataFrame, asked: DataFrame, shards: int, k: int) -> DataFrame:
+    """(a, b, sim), written: for each node a of asked, itself and the k best other nodes that were found, with those that
+    tie with the last; sim in double precision."""
+    queries = nodes.join(asked.select("node").distinct(), "node", "left_semi")
+    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "node", "v")
+    dealt = dealt.unionAll(queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "node", "v"))
+    degree, run, block, beam = DEGREE, RUN, BLOCK, BEAM
+
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        """A shard's nodes come first, then queries."""
+        ids, vectors, graph = [], [], None
+        for rows in given_back(batches):
+            asks = rows.column(1).to_numpy() == 1
+            node, v = rows.column(2).to_numpy(), rows.column(3).to_pylist()
+            if not asks.all():
+                ids.append(node[~asks])
+                vectors += [y for y, z in zip(v, asks, strict=True) if not z]
+            if asks.any() and vectors:
+                if graph is None:
+                    ids, exact = np.concatenate(ids), doubles(vectors)
+                    vectors, scale = [True], np.abs(exact).max()
+                    x = (exact / scale).astype(np.float32)
+                    graph = build(x, degree, run, block)
+                node, matrix = node[asks], doubles([y for y, z in zip(v, asks, strict=True) if z])
+                for i in range(0, len(node), ASKED):
+                    mine, some = node[i : i + ASKED], matrix[i : i + ASKED]
+                    at, sim = search(x, graph, (some / np.abs(some).max(1)[:, None]).astype(np.float32), beam)
+                    sim = np.stack([np.einsum("ij,j->i", exact[p], q) for p, q in zip(at, some, strict=True)])
+                    sim[(at < 0) | (ids[at] == mine[:, None])] = -np.inf
+                    last = -np.partition(-sim, min(k, sim.shape[1]) - 1, axis=1)[:, min(k, sim.shape[1]) - 1]
+                    keep = (sim >= last[:, None]) & np.isfinite(sim)  # and those that tie with the last
+                    found = [(ids[p[t]].tobytes(), s[t].tobytes()) for p, s, t in zip(at, sim, keep, strict=True)]
+                    yield batch(a=mine, own=np.einsum("ij,ij->i", some, some), b=[y for y, _ in found], sim=[y for _, y in found])
+
+    lists = dealt.repartitionById(shards, "shard").sortWithinPartitions("asks").mapInArrow(work, "a long, own double, b binary, sim binary")
+
+    def best(batches) -> Iterator[pa.RecordBatch]:
+        got = [rows for rows in given_back(batches) if rows.num_rows]
+        if not got:
+            return
+        a, own, b, sim = pa.Table.from_batches(got).columns
+        b, sim = b.to_pylist(), sim.to_pylist()
+        owner, itself = np.unique(a.to_numpy(), return_index=True)
+        row = np.repeat(a.to_numpy(), [len(y) // 8 for y in b])
+        b, sim = np.frombuffer(b"".join(b), np.int64), np.frombuffer(b"".join(sim), np.float64)
+        order = np.lexsort((-sim, row))
+        row, b, sim = row[order], b[order], sim[order]
+        at = np.searchsorted(owner, row)
+        place, last = firsts(at, len(owner)), np.full(len(owner), -np.inf)
+        last[at[place == k - 1]] = sim[place == k - 1]
+        keep = sim >= last[at]
+        yield batch(a=np.concatenate([owner, row[keep]]), b=np.concatenate([owner, b[keep]]), sim=np.concatenate([own.to_numpy()[itself], sim[keep]]))
+
+    return written(lists.repartition(shards, "a").mapInArrow(best, "a long, b long, sim double"))
+
+
+def compared_with_all(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(a, b, sim) of the k best nodes b of each node a of asked, itself too, by comparing with all, PASS queries a pass."""
     rows = written(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v"))
     out, parts = None, -(-rows.count() // PASS)
@@ -336,22 +293,22 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, ident: str = "vec_id"
     sizes = [r["n"] for r in packed.select(F.octet_length("v").alias("n")).distinct().collect()]
     if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    each = [of_one_length(packed.where(F.octet_length("v") == n) if len(sizes) > 1 else packed, every, k) for n in sorted(sizes)]
+    each = [of_one_length(packed.where(F.octet_length("v") == n) if len(sizes) > 1 else packed, n // 8, every, k) for n in sorted(sizes)]
     out = each[0]
     for more in each[1:]:
         out = out.unionAll(more)
     return out
 
 
-def of_one_length(packed: DataFrame, every: int, k: int) -> DataFrame:
+def of_one_length(packed: DataFrame, width: int, every: int, k: int) -> DataFrame:
     """nearest, of vectors (vec_id, v) of one length, as bytes of doubles."""
     nodes = written(packed.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))
     members = written(packed.join(nodes, "v").select("node", "vec_id"))
     n, total = nodes.count(), members.count()
-    tasks = task_count(nodes, n * DEGREE, TASK_ROWS)
-    nodes = placed(nodes, n, tasks)
     asked = members.where(F.col("vec_id") % every == 0)
-    found = search(build(nodes, n, tasks), nodes, asked, tasks)
+    # As many shards as the session has partitions, but none that is very small; more where one would be too large for a task.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = searched(nodes, asked, max(1, min(tasks, n // SMALL), -(-n * width // SHARD)), k + 1)
     # A query can see k + 1 rows of a node at most: k, and itself.
     first = written(members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).select(F.col("node").alias("b"), F.col("vec_id").alias("found_id")))
     order = [F.desc("sim"), "found_id"]
@@ -362,7 +319,7 @@ def of_one_length(packed: DataFrame, every: int, k: int) -> DataFrame:
     lists = listed(found)
     short = written(asked.select(F.col("node").alias("a")).distinct().join(lists.groupBy("a").count(), "a", "left").where(F.coalesce("count", F.lit(0)) < min(k + 1, total)).select(F.col("a").alias("node")))
     if not short.isEmpty():
-        lists = lists.join(short.select(F.col("node").alias("a")), "a", "left_anti").unionAll(listed(compared_with_all(nodes, short, tasks, k + 1)))
+        lists = lists.join(short.select(F.col("node").alias("a")), "a", "left_anti").unionAll(listed(compared_with_all(nodes, short, k + 1)))
     # A row leaves itself out, once: of rows that repeat id and vector, the others count.
     each = asked.withColumn("row", F.monotonically_increasing_id()).join(lists, F.col("node") == F.col("a")).where("found_id != vec_id")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(*order))).where(F.col("rank") <= k)

@@ -362,6 +362,29 @@ def test_the_graph_is_searched_beyond_its_runs(spark, monkeypatch):
     assert recall_of(found.groupby("query_id").vec_id.apply(set), np.arange(3000), m, 20) >= 0.9
 
 
+def test_shards_are_searched_with_rows_of_whole_lists(spark, monkeypatch):
+    """Several shards together find what one graph would, and tasks exchange nodes, queries and lists: the old joins wrote a row for each entry."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(6000, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    rows = []
+    keep = ann.written
+    monkeypatch.setattr(ann, "written", lambda d: rows.append((out := keep(d)).count()) or out)
+    found = ann.nearest(df).toPandas()
+    assert (found.groupby("query_id").size() == 20).all() and found.query_id.nunique() == 300
+    assert recall_of(found.groupby("query_id").vec_id.apply(set), np.arange(6000), m, 20) >= 0.9
+    assert max(rows) <= 300 * 22 + 6000
+
+
+def test_a_search_gives_each_node_once():
+    x = np.random.default_rng(6).normal(size=(500, 8)).astype(np.float32)
+    ids, sims = ann.search(x, ann.build(x, 10, 64, 64), x[:50], 30)
+    assert all(len(set(r.tolist())) == 30 for r in ids) and np.allclose(sims, np.take_along_axis(x[:50] @ x.T, ids, 1), atol=1e-5)
+    ids, _ = ann.search(x[:3], ann.build(x[:3], 10, 64, 64), x[:1], 30)
+    assert sorted(ids[0].tolist())[-3:] == [0, 1, 2] and (ids[0] == -1).sum() == 27
+
+
 def test_short_queries_meet_all_nodes(spark, monkeypatch):
     """Where the graph gives too few, queries are compared with all, pass by pass."""
     rng = np.random.default_rng(9)
