@@ -1,6 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: all pairs at SIMILARITY or more, by an exact prefix-filtered self-join.
+"""Near copies by SimHash and the Jaccard similarity of word shingles: all pairs at PART / WHOLE or more.
 
-Texts with one shingle set are one node. Two sets that are similar enough share one of their first shingles in any common
+Texts with one shingle set are one node. Nodes whose SimHash fingerprints meet in the trie join, within RADIUS bits, are compared
+first, by their whole sets. That misses many similar pairs (at 0.8 about ten bits differ), so an exact prefix-filtered self-join
+finds all others between what SimHash left apart. Two sets that are similar enough share one of their first shingles in any common
 order, so each node is dealt by these alone, and only shingles that two nodes hold are kept. The order puts shingles last
 that a sample of texts often holds, which changes the work and not the result. Pairs in a group pass two exact filters (the
 sizes, and the parities of the shingles in BITS classes, which differ in no more places than the sets do), then their whole sets
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.llm.common import LOWER, SPACED, discard, mix, raw, steps, task_count, tokens, with_columns, written
-from talkmill.llm.simhash_dedup import components
+from talkmill.llm.simhash_dedup import components, direct_links
 
 WIDTH = 5
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
+#: Bits in which the fingerprints of nodes differ at most that the trie join meets.
+RADIUS = 4
 #: Classes of shingles whose parities are compared, in a group and for each pair that is left; the second grows to a
 #: power of two not below the set's size, as parities of few classes say nothing of long texts. It folds to the first.
 BITS, WIDE = 1024, 1024
@@ -63,6 +67,18 @@ def nodes_of(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64)).view(np.int64)
 
 
+def prints_of(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each set: a bit is 1 if it is set in over half the shingles; zero for the empty set."""
+    size = np.diff(edge)
+    owner, votes = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), np.int64)
+    for i in range(0, len(h), 1 << 16):
+        bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        some = owner[i : i + (1 << 16)]
+        at = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+        votes[some[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+    return np.packbits(votes * 2 > size[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def sets(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end, shingles, edges) of a text column, step by step."""
     data, offsets = raw(column)
@@ -71,18 +87,18 @@ def sets(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def with_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with node, n (the set's size), bits and wide (its parities)."""
+    """docs with node, n (the set's size), fp (its SimHash), bits and wide (its parities)."""
 
     def make():
         def describe(column):
-            got = [(nodes_of(h, edge), np.diff(edge), parities(h, edge)) for _, _, h, edge in sets(column)]
-            node, n = (np.concatenate([x[k] for x in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            wide = [x for _, _, some in got for x in some]
-            return [pa.array(node), pa.array(n), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (map(folded, wide, [BITS] * len(wide)), wide))]
+            got = [(nodes_of(h, edge), np.diff(edge), prints_of(h, edge), parities(h, edge)) for _, _, h, edge in sets(column)]
+            node, n, fp = (np.concatenate([x[k] for x in got] or [np.zeros(0, np.int64)]) for k in (0, 1, 2))
+            wide = [x for _, _, _, some in got for x in some]
+            return [pa.array(node), pa.array(n), pa.array(fp), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (map(folded, wide, [BITS] * len(wide)), wide))]
 
         return describe
 
-    return with_columns(docs, text, [("node", pa.int64(), T.LongType()), ("n", pa.int64(), T.LongType()), ("bits", pa.binary(), T.BinaryType()), ("wide", pa.binary(), T.BinaryType())], make)
+    return with_columns(docs, text, [("node", pa.int64(), T.LongType()), ("n", pa.int64(), T.LongType()), ("fp", pa.int64(), T.LongType()), ("bits", pa.binary(), T.BinaryType()), ("wide", pa.binary(), T.BinaryType())], make)
 
 
 def often_held(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +273,20 @@ def similar(candidates: DataFrame, facts: DataFrame, rows: DataFrame) -> DataFra
     return found
 
 
+def by_simhash(facts: DataFrame) -> DataFrame:
+    """Candidates (u, v), u > v, that SimHash gives, written: each node with the least node of its fingerprint, and the least nodes of
+    fingerprints that the trie join links."""
+    least = written(facts.groupBy("fp").agg(F.min("node").alias("least")))
+    links = direct_links(least.select("fp"), RADIUS)
+    same = facts.join(least, "fp").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    ends = links.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    out = written(same.where("u > v").unionAll(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct())
+    discard(least, links)
+    return out
+
+
 def linked(rows: DataFrame) -> DataFrame:
-    """(node, root) of every node that is similar to another one. rows: row, node, n, bits, wide, text."""
+    """(node, root) of every node that is similar to another one. rows: row, node, n, fp, bits, wide, text."""
     size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     tasks = task_count(rows, size or 0, TASK_BYTES)
     chosen = rows.where(F.pmod(F.xxhash64("node", "row"), max(1, count // SAMPLE)) == 0)
@@ -289,10 +317,12 @@ def linked(rows: DataFrame) -> DataFrame:
             yield packed()
 
     grouped = once(written(groups(rows.select("node", "text").mapInArrow(deal, "range int, keys binary, nodes binary"), tasks)))
-    facts = written(rows.select("node", "n", "bits", "wide").join(grouped.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    facts = written(rows.select("node", "n", "fp", "bits", "wide").join(grouped.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     parts = F.ceil(F.col("m") / BLOCK)
     part, alone = F.pmod(F.xxhash64("node"), parts).alias("part"), F.lit(-1).cast("long").alias("own")
-    root_of = None
+    met = by_simhash(facts.select("node", "fp"))
+    root_of = joined(None, similar(met, facts, rows))
+    discard(met)
     for reach in REACHES:
         some = unsettled(grouped, root_of).join(facts.drop("wide"), "node").select("key", "node", "n", "bits", part, alone, "root")
         root_of = joined(root_of, similar(pairs(some, tasks, ["part"], reach), facts, rows))
@@ -304,10 +334,8 @@ def linked(rows: DataFrame) -> DataFrame:
     return root_of
 
 
-def unsettled(grouped: DataFrame, root_of: DataFrame | None) -> DataFrame:
+def unsettled(grouped: DataFrame, root_of: DataFrame) -> DataFrame:
     """The groups whose nodes are in two components or more, with each node's root."""
-    if root_of is None:
-        return grouped.withColumn("root", F.col("node"))
     rooted = grouped.join(root_of, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
     return rooted.join(mixed, "key", "left_semi")
@@ -324,7 +352,7 @@ def labelled(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -
     """(docs, written, with row: a number of its own; row, component and the columns carry of each). Rows that links of similar
     texts connect have one component. Texts without words are alike."""
     rows = written(with_nodes(docs, text).withColumn("row", F.monotonically_increasing_id()))
-    root_of = linked(rows.select("row", "node", "n", "bits", "wide", F.col(text).alias("text")))
+    root_of = linked(rows.select("row", "node", "n", "fp", "bits", "wide", F.col(text).alias("text")))
     return rows.select(*docs.columns, "row"), rows.select("row", "node", *carry).join(root_of, "node", "left").select("row", F.coalesce("root", "node").alias("component"), *carry)
 
 

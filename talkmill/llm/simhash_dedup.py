@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.llm.common import binary, task_count, with_columns, written
+from talkmill.llm.common import binary, discard, task_count, with_columns, written
 
 #: A trie with more distinct fingerprints is dealt again.
 BLOCK_ROWS = 100_000
@@ -202,6 +202,33 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(n, "mask", "shared").mapInArrow(join, "u long, v long")
 
 
+def direct_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links within the radius between distinct fingerprints fp, written: columns u > v. Each u has one to the least v that it has one
+    to at all, and may have others: a link a trie at most, so a dense cluster gives no more than its fingerprints' copies."""
+    rows = written(tries(fps, radius).select("mask", "shared", "fp"))
+    n = task_count(fps, rows.count(), TASK_ROWS)
+
+    def join(batches):
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        mask, shared, fp = (np.concatenate(c) for c in zip(*got, strict=True))
+        group = mix_groups(mask, shared)
+        order = np.lexsort((fp.view(np.uint64), group))
+        fp, group = fp[order], group[order]
+        ids, place = np.unique(fp, return_inverse=True)
+        least = np.arange(len(ids))
+        for x, y in trie_links(fp.view(np.uint64), group, radius):
+            x, y = place[x], place[y]
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        at = np.flatnonzero(least != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[least[at]])], names=["u", "v"])
+
+    links = written(rows.repartition(n, "mask", "shared").mapInArrow(join, "u long, v long").distinct())
+    discard(rows)
+    return links
+
+
 def mix_groups(*columns: np.ndarray) -> np.ndarray:
     """A number for each distinct combination."""
     out = np.zeros(len(columns[0]), np.int64)

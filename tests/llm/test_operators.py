@@ -112,6 +112,37 @@ def test_near_copies_are_all_pairs_of_the_similarity(spark, docs, odd, monkeypat
     assert len(set(brute_components(list(range(len(made))), fps))) > len(set(want.tolist()))  # the distance of op3 misses some
 
 
+def test_near_copies_meet_by_simhash_first(spark, docs, monkeypatch):
+    """The stage's first candidates come from fingerprints of the shingle sets and the trie join; the rest from the exact join."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from talkmill.llm import near_copies
+
+    texts = [r["text"] for r in docs.select("text").limit(60).collect()] + [None, "", "a b c", " ".join(f"w{i % 997}" for i in range(200_000))]
+    prints = near_copies.with_nodes(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", "fp", "n").collect()
+    for r in prints:
+        h, edge = near_copies.shingles(*near_copies.raw(pa.array([r["text"]], pa.string())))
+        want = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+        assert r["fp"] % (1 << 64) == want and r["n"] == len(h) == edge[-1]
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 40, np.uint64).tolist()
+    fps = sorted({b ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 6))) for b in base for _ in range(20)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = {(r["u"], r["v"]) for r in simhash_dedup.direct_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4).collect()}
+    within = {u: [v for v in signed if v < u and ((u ^ v) & (2**64 - 1)).bit_count() <= 4] for u in signed}
+    assert all(v in within[u] for u, v in links) and {(u, min(v)) for u, v in within.items() if v} <= links
+
+    words = [f"w{i}" for i in rng.integers(0, 1000, 400)]
+    copies = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 400, 40)] + [" ".join(words[::-1])]
+    met = []
+    keep = near_copies.by_simhash
+    monkeypatch.setattr(near_copies, "by_simhash", lambda d: met.append((out := keep(d)).count()) or out)
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), DATA)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 10] and met[0] > 0
+
+
 def test_trie_join_finds_all_pairs_of_dense_and_split_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 30, np.uint64)
